@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import leakage, lookalike
+from quillmesh.llm import leakage, lookalike, neardup
 from quillmesh.tables import table
 
 
@@ -21,6 +21,12 @@ def p1_plain_flags(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(flags, "type", "plain").groupBy("plain").agg(F.count("*").alias("n_flags"), F.countDistinct("type").alias("n_spellings"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = neardup.near_duplicates(table(spark, d, "corpus_docs"), "id", "content", n=3, threshold=0.55, least_words=16)
+    sentences = neardup.near_duplicates(table(spark, d, "sentences"), "sent_id", "text", n=3, threshold=0.55, least_words=16)
+    return docs.unionByName(sentences)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text"]).select(F.col("page").alias("doc_id"), F.col("item").alias("item_id"))
 
@@ -30,5 +36,5 @@ def p8_leak_places(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text", "answer"]).withColumnsRenamed({"page": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
+QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p5_found": p5_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
 ORACLES: dict[str, str] = {}
