@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import leakage, lookalike, neardup
+from quillmesh.llm import history, leakage, lookalike, neardup
 from quillmesh.tables import table
 
 
@@ -21,6 +21,13 @@ def p1_plain_flags(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(flags, "type", "plain").groupBy("plain").agg(F.count("*").alias("n_flags"), F.countDistinct("type").alias("n_spellings"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    corpus = history.repeated_rows(table(spark, d, "corpus_docs"), "id", "content", "batch_no").select(F.lit("corpus").alias("src"), F.col("key").alias("rec_key"), "batch_no")
+    jobs = table(spark, d, "jobs").select("job_id", "batch_no", history.report_text(F.col("json")).alias("text"))
+    jobs = history.repeated_rows(jobs, "job_id", "text", "batch_no").select(F.lit("job").alias("src"), F.col("key").alias("rec_key"), "batch_no")
+    return corpus.unionByName(jobs)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     docs = neardup.near_duplicates(table(spark, d, "corpus_docs"), "id", "content", n=3, threshold=0.55, least_words=16)
     sentences = neardup.near_duplicates(table(spark, d, "sentences"), "sent_id", "text", n=3, threshold=0.55, least_words=16)
@@ -36,5 +43,5 @@ def p8_leak_places(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text", "answer"]).withColumnsRenamed({"page": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p5_found": p5_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
+QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
 ORACLES: dict[str, str] = {}
