@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import history, leakage, lookalike, neardup
+from quillmesh.llm import history, leakage, lookalike, neardup, spans
 from quillmesh.tables import table
 
 
@@ -21,6 +21,21 @@ def p1_plain_flags(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(flags, "type", "plain").groupBy("plain").agg(F.count("*").alias("n_flags"), F.countDistinct("type").alias("n_spellings"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus documents and scanned sentences as records of one kind."""
+    docs = table(spark, d, "corpus_docs").select(F.col("id").alias("rec_key"), F.col("content").alias("text"))
+    return docs.unionByName(table(spark, d, "sentences").select(F.col("sent_id").alias("rec_key"), "text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_records(spark, d), "rec_key", "text").select("rec_key", "start_pos", "end_pos")
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each record is found elsewhere."""
+    return spans.shared_shares(_records(spark, d), "rec_key", "text")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     corpus = history.repeated_rows(table(spark, d, "corpus_docs"), "id", "content", "batch_no").select(F.lit("corpus").alias("src"), F.col("key").alias("rec_key"), "batch_no")
     jobs = table(spark, d, "jobs").select("job_id", "batch_no", history.report_text(F.col("json")).alias("text"))
@@ -43,5 +58,5 @@ def p8_leak_places(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text", "answer"]).withColumnsRenamed({"page": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
+QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
 ORACLES: dict[str, str] = {}
