@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import history, leakage, lookalike, neardup, spans
+from quillmesh.llm import history, knn, leakage, lookalike, neardup, spans
 from quillmesh.tables import table
 
 
@@ -21,6 +21,17 @@ def p1_plain_flags(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(flags, "type", "plain").groupBy("plain").agg(F.count("*").alias("n_flags"), F.countDistinct("type").alias("n_spellings"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = knn.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embedding", dim=96, k=5, least=0.80)
+    return near.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
+
+
+def p2_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors, at any similarity, of every vector whose id is divisible by 50."""
+    near = knn.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embedding", dim=96, k=5, queries=F.col("id") % 50 == 0, probes=48)
+    return near.select(F.col("id").alias("vec_id"), "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Corpus documents and scanned sentences as records of one kind."""
     docs = table(spark, d, "corpus_docs").select(F.col("id").alias("rec_key"), F.col("content").alias("text"))
@@ -58,5 +69,5 @@ def p8_leak_places(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text", "answer"]).withColumnsRenamed({"page": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
+QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
 ORACLES: dict[str, str] = {}
