@@ -19,7 +19,7 @@ from quillmesh.llm.lookalike import plain_words
 
 _P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 #: How many hashed counters order shingles from rare to common. Their number is fixed, so what is broadcast is too.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
