@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import history, knn, leakage, lookalike, neardup, spans
+from quillmesh.llm import history, knn, leakage, lookalike, neardup, sentences, spans
 from quillmesh.tables import table
 
 
@@ -60,6 +60,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(sentences)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    everything = _records(spark, d).select("text")
+    docs = sentences.sentences(table(spark, d, "corpus_docs"), "id", "content", everything)
+    several = sentences.sentences(table(spark, d, "sentences"), "sent_id", "text", everything, least=2)
+    return docs.unionByName(several)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text"]).select(F.col("page").alias("doc_id"), F.col("item").alias("item_id"))
 
@@ -69,5 +76,5 @@ def p8_leak_places(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text", "answer"]).withColumnsRenamed({"page": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
+QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
 ORACLES: dict[str, str] = {}
