@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import history, knn, leakage, lookalike, neardup, sentences, spans
-from quillmesh.tables import table
+from quillmesh.llm import history, knn, leakage, lookalike, neardup, packing, reading, sentences, spans
+from quillmesh.tables import table, written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +67,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(several)
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    sizes = written(packing.token_sizes(table(spark, d, "documents"), "doc_id", "text"), "sizes")
+    placed = packing.pack(sizes, "key", "tokens", table(spark, d, "pack_targets"), "target_id", "capacity_tokens")
+    return placed.withColumnsRenamed({"target": "target_id", "key": "doc_id", "container": "container_id"})
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """For each capacity: containers, tokens and the share of space used."""
+    of = p7_pack(spark, d).groupBy("target_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    used = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
+    return of.join(table(spark, d, "pack_targets"), "target_id").select("target_id", "containers", "tokens", used.alias("used"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text"]).select(F.col("page").alias("doc_id"), F.col("item").alias("item_id"))
 
@@ -76,5 +89,14 @@ def p8_leak_places(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text", "answer"]).withColumnsRenamed({"page": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_leak_places": p8_leak_places}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.estimate(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_labels"), "doc_id", "level").select(F.col("key").alias("doc_id"), "level")
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The estimated level of every page."""
+    return reading.estimate(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_labels"), "doc_id", "level", everything=True).select(F.col("key").alias("doc_id"), "level")
+
+
+QUERIES = {"p1_found": p1_found, "p1_plain_flags": p1_plain_flags, "p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leak_places": p8_leak_places, "p9_found": p9_found, "p9_levels": p9_levels}
 ORACLES: dict[str, str] = {}
