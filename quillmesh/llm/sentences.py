@@ -42,10 +42,11 @@ _SCRIPTS = [(name, re.compile(f"[{chars}]")) for name, chars in SCRIPTS]
 _LANG_WORDS = {w: [x for x in FUNCTION_WORDS if w in FUNCTION_WORDS[x]] for ws in FUNCTION_WORDS.values() for w in ws}
 
 _X = "[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]*"  # unseen characters between seen ones
-_CLOSE = "\"'”’»“›\\)\\]）」』】"
+_CLOSE_CJK = "\"'”’»›\\)\\]）」』】"
+_CLOSE = _CLOSE_CJK + "“"
 # Stretches that hold their stops: quotations and brackets, each within one paragraph.
 _HELD = re.compile("„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|（[^（）]*）|(?<![^\\s(\\[（])\"(?=\\S)[^\"]*(?<=\\S)\"|\\([^()]*\\)|\\[[^\\[\\]]*\\]")
-_STOP = re.compile(f"(?P<cjk>[。！？｡]+{_X}[{_CLOSE}]*)|(?P<stop>[.!?．؟।॥۔;\u037e…]+(?:{_X}[.!?．؟…]+)*{_X}[{_CLOSE}]*)(?={_X}(?:\\s|$))")
+_STOP = re.compile(f"(?P<cjk>[。！？｡]+{_X}[{_CLOSE_CJK}]*)|(?P<stop>[.!?．؟।॥۔;\u037e…]+(?:{_X}[.!?．؟…]+)*{_X}[{_CLOSE}]*)(?={_X}(?:\\s|$))")
 _PARAGRAPH = re.compile(r"[^\S\r\n]*(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+\s*")
 _THAI_BREAK = re.compile(f"(?<=[\u0e01-\u0e5b\u200b-\u200f\u2060-\u2064\ufeff\u00ad\u034f])\\s+(?={_X}[\u0e01-\u0e5b])")
 _TOKEN = re.compile(r"\S+")
