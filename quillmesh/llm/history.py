@@ -4,7 +4,7 @@ Content-defined chunking over words: a word whose hash falls into one residue of
 so an edit changes only the chunks it touches. The store keeps, for each batch,
 
 - chunks: (chunk, tid, bytes) of each distinct text first accepted in that batch,
-- records: (tid, n, shingles, chunks, bytes, weight),
+- records: (tid, batch_no, last, n, shingles, chunks, bytes, weight),
 - counters: hashed occurrence counters of its chunks (a fixed number of slots),
 
 and a new batch reads only them: no text of the history is read or cut again. For each new text the
@@ -31,13 +31,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.lookalike import plain_words
-from quillmesh.llm.wordsets import COUNTERS, keyed, mix, rare_first, shingle_set, word_hashes
+from quillmesh.llm.wordsets import gathered, keyed, mix, rare_first, runs, salt, slot_counts, word_hashes
 from quillmesh.tables import scratch_dir, written
 
-SIGNED = "tid binary, n int, shingles array<bigint>, chunks array<bigint>, bytes array<int>, weight bigint"
+RECORD = "tid binary, batch_no int, last int, n int, shingles array<int>, chunks array<bigint>, bytes array<int>, weight bigint"
+#: Up to so many text digests (16 bytes each) are broadcast to leave out texts without any candidate.
+BROADCAST_ROWS = 2_000_000
 
 
-def cut(hashes: np.ndarray, lengths: np.ndarray, modulus: int) -> tuple[np.ndarray, np.ndarray]:
+def cut(hashes: np.ndarray, lengths: np.ndarray, modulus: int, salted: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
     """Distinct chunk hashes of a word sequence, and the bytes of each."""
     ends = np.flatnonzero((mix(hashes) >> np.uint64(7)) % np.uint64(modulus) == 0) + 1
     edges = np.r_[0, ends[ends < len(hashes)], len(hashes)]
@@ -46,76 +48,77 @@ def cut(hashes: np.ndarray, lengths: np.ndarray, modulus: int) -> tuple[np.ndarr
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
         sums = np.add.reduceat(hashes * powers[place], edges[:-1])
-    chunks, first = np.unique(mix(sums), return_index=True)
+    chunks, first = np.unique(mix(sums + salted), return_index=True)
     return chunks.view(np.int64), np.add.reduceat(lengths, edges[:-1])[first]
 
 
 def signed(texts: DataFrame, n: int, least_words: int, modulus: int) -> DataFrame:
-    """Set and chunks of each text (tid, text) of at least `least_words` words."""
+    """Set (as 32-bit hashes, for comparing two texts) and chunks of each text (tid, text, within, batch_no, last) of at least `least_words` words."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             known: dict[str, int] = {}
             out = []
-            for tid, text in zip(batch["tid"], batch["text"]):
+            for tid, text, within, first, last in zip(batch["tid"], batch["text"], batch["within"], batch["batch_no"], batch["last"]):
                 words = plain_words(text)
                 if len(words) >= max(n, least_words, 1):
                     hashes = word_hashes(words, known)
                     lengths = np.array([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words], np.int32)
-                    s = shingle_set(hashes, n)
-                    chunks, size = cut(hashes, lengths, modulus)
-                    out.append((tid, len(s), s, chunks, size, int(size.sum())))
-            yield pd.DataFrame(out, columns=["tid", "n", "shingles", "chunks", "bytes", "weight"])
+                    s = np.unique(runs(hashes, n).astype(np.uint32)).view(np.int32)
+                    chunks, size = cut(hashes, lengths, modulus, salt(within))
+                    out.append((tid, first, last, len(s), s, chunks, size, int(size.sum())))
+            yield pd.DataFrame(out, columns=["tid", "batch_no", "last", "n", "shingles", "chunks", "bytes", "weight"])
 
-    return texts.select("tid", "text").mapInPandas(made, SIGNED)
+    return texts.select("tid", "text", "within", "batch_no", "last").mapInPandas(made, RECORD)
 
 
 class ChunkStore:
-    """The persistent chunk-to-record table below `path`, in the folder that all executors share."""
+    """The persistent chunk-to-record table below `path`, in the folder that all executors share.
+
+    Each append writes its own folder of records, chunks and counters; none is read to make another.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, what: str, schema: str) -> DataFrame:
+    def _read(self, what: str, schema: str) -> DataFrame | None:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
-
-    def records(self) -> DataFrame:
-        return self._read("records", SIGNED + ", batch_no int")
-
-    def chunks(self) -> DataFrame:
-        return self._read("chunks", "chunk bigint, tid binary, bytes int, batch_no int")
-
-    def append(self, new: DataFrame) -> None:
-        """Accepts signed texts with their batch_no; those that the store has already add nothing."""
-        new = written(new.join(self.records().select("tid"), "tid", "left_anti"), "accepted")
-        new.write.mode("append").partitionBy("batch_no").parquet(f"{self.path}/records")
+            return None
+
+    def records(self) -> DataFrame | None:
+        return self._read("records", RECORD)
+
+    def append(self, new: DataFrame) -> DataFrame:
+        """Accepts signed texts; those that the store has already add nothing. Returns the records written."""
+        old, run = self.records(), uuid.uuid4().hex
+        if old is not None:
+            new = new.join(old.select("tid"), "tid", "left_anti")
+        new.write.parquet(f"{self.path}/records/run={run}")
+        new = self._read(f"records/run={run}", RECORD)
         pieces = new.select(F.explode(F.arrays_zip("chunks", "bytes")).alias("c"), "tid", "batch_no").select(F.col("c.chunks").alias("chunk"), "tid", F.col("c.bytes").alias("bytes"), "batch_no")
-        pieces.write.mode("append").partitionBy("batch_no").parquet(f"{self.path}/chunks")
-        slots = pieces.groupBy(F.pmod("chunk", F.lit(COUNTERS)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-        slots.write.mode("append").parquet(f"{self.path}/counters")
+        pieces.write.parquet(f"{self.path}/chunks/run={run}")
+        slot_counts(new, "chunks").write.parquet(f"{self.path}/counters/run={run}")
+        return new
 
     def counters(self) -> np.ndarray:
-        got = self._read("counters", "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        out = np.zeros(COUNTERS, np.float32)
-        out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.float32)
-        return out
+        found = self._read("counters", "slot int, n bigint")
+        return gathered(found.groupBy("slot").agg(F.sum("n").alias("n")) if found is not None else self.spark.createDataFrame([], "slot int, n bigint"))
 
-    def match(self, new: DataFrame, coverage: float = 0.35, drop: float = 0.25, threshold: float | None = None) -> DataFrame:
-        """(tid, other, batch_no, coverage, overlap): stored texts of a batch below `before` that a new text repeats.
+    def match(self, new: DataFrame, coverage: float = 0.28, drop: float = 0.25, threshold: float | None = None) -> DataFrame:
+        """(tid, other, batch_no, coverage, overlap): stored texts, of a batch below the new text's last one, that it repeats.
 
-        new: signed texts with `before`, the batch in which they arrive; batch_no is that of the stored text.
+        new: signed texts that need not be in the store; batch_no is that of the stored text.
         """
         common = self.spark.sparkContext.broadcast(self.counters())
 
         def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out: list[list] = [[], [], [], []]
-                for tid, chunks, size, weight, before in zip(batch["tid"], batch["chunks"], batch["bytes"], batch["weight"], batch["before"]):
+                for tid, chunks, size, weight, before in zip(batch["tid"], batch["chunks"], batch["bytes"], batch["weight"], batch["last"]):
                     chunks, size = np.asarray(chunks, np.int64), np.asarray(size, np.int64)
                     order = rare_first(chunks, common.value)
                     left = weight - np.cumsum(size[order]) + size[order]
@@ -124,13 +127,22 @@ class ChunkStore:
                         o.extend(v)
                 yield pd.DataFrame(dict(zip(["tid", "chunk", "weight", "before"], out)))
 
-        wanted = new.select("tid", "chunks", "bytes", "weight", "before").mapInPandas(looked_up, "tid binary, chunk bigint, weight bigint, before int")
-        stored = self.chunks().select("chunk", F.col("tid").alias("other"), "bytes", "batch_no")
-        met = wanted.join(stored, "chunk").where("batch_no < before and tid <> other")
-        met = met.groupBy("tid", "other", "batch_no").agg(F.sum("bytes").alias("shared"), F.first("weight").alias("weight")).where(F.col("shared") >= (coverage - drop) * F.col("weight") - 1e-9)
-        met = written(met.select("tid", "other", "batch_no"), "met")
-        one = new.select("tid", F.col("shingles").alias("s1"), F.col("chunks").alias("c1"), F.col("bytes").alias("b1"), F.col("weight").alias("w1"))
-        two = self.records().select(F.col("tid").alias("other"), F.col("shingles").alias("s2"), F.col("chunks").alias("c2"))
+        schema = "tid binary, other binary, batch_no int, coverage double, overlap double"
+        stored, records = self._read("chunks", "chunk bigint, tid binary, bytes int, batch_no int"), self.records()
+        if stored is None or records is None:
+            return self.spark.createDataFrame([], schema)
+        wanted = new.select("tid", "chunks", "bytes", "weight", "last").mapInPandas(looked_up, "tid binary, chunk bigint, weight bigint, before int")
+        met = wanted.join(stored.withColumnRenamed("tid", "other"), "chunk").where("batch_no < before and tid <> other")
+        met = met.groupBy("tid", "other").agg(F.sum("bytes").alias("shared"), F.first("weight").alias("weight")).where(F.col("shared") >= (coverage - drop) * F.col("weight") - 1e-9)
+        met = written(met.select("tid", "other"), "met")
+
+        def only(df: DataFrame, column: str) -> DataFrame:
+            """The records that have a candidate; the rest need not be shuffled, if the list is short enough to broadcast."""
+            ids = met.select(F.col(column).alias("tid")).distinct()
+            return df.join(F.broadcast(ids), "tid", "left_semi") if ids.count() <= BROADCAST_ROWS else df
+
+        one = only(new.select("tid", F.col("shingles").alias("s1"), F.col("chunks").alias("c1"), F.col("bytes").alias("b1"), F.col("weight").alias("w1")), "tid")
+        two = only(records.select("tid", "batch_no", F.col("shingles").alias("s2"), F.col("chunks").alias("c2")), "other").withColumnRenamed("tid", "other")
         shared = F.size(F.array_intersect("s1", "s2"))
         found = met.join(one, "tid").join(two, "other").select("tid", "other", "batch_no", (_bytes_shared() / F.col("w1")).alias("coverage"), (shared / (F.size("s1") + F.size("s2") - shared)).alias("overlap"))
         return found.where(F.col("coverage") >= coverage if threshold is None else (F.col("coverage") >= coverage) & (F.col("overlap") >= threshold))
@@ -141,23 +153,28 @@ def _bytes_shared() -> Column:
     return F.aggregate(F.arrays_zip("c1", "b1"), F.lit(0), lambda total, x: total + F.when(F.array_contains(both, x["c1"]), x["b1"]).otherwise(0))
 
 
-def repeated_rows(df: DataFrame, key: str, text: str, batch: str, store: ChunkStore | None = None, n: int = 3, threshold: float = 0.55, least_words: int = 16, modulus: int = 4, coverage: float = 0.35, drop: float = 0.25) -> DataFrame:
-    """(key, batch_no): rows for which an earlier batch, in `df` or in the store, brought a text with this overlap.
+def repeated_rows(df: DataFrame, key: str, text: str, batch: str, store: ChunkStore | None = None, n: int = 3, threshold: float = 0.55, least_words: int = 16, modulus: int = 4, coverage: float = 0.28, drop: float = 0.25, within: str | None = None) -> DataFrame:
+    """(key, within, batch_no): rows for which an earlier batch, in `df` or in the store, brought a text with this overlap.
 
-    All batches of `df` are appended to the store, each text under the batch that first brought it.
+    The texts are matched against the store and against each other, and appended to it, each under the
+    batch that first brought it. within: a column whose values part the rows into groups; texts of
+    different groups are not compared. A text that the store has already keeps its batch there.
     """
     spark = df.sparkSession
     store = store or ChunkStore(spark, f"{scratch_dir(spark)}/quillmesh/store-{uuid.uuid4().hex}")
-    rows = keyed(df, key, text, F.col(batch).cast("int").alias("batch_no")).where("batch_no is not null")
-    made = signed(rows.groupBy("tid").agg(F.first("text").alias("text")), n, least_words, modulus)
-    seen = rows.select("key", "tid", "batch_no").distinct()
-    made = written(made.join(seen.groupBy("tid").agg(F.min("batch_no").alias("first"), F.max("batch_no").alias("last")), "tid"), "signed")
-    store.append(made.withColumnRenamed("first", "batch_no").drop("last"))
-    found = store.match(made.withColumnRenamed("last", "before"), coverage, drop, threshold)
+    rows = keyed(df, key, text, F.col(batch).cast("int").alias("batch_no"), within=within).where("batch_no is not null")
+    texts = rows.groupBy("tid").agg(F.first("text").alias("text"), F.first("within").alias("within"), F.min("batch_no").alias("batch_no"), F.max("batch_no").alias("last"))
+    new = signed(texts, n, least_words, modulus)
+    if store.records() is None:
+        new = store.append(new)
+    else:
+        new = written(new, "signed")
+        store.append(new)
+    found = store.match(new, coverage, drop, threshold)
     # The earliest batch that brought something like it: its own first one, or that of a text found.
-    own = store.records().select("tid", F.col("batch_no").alias("since")).join(made.select("tid"), "tid", "left_semi")
+    own = store.records().select("tid", F.col("batch_no").alias("since"))
     since = found.select("tid", F.col("batch_no").alias("since")).unionByName(own).groupBy("tid").agg(F.min("since").alias("since"))
-    return seen.join(since, "tid").where("batch_no > since").select("key", "batch_no").distinct()
+    return rows.select("key", "tid", "within", "batch_no").distinct().join(since, "tid").where("batch_no > since").select("key", "within", "batch_no").distinct()
 
 
 JOB = "report struct<sentences: array<struct<text: string>>>, _bad string"

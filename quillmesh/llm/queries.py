@@ -34,8 +34,8 @@ def p2_search(spark: SparkSession, d: str) -> DataFrame:
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Corpus documents and scanned sentences as records of one kind."""
-    docs = table(spark, d, "corpus_docs").select(F.col("id").alias("rec_key"), F.col("content").alias("text"))
-    return docs.unionByName(table(spark, d, "sentences").select(F.col("sent_id").alias("rec_key"), "text"))
+    docs = table(spark, d, "corpus_docs").select(F.lit("corpus").alias("src"), F.col("id").alias("rec_key"), F.col("content").alias("text"))
+    return docs.unionByName(table(spark, d, "sentences").select(F.lit("sentence").alias("src"), F.col("sent_id").alias("rec_key"), "text"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,23 +48,19 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    corpus = history.repeated_rows(table(spark, d, "corpus_docs"), "id", "content", "batch_no").select(F.lit("corpus").alias("src"), F.col("key").alias("rec_key"), "batch_no")
-    jobs = table(spark, d, "jobs").select("job_id", "batch_no", history.report_text(F.col("json")).alias("text"))
-    jobs = history.repeated_rows(jobs, "job_id", "text", "batch_no").select(F.lit("job").alias("src"), F.col("key").alias("rec_key"), "batch_no")
-    return corpus.unionByName(jobs)
+    docs = table(spark, d, "corpus_docs").select(F.lit("corpus").alias("src"), F.col("id").alias("rec_key"), F.col("content").alias("text"), "batch_no")
+    jobs = table(spark, d, "jobs").select(F.lit("job").alias("src"), F.col("job_id").alias("rec_key"), history.report_text(F.col("json")).alias("text"), "batch_no")
+    found = history.repeated_rows(docs.unionByName(jobs), "rec_key", "text", "batch_no", within="src")
+    return found.select(F.col("within").alias("src"), F.col("key").alias("rec_key"), "batch_no")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = neardup.near_duplicates(table(spark, d, "corpus_docs"), "id", "content", n=3, threshold=0.55, least_words=16)
-    sentences = neardup.near_duplicates(table(spark, d, "sentences"), "sent_id", "text", n=3, threshold=0.55, least_words=16)
-    return docs.unionByName(sentences)
+    return neardup.near_duplicates(_records(spark, d), "rec_key", "text", n=3, threshold=0.55, least_words=16, within="src")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    everything = _records(spark, d).select("text")
-    docs = sentences.sentences(table(spark, d, "corpus_docs"), "id", "content", everything)
-    several = sentences.sentences(table(spark, d, "sentences"), "sent_id", "text", everything, least=2)
-    return docs.unionByName(several)
+    found = sentences.sentences(_records(spark, d), "rec_key", "text", least=F.when(F.col("src") == "corpus", 1).otherwise(2))
+    return found.select("rec_key", "start_pos", "end_pos")
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.lookalike import _FOLD, _SPACES, _UNSEEN
@@ -217,15 +217,15 @@ def split(text: str, known: dict[str, set[str]], lang: str | None = None) -> lis
     return out
 
 
-def sentences(df: DataFrame, key: str, text: str, learn_from: DataFrame | None = None, least: int = 1, most_known: int = 1_000_000) -> DataFrame:
+def sentences(df: DataFrame, key: str, text: str, least: Column | int = 1, most_known: int = 1_000_000) -> DataFrame:
     """(rec_key, start_pos, end_pos): the sentences of each text that holds at least `least` of them.
 
-    learn_from: (text) rows to learn from, all of `df` if not given. What is learned is broadcast: short
-    tokens only, and at most `most_known` of them or the call fails.
+    least: a number, or a column of `df`. What is learned is broadcast: short tokens only, and at most
+    `most_known` of them or the call fails.
     """
-    rows = keyed(df, key, text)
+    rows = keyed(df, key, text, (least if isinstance(least, Column) else F.lit(least)).alias("least"))
     texts = written(rows.groupBy("tid").agg(F.first("text").alias("text")), "texts")
-    found = learn(texts if learn_from is None else learn_from.select(F.col(learn_from.columns[0]).alias("text")).where("text is not null").distinct()).limit(most_known + 1).collect()
+    found = learn(texts).limit(most_known + 1).collect()
     if len(found) > most_known:
         raise ValueError(f"more than {most_known} abbreviations")
     known: dict[str, set[str]] = {}
@@ -235,12 +235,9 @@ def sentences(df: DataFrame, key: str, text: str, learn_from: DataFrame | None =
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for tid, text in zip(batch["tid"], batch["text"]):
-                spans = split(text, shared.value)
-                if len(spans) >= least:
-                    out += [(tid, a, b) for a, b in spans]
-            yield pd.DataFrame(out, columns=["tid", "start_pos", "end_pos"])
-
-    spans = texts.mapInPandas(cut, "tid binary, start_pos int, end_pos int")
-    return rows.select(F.col("key").alias("rec_key"), "tid").distinct().join(spans, "tid").select("rec_key", "start_pos", "end_pos").distinct()
+            out = [(tid, spans) for tid, text in zip(batch["tid"], batch["text"]) if (spans := split(text, shared.value))]
+            yield pd.DataFrame({"tid": [t for t, _ in out], "spans": [[{"start_pos": a, "end_pos": b} for a, b in s] for _, s in out]})
+
+    spans = texts.mapInPandas(cut, "tid binary, spans array<struct<start_pos:int,end_pos:int>>")
+    placed = rows.select(F.col("key").alias("rec_key"), "tid", "least").distinct().join(spans, "tid").where(F.size("spans") >= F.col("least"))
+    return placed.select("rec_key", F.inline("spans")).distinct()

@@ -12,14 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.lookalike import plain_words
 
 _P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 #: How many hashed counters order shingles from rare to common. Their number is fixed, so what is broadcast is too.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,34 +52,51 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(runs(hashes, n)).view(np.int64)
 
 
-def keyed(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    """(key, tid, text, more...): tid is the digest that stands for the text as stored."""
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), *more).where("key is not null and text is not null").withColumn("tid", F.unhex(F.md5("text")))
+def keyed(df: DataFrame, key: str, text: str, *more: Column, within: str | None = None) -> DataFrame:
+    """(key, tid, text, within, more...): tid is the digest that stands for the text as stored, in its group if `within` names one."""
+    group = F.col(within).cast("string") if within else F.lit("")
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), group.alias("within"), *more).where("key is not null and text is not null and within is not null")
+    return rows.withColumn("tid", F.unhex(F.md5(F.concat_ws("\u0000", "within", "text"))))
 
 
-def sets(texts: DataFrame, n: int, least_words: int) -> DataFrame:
-    """(tid, n, shingles) of the rows (tid, text); texts of fewer words than `least_words` or n have no row."""
+def salt(within: str) -> np.uint64:
+    """What a group adds to every hash, so that texts of different groups share nothing."""
+    return np.uint64(xxhash.xxh3_64_intdigest(within.encode("utf-8", "surrogatepass"))) if within else np.uint64(0)
+
+
+def sets(texts: DataFrame, n: int, least_words: int, bits: int) -> DataFrame:
+    """(tid, n, shingles, print) of the rows (tid, text, within); texts of fewer words than `least_words` or n have no row."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             known: dict[str, int] = {}
             out = []
-            for tid, text in zip(batch["tid"], batch["text"]):
+            for tid, text, within in zip(batch["tid"], batch["text"], batch["within"]):
                 words = plain_words(text)
                 if len(words) >= max(n, least_words):
-                    s = shingle_set(word_hashes(words, known), n)
-                    out.append((tid, len(s), s))
-            yield pd.DataFrame(out, columns=["tid", "n", "shingles"])
+                    s = shingle_set(word_hashes(words, known) + salt(within), n)
+                    out.append((tid, len(s), s, odd_sketch(s, bits).tobytes()))
+            yield pd.DataFrame(out, columns=["tid", "n", "shingles", "print"])
+
+    return texts.select("tid", "text", "within").mapInPandas(made, "tid binary, n int, shingles array<bigint>, print binary")
+
+
+def odd_sketch(values: np.ndarray, bits: int) -> np.ndarray:
+    """`bits` bits (a power of 2) as 64-bit words: each value flips the bit that its hash names."""
+    spots = ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(spots, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+
 
-    return texts.select("tid", "text").mapInPandas(made, "tid binary, n int, shingles array<bigint>")
+def slot_counts(values: DataFrame, column: str) -> DataFrame:
+    """(slot, n): occurrences of an array column's values by hashed slot, of which there are COUNTERS."""
+    return values.select(F.explode(column).alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
 
 
-def counters(values: DataFrame, column: str) -> np.ndarray:
-    """Hashed occurrence counters of an array column's values over all rows: COUNTERS numbers, whatever the data's size."""
-    counted = values.select(F.explode(column).alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    got = counted.toPandas()
-    out = np.zeros(COUNTERS, np.float32)
-    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.float32)
+def gathered(counts: DataFrame) -> np.ndarray:
+    """Counters as one byte each, on a logarithmic scale: an order from rare to common of fixed size."""
+    got = counts.select("slot", F.least(F.lit(127), F.floor(F.log2("n") * 4)).cast("tinyint").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int8)
+    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int8)
     return out
 
 
