@@ -1,4 +1,582 @@
-"""Catalogue of the core queries."""
+"""Catalogue of the core queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmesh.functions import cleaning, prints, rewrite, stylometry, text
+from quillmesh.operators import similarity, store
+from quillmesh.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with the SQL of the same rows if SQL can express it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL pieces -------------------------------------------------------------------------------
+
+WS = text.SPACE_SET
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def d_collapsed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[{WS}]+', ' ', 'g'))"
+
+
+def d_trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def d_sentences(x: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({d_collapsed(x)}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+def d_tokens(x: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1)"
+
+
+def d_hash(x: str) -> str:
+    return f"list_reduce(list_transform(string_split({x}, ''), lambda c: ord(c)::BIGINT), lambda a, b: (xor(a, b) * 16777619) & 4294967295, 2166136261::BIGINT)"
+
+
+def d_kgrams(t: str) -> str:
+    return f"list_transform(range(1, len({t}) - 3), lambda i: {d_hash(f'array_to_string({t}[i:i+4], chr(0))')})"
+
+
+def d_winnowed(h: str) -> str:
+    return f"list_distinct(CASE WHEN len({h}) >= 4 THEN list_transform(range(1, len({h}) - 2), lambda i: list_min({h}[i:i+3])) ELSE {h} END)"
+
+
+def d_normal(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9_{WS}]', '', 'g'), '[{WS}]+', ' ', 'g'))"
+
+
+def d_shingles(x: str, k: int) -> str:
+    return f"list_distinct(list_transform(range(1, length({x}) - {k - 2}), lambda i: {x}[i:i+{k - 1}]))"
+
+
+def d_contained(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b})) / len({a}) ELSE 0.0 END"
+
+
+def d_rounded(x: str, n: int) -> str:
+    return f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"
+
+
+def d_clamp(x: str) -> str:
+    return f"least(greatest({x}, 0.0), 1.0)"
+
+
+SENTENCES = "s AS (SELECT DISTINCT sent_id, job_id, org_id, sent_idx, text FROM sentences WHERE text IS NOT NULL)"
+DOCS = "d AS (SELECT DISTINCT id, content FROM corpus_docs WHERE content IS NOT NULL)"
+CORPUS = f"""one AS (SELECT id, min({{'org_id': org_id, 'content': content}}) AS d FROM corpus_docs WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY id),
+split AS (SELECT id AS doc_id, d.org_id AS org_id, {d_sentences('d.content')} AS l FROM one),
+corpus AS (SELECT doc_id, org_id, unnest(range(0, len(l))) AS sent_idx, unnest(l) AS sentence FROM split)"""
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sentences").select("sent_id", "job_id", "org_id", "sent_idx", "text").where("text is not null").distinct()
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "corpus_docs").select("id", "content").where("content is not null").distinct()
+
+
+def _neighbours(spark: SparkSession, d: str, *cols: Column) -> DataFrame:
+    """Each sentence with the next one of its job; cols are computed once for each sentence."""
+    s = _sentences(spark, d).where("job_id is not null and sent_idx is not null").select("sent_id", "job_id", "sent_idx", "text", *cols)
+    a = s.select(*[F.col(c).alias(f"{c}_a") for c in s.columns], F.col("job_id"), (F.col("sent_idx") + 1).alias("next"))
+    b = s.select(*[F.col(c).alias(f"{c}_b") for c in s.columns], F.col("job_id"), F.col("sent_idx").alias("next"))
+    return a.join(b, ["job_id", "next"])
+
+
+NEXT = "s a JOIN s b ON a.job_id = b.job_id AND b.sent_idx = a.sent_idx + 1"
+
+# --- text -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS}, l AS (SELECT id, {d_sentences('content')} AS l FROM d) SELECT id, unnest(range(0, len(l)))::INT AS sent_idx, unnest(l) AS sentence FROM l")
+def split_sentences(spark, d):
+    return _docs(spark, d).select("id", F.posexplode(text.sentences(F.col("content"))).alias("sent_idx", "sentence"))
+
+
+@query(f"WITH {SENTENCES} SELECT term, count(*) AS n FROM (SELECT unnest({d_tokens('text')}) AS term FROM s) GROUP BY term")
+def token_counts(spark, d):
+    return _sentences(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {SENTENCES}, t AS (SELECT sent_id, text, {d_tokens('text')} AS t FROM s)
+    SELECT sent_id, len(t)::INT AS n_tokens, {d_rounded("CASE WHEN len(t) > 0 THEN len(list_distinct(t)) / len(t) ELSE 1.0 END", 6)} AS diversity FROM t"""
+)
+def sentence_stats(spark, d):
+    t = F.col("t")
+    return _sentences(spark, d).select("sent_id", text.tokens(F.col("text")).alias("t")).select("sent_id", F.size(t).alias("n_tokens"), text.rounded(stylometry.diversity(t), 6).alias("diversity"))
+
+
+_LANGUAGE = " ".join(f"WHEN regexp_matches(content, '(?i)\\b({'|'.join(w)})\\b') THEN '{name}'" for name, w in text.LANGUAGE_WORDS)
+
+
+@query(f"WITH {DOCS} SELECT id, CASE WHEN length(regexp_replace(content, '[\\x00-\\x7F]', '', 'g')) / greatest(1, length(content)) > 0.15 THEN 'multilingual' {_LANGUAGE} ELSE 'en' END AS language FROM d")
+def language_infer(spark, d):
+    return _docs(spark, d).select("id", text.language(F.col("content")).alias("language"))
+
+
+@query(
+    f"""WITH {DOCS}, l AS (SELECT id, list_filter(list_transform(regexp_split_to_array(content, '\\n{{2,}}'), lambda p: {d_trimmed('p')}), lambda p: length(p) > 40) AS l FROM d)
+    SELECT id, unnest(range(0, len(l)))::INT AS para_idx, unnest(l) AS paragraph FROM l"""
+)
+def paragraphs(spark, d):
+    return _docs(spark, d).select("id", F.posexplode(text.paragraphs(F.col("content"))).alias("para_idx", "paragraph"))
+
+
+@query(f"WITH {DOCS} SELECT id, trim(regexp_replace(regexp_replace('<p class=x>' || content || '</p><br/>end', '<[^>]+>', ' ', 'g'), '[{WS}]+', ' ', 'g')) AS plain FROM d")
+def strip_html(spark, d):
+    return _docs(spark, d).select("id", text.strip_tags(F.concat(F.lit("<p class=x>"), "content", F.lit("</p><br/>end"))).alias("plain"))
+
+
+def _d_readable(x: str) -> str:
+    out = d_trimmed(x)
+    for words, plain in text.PLAIN_PHRASES:
+        out = f"regexp_replace({out}, '(?i)\\b({words})\\b', '{plain}', 'g')"
+    return f"regexp_replace({out}, '[{WS}]{{2,}}', ' ', 'g')"
+
+
+@query(
+    f"""WITH {SENTENCES}, r AS (SELECT sent_id, {_d_readable("'Moreover, in order to know, ' || text")} AS r FROM s),
+    c AS (SELECT sent_id, CASE WHEN length(r) > 220 THEN regexp_replace(r, '(?i),[{WS}]+(which|that|because|while|although)[{WS}]+', '. \\1 ', 'g') ELSE r END AS r FROM r)
+    SELECT sent_id, CASE WHEN length(r) > 1 THEN upper(r[1:1]) || r[2:] ELSE r END AS readable FROM c"""
+)
+def readability_rewrite(spark, d):
+    return _sentences(spark, d).select("sent_id", text.readable(F.concat(F.lit("Moreover, in order to know, "), "text")).alias("readable"))
+
+
+# --- cleaning ---------------------------------------------------------------------------------
+
+_FLAGS = f"""list_filter([
+    CASE WHEN regexp_matches(text, '{cleaning.INVISIBLE}') THEN 'invisible_chars:HIGH' END, CASE WHEN regexp_matches(text, '{cleaning.UNUSUAL_SPACE}') THEN 'unusual_whitespace:MEDIUM' END,
+    CASE WHEN n > 5 THEN 'homoglyphs:HIGH' WHEN n > 0 THEN 'homoglyphs:MEDIUM' END, CASE WHEN regexp_matches(text, '{cleaning.FULL_WIDTH}') THEN 'fullwidth_ascii:MEDIUM' END], lambda f: f IS NOT NULL)"""
+
+
+@query(f"WITH {SENTENCES}, c AS (SELECT sent_id, text, len(regexp_extract_all(text, '{cleaning.ANY_LOOK_ALIKE}')) AS n FROM s) SELECT sent_id, unnest({_FLAGS}) AS flag FROM c")
+def obfuscation_flags(spark, d):
+    flags = _sentences(spark, d).select("sent_id", F.inline(cleaning.obfuscation(F.col("text"))))
+    return flags.select("sent_id", F.concat_ws(":", "type", "severity").alias("flag"))
+
+
+def _d_deobfuscated(x: str) -> str:
+    x = f"regexp_replace(regexp_replace({x}, '{cleaning.INVISIBLE}', '', 'g'), '{cleaning.UNUSUAL_SPACE}', ' ', 'g')"
+    x = f"translate({x}, {q(''.join(cleaning.SINGLE))}, {q(''.join(cleaning.SINGLE.values()))})"
+    for of, to in cleaning.LIGATURES.items():
+        x = f"replace({x}, '{of}', '{to}')"
+    return x
+
+
+@query(f"WITH {SENTENCES} SELECT sent_id, {_d_deobfuscated('text')} AS plain FROM s")
+def homoglyph_normalise(spark, d):
+    return _sentences(spark, d).select("sent_id", cleaning.deobfuscated(F.col("text")).alias("plain"))
+
+
+def _d_citation(x: str) -> str:
+    t = d_trimmed(x)
+    short = " OR ".join(f"regexp_matches({t}, '{p}')" for p in (cleaning.IEEE, cleaning.APA, cleaning.MLA))
+    return f"({t} <> '' AND (regexp_matches({t}, '{cleaning.REFERENCE}') OR regexp_matches({t}, '\\b{cleaning.DOI}') OR (length({t}) < 60 AND ({short}))))"
+
+
+_CITED = "CASE WHEN ascii(sent_id[-1:]) % 3 = 0 THEN '[12] ' WHEN ascii(sent_id[-1:]) % 3 = 1 THEN 'As (Smith & Jones, 2019, pp. 3-4) and doi:10.1234/ab.c and https://x.test/y say, ' ELSE '' END || text"
+
+
+def _cited() -> Column:
+    mod = F.ascii(F.substring("sent_id", -1, 1)) % 3
+    return F.concat(F.when(mod == 0, "[12] ").when(mod == 1, "As (Smith & Jones, 2019, pp. 3-4) and doi:10.1234/ab.c and https://x.test/y say, ").otherwise(""), "text")
+
+
+@query(f"WITH {SENTENCES}, c AS (SELECT sent_id, text, {_CITED} AS cited FROM s) SELECT sent_id, {_d_citation('text')} AS as_stored, {_d_citation('cited')} AS with_marker FROM c")
+def citation_flags(spark, d):
+    return _sentences(spark, d).select("sent_id", cleaning.is_citation(F.col("text")).alias("as_stored"), cleaning.is_citation(_cited()).alias("with_marker"))
+
+
+def _d_without(x: str) -> str:
+    for p in (cleaning.APA, cleaning.MLA, cleaning.IEEE):
+        x = f"regexp_replace({x}, '{p}', '', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '\\b{cleaning.DOI}', ''), '{cleaning.URL}', '')"
+    return d_trimmed(f"regexp_replace({x}, '[{WS}]{{2,}}', ' ', 'g')")
+
+
+@query(f"WITH {SENTENCES}, c AS (SELECT sent_id, {_CITED} AS cited FROM s) SELECT sent_id, {_d_without('cited')} AS prose FROM c")
+def strip_citations(spark, d):
+    return _sentences(spark, d).select("sent_id", cleaning.without_citations(_cited()).alias("prose"))
+
+
+@query("SELECT DISTINCT id, regexp_replace(regexp_replace(url, '^.*/', ''), '[^a-zA-Z0-9._-]', '_', 'g') AS name FROM corpus_docs WHERE url IS NOT NULL")
+def filename_sanitise(spark, d):
+    return table(spark, d, "corpus_docs").where("url is not null").select("id", text.safe_name(F.col("url")).alias("name")).distinct()
+
+
+_CODE = "'/* o */ function f' || o_orderkey || '(a, b) { // sum' || chr(10) || ' return a + ' || o_custkey || '.5 * b ; } # done'"
+
+
+def _code() -> Column:
+    return F.concat(F.lit("/* o */ function f"), F.col("o_orderkey"), F.lit("(a, b) { // sum\n return a + "), F.col("o_custkey"), F.lit(".5 * b ; } # done"))
+
+
+def _d_code(x: str) -> str:
+    steps = ((r"/\*[\s\S]*?\*/", " "), (r"//[^\n]*", " "), (r"#[^\n]*", " "), (r'"(?:[^"\\]|\\.)*"', '"STR"'), (r"\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b", "NUM"))
+    for p, to in steps:
+        x = f"regexp_replace({x}, {q(p)}, {q(to)}, 'g')"
+    keep = ", ".join(q(k) for k in rewrite.KEYWORDS)
+    return f"list_transform(list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> ''), lambda t: CASE WHEN t IN ({keep}) OR regexp_matches(t, {q(rewrite.PUNCTUATION)}) THEN t ELSE 'ID' END)"
+
+
+@query(f"SELECT o_orderkey, array_to_string({_d_code(_CODE)}, ' ') AS code FROM orders")
+def code_normalise(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(rewrite.code_tokens(_code()), " ").alias("code"))
+
+
+# --- fingerprints and sets --------------------------------------------------------------------
+
+
+@query(f"WITH {SENTENCES}, t AS (SELECT sent_id, {d_tokens('text')} AS t FROM s), h AS (SELECT sent_id, {d_kgrams('t')} AS h FROM t) SELECT sent_id, unnest(range(0, len(h)))::INT AS pos, unnest(h) AS hash FROM h")
+def kgram_hashes(spark, d):
+    return _sentences(spark, d).select("sent_id", F.posexplode(prints.kgrams(text.tokens(F.col("text")), 5)).alias("pos", "hash"))
+
+
+@query(f"WITH {SENTENCES}, t AS (SELECT sent_id, {d_tokens('text')} AS t FROM s), h AS (SELECT sent_id, {d_kgrams('t')} AS h FROM t) SELECT sent_id, unnest({d_winnowed('h')}) AS print FROM h")
+def winnow_fingerprints(spark, d):
+    return _sentences(spark, d).select("sent_id", F.explode(prints.fingerprint(text.tokens(F.col("text")))).alias("print"))
+
+
+@query(f"WITH {SENTENCES}, n AS (SELECT sent_id, {d_normal('text')} AS n FROM s) SELECT sent_id, len({d_shingles('n', 4)})::INT AS k4, len({d_shingles('n', 6)})::INT AS k6, len({d_shingles('n', 9)})::INT AS k9 FROM n")
+def char_shingles(spark, d):
+    n = _sentences(spark, d).select("sent_id", prints.shingle_text(F.col("text")).alias("n"))
+    return n.select("sent_id", *[F.size(prints.char_shingles(F.col("n"), k)).alias(f"k{k}") for k in (4, 6, 9)])
+
+
+_PAIR = "a.sent_id AS sent_a, b.sent_id AS sent_b"
+
+
+def _pair(df: DataFrame, **values: Column) -> DataFrame:
+    return df.select(F.col("sent_id_a").alias("sent_a"), F.col("sent_id_b").alias("sent_b"), *[text.rounded(v, 6).alias(k) for k, v in values.items()])
+
+
+@query(f"WITH {SENTENCES}, h AS (SELECT *, {d_kgrams(d_tokens('text'))} AS h FROM s), p AS (SELECT *, {d_winnowed('h')} AS p FROM h) SELECT {_PAIR}, {d_rounded(d_contained('a.p', 'b.p'), 6)} AS contained FROM {NEXT.replace('s a', 'p a').replace('s b', 'p b')}")
+def winnow_pairs(spark, d):
+    df = _neighbours(spark, d, prints.fingerprint(text.tokens(F.col("text"))).alias("p"))
+    return _pair(df, contained=prints.containment(F.col("p_a"), F.col("p_b")))
+
+
+@query(
+    f"""WITH {SENTENCES}, n AS (SELECT *, {d_normal('text')} AS n FROM s), k AS (SELECT *, {", ".join(f"{d_shingles('n', k)} AS k{k}" for k in (4, 6, 9))} FROM n)
+    SELECT {_PAIR}, {d_rounded("0.25 * (" + d_contained('a.k4', 'b.k4') + ") + 0.45 * (" + d_contained('a.k6', 'b.k6') + ") + 0.30 * (" + d_contained('a.k9', 'b.k9') + ")", 6)} AS blended FROM {NEXT.replace('s a', 'k a').replace('s b', 'k b')}"""
+)
+def shingle_pairs(spark, d):
+    df = _neighbours(spark, d, *[prints.char_shingles(prints.shingle_text(F.col("text")), k).alias(f"k{k}") for k in (4, 6, 9)])
+    return _pair(df, blended=prints.blended(*[prints.containment(F.col(f"k{k}_a"), F.col(f"k{k}_b")) for k in (4, 6, 9)]))
+
+
+@query(
+    f"""WITH {SENTENCES}, t AS (SELECT *, list_distinct({d_tokens('text')}) AS t FROM s)
+    SELECT {_PAIR}, {d_rounded("CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) ELSE 0.0 END", 6)} AS jaccard FROM {NEXT.replace('s a', 't a').replace('s b', 't b')}"""
+)
+def jaccard_pairs(spark, d):
+    df = _neighbours(spark, d, text.tokens(F.col("text")).alias("t"))
+    return _pair(df, jaccard=prints.jaccard(F.col("t_a"), F.col("t_b")))
+
+
+# --- vectors ----------------------------------------------------------------------------------
+
+_IDF = f"""terms AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({d_tokens('sentence')})) AS term FROM corpus) GROUP BY term),
+idf AS (SELECT term, df, ln(((SELECT count(*) FROM corpus) + 1) / (df + 1)) + 1 AS idf FROM terms)"""
+
+
+@query(f"WITH {CORPUS}, {_IDF} SELECT term, df, {d_rounded('idf', 6)} AS idf FROM idf")
+def idf_table(spark, d):
+    found = similarity.idf_table(similarity.corpus_sentences(table(spark, d, "corpus_docs")))
+    return found.select("term", "df", text.rounded(F.col("idf"), 6).alias("idf"))
+
+
+_STOP = ", ".join(q(w) for w in similarity.STOP_WORDS)
+_WEIGHTS = f"""c AS (SELECT sent_id, list_filter({d_tokens('text')}, lambda w: w NOT IN ({_STOP})) AS c FROM s),
+tf AS (SELECT sent_id, term, n, count(*) AS tf FROM (SELECT sent_id, len(c) AS n, unnest(c) AS term FROM c) GROUP BY sent_id, term, n),
+w AS (SELECT sent_id, tf.term, tf / n * coalesce(idf, ln(2) + 1) AS w FROM tf LEFT JOIN idf ON tf.term = idf.term)"""
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    table_ = similarity.idf_table(similarity.corpus_sentences(table(spark, d, "corpus_docs")))
+    return similarity.term_weights(_sentences(spark, d).select(F.col("sent_id").alias("key"), "text"), table_)
+
+
+@query(f"WITH {CORPUS}, {_IDF}, {SENTENCES}, {_WEIGHTS} SELECT sent_id, term, {d_rounded('w', 6)} AS weight FROM w")
+def tfidf_vectors(spark, d):
+    return _weights(spark, d).select(F.col("key").alias("sent_id"), "term", text.rounded(F.col("weight"), 6).alias("weight"))
+
+
+@query(
+    f"""WITH {CORPUS}, {_IDF}, {SENTENCES}, {_WEIGHTS}, norm AS (SELECT sent_id, sqrt(sum(w * w)) AS n FROM w GROUP BY sent_id),
+    p AS (SELECT {_PAIR} FROM {NEXT}), dots AS (SELECT sent_a, sent_b, sum(x.w * y.w) AS dot FROM p JOIN w x ON x.sent_id = sent_a JOIN w y ON y.sent_id = sent_b AND x.term = y.term GROUP BY sent_a, sent_b)
+    SELECT p.sent_a, p.sent_b, {d_rounded("coalesce(dot / (x.n * y.n), 0.0)", 4)} AS cosine FROM p LEFT JOIN dots ON p.sent_a = dots.sent_a AND p.sent_b = dots.sent_b LEFT JOIN norm x ON x.sent_id = p.sent_a LEFT JOIN norm y ON y.sent_id = p.sent_b"""
+)
+def tfidf_cosine_pairs(spark, d):
+    w = _weights(spark, d)
+    norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    p = _neighbours(spark, d).select(F.col("sent_id_a").alias("sent_a"), F.col("sent_id_b").alias("sent_b"))
+    side = lambda df, c, v: df.withColumnsRenamed({"key": f"sent_{c}", v: f"{v}_{c}"})
+    dots = p.join(side(w, "a", "weight"), "sent_a").join(side(w, "b", "weight"), ["sent_b", "term"]).groupBy("sent_a", "sent_b").agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("dot"))
+    both = p.join(dots, ["sent_a", "sent_b"], "left").join(side(norm, "a", "norm"), "sent_a", "left").join(side(norm, "b", "norm"), "sent_b", "left")
+    return both.select("sent_a", "sent_b", text.rounded(F.coalesce(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), F.lit(0.0)), 4).alias("cosine"))
+
+
+@query(
+    f"""WITH f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), g AS (SELECT f.label, e.embedding AS first FROM f JOIN embeddings e ON e.vec_id = f.vec_id)
+    SELECT vec_id, {d_rounded("list_sum(list_transform(list_zip(e.embedding, g.first), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))", 5)} AS cosine FROM embeddings e JOIN g ON e.label = g.label"""
+)
+def embedding_cosine(spark, d):
+    e = table(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    return e.join(first, "label").select("vec_id", text.rounded(prints.dot(F.col("embedding"), F.col("first")), 5).alias("cosine"))
+
+
+# --- similarity -------------------------------------------------------------------------------
+
+
+def _scan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "sentences").select("org_id", "text"), table(spark, d, "corpus_docs").select("id", "org_id", "content")
+
+
+_ASKED = f"""asked AS (SELECT DISTINCT org_id, text FROM sentences WHERE org_id IS NOT NULL AND text IS NOT NULL),
+qt AS (SELECT org_id, text, list_filter(t, lambda x: true) AS t FROM (SELECT org_id, text, {d_tokens('text')} AS t FROM asked) WHERE len(t) >= 3)"""
+
+
+@query(
+    f"""WITH {CORPUS}, {_ASKED}, qd AS (SELECT org_id, text, unnest(list_distinct(t)) AS term FROM qt),
+    qp AS (SELECT org_id, text, term, min(pos) AS pos FROM (SELECT org_id, text, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM qt) GROUP BY org_id, text, term),
+    posted AS (SELECT DISTINCT doc_id, org_id AS doc_org, term FROM (SELECT doc_id, org_id, unnest({d_tokens('sentence')}) AS term FROM corpus)),
+    met AS (SELECT q.org_id, text, doc_id, count(*) AS shared, min(pos) AS pos FROM qp q JOIN posted p ON q.term = p.term AND (p.doc_org = 'global' OR p.doc_org = q.org_id) GROUP BY q.org_id, text, doc_id)
+    SELECT org_id, text, doc_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id, text ORDER BY shared DESC, pos, doc_id) AS rank FROM met) WHERE rank <= 3"""
+)
+def candidate_docs(spark, d):
+    """The three documents that share most tokens with each scanned sentence, among those its organisation may see."""
+    asked, docs = _scan(spark, d)
+    asked = asked.where("org_id is not null and text is not null").distinct().select(F.xxhash64("org_id", "text").alias("qid"), "org_id", "text", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= 3)
+    corpus = similarity.corpus_sentences(docs)
+    terms = asked.select("qid", "org_id", F.posexplode("tokens").alias("pos", "term")).groupBy("qid", "org_id", "term").agg(F.min("pos").alias("pos"))
+    posted = corpus.select("doc_id", F.col("org_id").alias("doc_org"), F.explode(text.tokens(F.col("sentence"))).alias("term")).distinct()
+    met = similarity.visible(terms, posted, ["term"]).groupBy("qid", "doc_id").agg(F.count("*").alias("shared"), F.min("pos").alias("pos"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("shared"), "pos", "doc_id"))).where("rank <= 3")
+    return ranked.join(asked.select("qid", "org_id", "text"), "qid").select("org_id", "text", "doc_id", "shared", "rank")
+
+
+@query()
+def sentence_sources(spark, d):
+    """The flagship: the best corpus sources of every scanned sentence."""
+    return similarity.sentence_sources(*_scan(spark, d))
+
+
+@query()
+def document_similarity(spark, d):
+    """Each job's similarity from its sentences' best sources."""
+    best = similarity.sentence_sources(*_scan(spark, d)).where("rank = 1").select("org_id", "text", "score")
+    s = _sentences(spark, d).where("job_id is not null and org_id is not null").where(~cleaning.is_citation(F.col("text")))
+    rows = s.join(best, ["org_id", "text"], "left").select(F.col("job_id").alias("key"), text.rounded(F.coalesce("score", F.lit(0.0)), 4).alias("score"), F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+    return similarity.document_scores(rows).withColumnRenamed("key", "job_id")
+
+
+@query(
+    f"""WITH {SENTENCES.replace('sent_idx, text', 'sent_idx, text, similarity_score')}, t AS (SELECT job_id, coalesce(similarity_score, 0.0) AS s, len({d_tokens('text')}) AS t FROM s WHERE job_id IS NOT NULL AND NOT {_d_citation('text')}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY s DESC) AS r, count(*) OVER (PARTITION BY job_id) AS n FROM t),
+    g AS (SELECT job_id, n, sum(t) AS t, sum(s * t) AS st, sum(CASE WHEN s >= 0.20 THEN t ELSE 0 END) AS cov, sum(CASE WHEN s >= 0.12 THEN t ELSE 0 END) AS mc,
+        avg(CASE WHEN r <= greatest(1, ceil(n * 0.25)) THEN s END) AS top, avg(CASE WHEN r <= greatest(1, ceil(n * 0.5)) THEN s END) AS ut, avg(CASE WHEN s >= 0.35 THEN 1.0 ELSE 0.0 END) AS high FROM r GROUP BY job_id, n),
+    b AS (SELECT *, CASE WHEN t > 0 THEN least(1.0, 0.35 * st / t + 0.25 * cov / t + 0.25 * top + 0.15 * ut) END AS b FROM g)
+    SELECT job_id, n, CASE WHEN t > 0 THEN {d_rounded("CASE WHEN mc / t >= 0.92 AND top >= 0.55 AND high >= 0.65 THEN b ELSE least(b, 0.94) END", 4)} ELSE 0.0 END AS similarity FROM b"""
+)
+def stored_similarity(spark, d):
+    """The document blend over the similarity scores stored with the sentences."""
+    s = table(spark, d, "sentences").select("sent_id", "job_id", "org_id", "sent_idx", "text", "similarity_score").where("text is not null and job_id is not null").distinct().where(~cleaning.is_citation(F.col("text")))
+    rows = s.select(F.col("job_id").alias("key"), F.coalesce("similarity_score", F.lit(0.0)).alias("score"), F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+    return similarity.document_scores(rows).withColumnRenamed("key", "job_id")
+
+
+@query(
+    """SELECT job_id, count(*) FILTER (detection_method = 'exact') AS exact, count(*) FILTER (detection_method = 'semantic') AS semantic, count(*) FILTER (detection_method = 'shingle') AS shingle, count(*) FILTER (detection_method = 'embedding') AS embedding
+    FROM (SELECT DISTINCT sent_id, job_id, detection_method FROM sentences WHERE NOT coalesce(is_citation, false)) WHERE job_id IS NOT NULL GROUP BY job_id"""
+)
+def method_breakdown(spark, d):
+    s = table(spark, d, "sentences").where(~F.coalesce("is_citation", F.lit(False))).select("sent_id", "job_id", "detection_method").distinct().where("job_id is not null")
+    return s.groupBy("job_id").agg(*[F.count_if(F.col("detection_method") == m).alias(m) for m in ("exact", "semantic", "shingle", "embedding")])
+
+
+@query(
+    """WITH u AS (SELECT DISTINCT sent_id, job_id, sources FROM sentences WHERE job_id IS NOT NULL AND sources IS NOT NULL), x AS (SELECT job_id, unnest(sources) AS m FROM u)
+    SELECT job_id, m.url AS url, max(m.match_percentage) AS best, count(*) AS matches, count(DISTINCT m.title) AS titles FROM x GROUP BY job_id, m.url"""
+)
+def source_rollup(spark, d):
+    s = table(spark, d, "sentences").where("job_id is not null").select("sent_id", "job_id", "sources").distinct().select("job_id", F.explode("sources").alias("m"))
+    return s.groupBy("job_id", F.col("m.url").alias("url")).agg(F.max("m.match_percentage").alias("best"), F.count("*").alias("matches"), F.countDistinct("m.title").alias("titles"))
+
+
+@query(
+    """WITH u AS (SELECT DISTINCT sent_id, org_id, sources FROM sentences WHERE sources IS NOT NULL), r AS (SELECT u.sent_id, u.sources, coalesce(o.student_source_reveal, false) AS told FROM u LEFT JOIN orgs o ON o.id = u.org_id)
+    SELECT sent_id, CASE WHEN told THEN m.title ELSE '[Source hidden]' END AS title, CASE WHEN told THEN m.url ELSE '#' END AS url, m.match_percentage AS match FROM (SELECT sent_id, told, unnest(sources) AS m FROM r)"""
+)
+def masked_sources(spark, d):
+    orgs = table(spark, d, "orgs").select(F.col("id").alias("org_id"), F.coalesce("student_source_reveal", F.lit(False)).alias("show"))
+    s = table(spark, d, "sentences").select("sent_id", "org_id", "sources").where("sources is not null").distinct().join(orgs, "org_id", "left")
+    hidden = s.select("sent_id", F.explode(store.masked(F.col("sources"), ~F.coalesce("show", F.lit(False)))).alias("m"))
+    return hidden.select("sent_id", "m.title", "m.url", F.col("m.match_percentage").alias("match"))
+
+
+# --- stylometry -------------------------------------------------------------------------------
+
+
+def _d_map(values: dict[str, float], x: str) -> str:
+    return "CASE " + x + " " + " ".join(f"WHEN {q(k)} THEN {v!r}" for k, v in values.items()) + " END"
+
+
+def _d_surprisal(t: str) -> str:
+    pair = f"CASE WHEN i > 1 THEN coalesce({_d_map(stylometry.PAIR_PROBABILITY, f'{t}[i-1] || chr(32) || {t}[i]')}, 0.0) ELSE 0.0 END"
+    return f"list_sum(list_transform(range(1, len({t}) + 1), lambda i: -ln(greatest(1e-6, 0.7 * coalesce({_d_map(stylometry.WORD_PROBABILITY, f'{t}[i]')}, 1e-6) + 0.3 * {pair})))) / len({t})"
+
+
+_TOK = f"t AS (SELECT sent_id, job_id, org_id, sent_idx, text, {d_tokens('text')} AS t FROM s)"
+
+
+@query(f"WITH {SENTENCES}, {_TOK} SELECT sent_id, {d_rounded(_d_surprisal('t'), 6)} AS surprisal FROM t WHERE len(t) > 0")
+def token_surprisal(spark, d):
+    t = _sentences(spark, d).select("sent_id", text.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return t.select("sent_id", text.rounded(stylometry.surprisal(F.col("t")), 6).alias("surprisal"))
+
+
+_TRI = """j AS (SELECT job_id, t[i] || chr(0) || t[i+1] || chr(0) || t[i+2] AS g FROM (SELECT job_id, t, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 3)),
+c AS (SELECT job_id, g, count(*) AS n FROM j GROUP BY job_id, g)"""
+
+
+@query(f"WITH {SENTENCES}, {_TOK}, {_TRI} SELECT job_id, {d_rounded('count(*) FILTER (n > 1) / count(*)', 6)} AS repeated FROM c WHERE job_id IS NOT NULL GROUP BY job_id")
+def trigram_repeat(spark, d):
+    t = _sentences(spark, d).where("job_id is not null").select("job_id", text.tokens(F.col("text")).alias("t")).where(F.size("t") >= 3)
+    g = t.select("job_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.array_join(F.slice(F.col("t"), i, 3), "\u0000"))).alias("g"))
+    counts = g.groupBy("job_id", "g").agg(F.count("*").alias("n"))
+    return counts.groupBy("job_id").agg(text.rounded(F.count_if(F.col("n") > 1) / F.count("*"), 6).alias("repeated"))
+
+
+_LETTERS = "list_filter([{}], lambda c: c > 0)".format(", ".join(f"length(l) - length(replace(l, '{chr(c)}', ''))" for c in range(97, 123)))
+
+
+@query(
+    f"""WITH {SENTENCES}, l AS (SELECT sent_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS l FROM s)
+    SELECT sent_id, {d_rounded(f"-list_sum(list_transform({_LETTERS}, lambda c: c / length(l) * log2(c / length(l))))", 6)} AS entropy FROM l WHERE length(l) >= 20"""
+)
+def letter_entropy(spark, d):
+    return _sentences(spark, d).select("sent_id", text.rounded(stylometry.letter_entropy(F.col("text")), 6).alias("entropy")).where("entropy is not null")
+
+
+def _d_density(x: str, phrases: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains(lower({x}), {q(p)})::INT" for p in phrases) + f") / {len(phrases)}"
+
+
+def _d_calibrated(x: str) -> str:
+    y = stylometry.CALIBRATION["default"]
+    return "CASE " + " ".join(f"WHEN {x} <= {(k + 1) / 5!r} THEN {y[k]!r} + ({x} - {k / 5!r}) / 0.2 * ({y[k + 1]!r} - {y[k]!r})" for k in range(5)) + " ELSE 1.0 END"
+
+
+_SENTENCE_AI = f"""x AS (SELECT sent_id, job_id, sent_idx, text, t, CASE WHEN len(t) > 0 THEN exp({_d_surprisal('t')}) ELSE 999.0 END AS ppl, regexp_replace(lower(text), '[^a-z]', '', 'g') AS l,
+    list_transform(range(1, len(t) - 1), lambda i: t[i] || chr(0) || t[i+1] || chr(0) || t[i+2]) AS g FROM t),
+y AS (SELECT sent_id, job_id, sent_idx, text, t, ppl, {d_clamp('(80 - ppl) / 60')} AS f1,
+    CASE WHEN len(t) < 6 THEN 0.0 ELSE len(list_filter(list_distinct(g), lambda k: len(list_filter(g, lambda h: h = k)) > 1)) / greatest(1, len(list_distinct(g))) END AS f2,
+    CASE WHEN len(t) > 0 THEN len(list_distinct(t)) / len(t) ELSE 1.0 END AS ttr,
+    CASE WHEN length(l) < 20 THEN 0.5 ELSE {d_clamp(f"(4.5 + list_sum(list_transform({_LETTERS}, lambda c: c / length(l) * log2(c / length(l))))) / 2.5")} END AS f4,
+    {_d_density('text', stylometry.CONNECTORS)} AS f5, {_d_density('text', stylometry.TEMPLATES)} AS f6, len(regexp_extract_all(text, '[,:;!?()\\-]')) / greatest(1, length(text)) AS punct FROM x),
+z AS (SELECT *, {d_clamp("0.28 * f1 + 0.14 * f2 + 0.12 * (1 - ttr) + 0.11 * f4 + 0.10 * f5 + 0.10 * f6 + 0.15 * " + d_clamp("1 - punct / 0.05"))} AS raw, least(greatest(0.20 - 0.003 * len(t), 0.06), 0.20) AS spread FROM y),
+p AS (SELECT *, {_d_calibrated('raw')} AS p FROM z)"""
+
+
+@query(
+    f"""WITH {SENTENCES}, {_TOK}, {_SENTENCE_AI} SELECT sent_id, CASE WHEN len(t) < 4 THEN 0.4 ELSE {d_rounded('p', 4)} END AS p,
+    CASE WHEN len(t) < 4 THEN 0.2 ELSE {d_rounded(d_clamp('p - spread'), 4)} END AS lo, CASE WHEN len(t) < 4 THEN 0.6 ELSE {d_rounded(d_clamp('p + spread'), 4)} END AS hi FROM p"""
+)
+def sentence_ai(spark, d):
+    t = _sentences(spark, d).select("sent_id", "text", text.tokens(F.col("text")).alias("t"))
+    return t.select("sent_id", stylometry.sentence_score(F.col("text"), F.col("t")).alias("a")).select("sent_id", "a.p", "a.lo", "a.hi")
+
+
+def _document_signals(spark: SparkSession, d: str) -> DataFrame:
+    """One row of signals for each job, from its sentences in order."""
+    s = _sentences(spark, d).where("job_id is not null").select("job_id", "sent_id", "text", text.tokens(F.col("text")).alias("t"))
+    per = s.groupBy("job_id").agg(
+        F.count("*").alias("n"), F.avg(stylometry.perplexity(F.col("t"))).alias("mean"), F.var_pop(stylometry.perplexity(F.col("t"))).alias("var"),
+        (F.countDistinct(stylometry.opening(F.col("text"))) / F.count("*")).alias("openings"), F.sum(F.size("t")).alias("tokens"),
+        *[F.max(F.lower("text").contains(p).cast("int")).alias(f"c{k}") for k, p in enumerate(stylometry.CONNECTORS)], *[F.max(F.lower("text").contains(p).cast("int")).alias(f"m{k}") for k, p in enumerate(stylometry.TEMPLATES)],
+        *[F.sum(F.length(F.lower("text")) - F.length(F.replace(F.lower("text"), F.lit(chr(c)), F.lit("")))).alias(f"l{chr(c)}") for c in range(97, 123)],
+    )
+    types = s.select("job_id", F.explode("t").alias("w")).groupBy("job_id").agg(F.countDistinct("w").alias("types"))
+    every = per.join(types, "job_id", "left").join(trigram_repeat(spark, d), "job_id", "left")
+    letters = F.array(*[F.col(f"l{chr(c)}") for c in range(97, 123)])
+    total = F.aggregate(letters, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    every = every.withColumn("letters", total)
+    h = F.aggregate(letters, F.lit(0.0), lambda a, x: a - F.when(x > 0, x / F.col("letters") * F.log2(x / F.col("letters"))).otherwise(0.0))
+    mean = lambda p, n: sum((F.col(f"{p}{k}") for k in range(n)), F.lit(0)) / n
+    return every.select(
+        "job_id", stylometry.perplexity_signal(F.col("mean")).alias("perplexity"), stylometry.burstiness_signal(F.col("var"), F.col("n")).alias("burstiness"),
+        F.when(F.col("tokens") < 6, 0.0).otherwise(F.coalesce("repeated", F.lit(0.0))).alias("trigram_repeat"), (1 - F.coalesce(F.col("types") / F.col("tokens"), F.lit(1.0))).alias("lexical_uniformity"),
+        F.when(F.col("letters") < 20, 0.5).otherwise(text.clamp((4.5 - h) / 2.5)).alias("entropy"), mean("m", 8).alias("template_density"), mean("c", 9).alias("connector_density"), (1 - F.col("openings")).alias("structure_uniformity"),
+    )
+
+
+def _d_letters(agg: str) -> str:
+    return ", ".join(f"{agg}(length(lower(text)) - length(replace(lower(text), '{chr(c)}', ''))) AS l{chr(c)}" for c in range(97, 123))
+
+
+_DOCUMENT_AI = f"""{_TRI}, rep AS (SELECT job_id, {d_rounded('count(*) FILTER (n > 1) / count(*)', 6)} AS repeated FROM c GROUP BY job_id),
+v AS (SELECT job_id, text, t, CASE WHEN len(t) > 0 THEN exp({_d_surprisal('t')}) ELSE 999.0 END AS ppl FROM t WHERE job_id IS NOT NULL),
+per AS (SELECT job_id, count(*) AS n, avg(ppl) AS mean, var_pop(ppl) AS var, count(DISTINCT array_to_string(regexp_split_to_array(lower(trim(text)), '\\s+')[1:2], ' ')) / count(*) AS openings, sum(len(t)) AS tokens,
+    {", ".join(f"max(contains(lower(text), {q(p)})::INT) AS c{k}" for k, p in enumerate(stylometry.CONNECTORS))}, {", ".join(f"max(contains(lower(text), {q(p)})::INT) AS m{k}" for k, p in enumerate(stylometry.TEMPLATES))}, {_d_letters('sum')} FROM v GROUP BY job_id),
+types AS (SELECT job_id, count(DISTINCT w) AS types FROM (SELECT job_id, unnest(t) AS w FROM v) GROUP BY job_id),
+e AS (SELECT *, [{", ".join(f"l{chr(c)}" for c in range(97, 123))}]  AS every_letter, {" + ".join(f"l{chr(c)}" for c in range(97, 123))} AS letters FROM per LEFT JOIN types USING (job_id) LEFT JOIN rep USING (job_id)),
+sig AS (SELECT job_id, {d_clamp('(80 - mean) / 60')} AS perplexity, CASE WHEN n < 2 THEN 0.5 ELSE {d_clamp('(1200 - var) / 1200')} END AS burstiness, CASE WHEN tokens < 6 THEN 0.0 ELSE coalesce(repeated, 0.0) END AS trigram_repeat,
+    1 - coalesce(types / nullif(tokens, 0), 1.0) AS lexical_uniformity, CASE WHEN letters < 20 THEN 0.5 ELSE {d_clamp("(4.5 + list_sum(list_transform(list_filter(every_letter, lambda c: c > 0), lambda c: c / letters * log2(c / letters)))) / 2.5")} END AS entropy,
+    ({" + ".join(f"m{k}" for k in range(8))}) / 8 AS template_density, ({" + ".join(f"c{k}" for k in range(9))}) / 9 AS connector_density, 1 - openings AS structure_uniformity FROM e),
+raw AS (SELECT *, 0.25 * perplexity + 0.15 * burstiness + 0.10 * trigram_repeat + 0.10 * lexical_uniformity + 0.10 * entropy + 0.30 * (0.35 * connector_density + 0.35 * template_density + 0.30 * structure_uniformity) AS raw FROM sig),
+cal AS (SELECT *, {_d_calibrated(d_clamp('raw'))} AS p FROM raw),
+doc AS (SELECT *, {d_rounded("CASE WHEN perplexity > 0.75 AND burstiness > 0.75 AND trigram_repeat > 0.55 AND template_density > 0.40 THEN p ELSE least(p, 0.94) END", 4)} AS probability FROM cal)"""
+
+
+def _document_ai(spark: SparkSession, d: str) -> DataFrame:
+    s = _document_signals(spark, d)
+    p = stylometry.calibrated(text.clamp(stylometry.document_raw({k: F.col(k) for k in stylometry.REASONS})))
+    sure = (F.col("perplexity") > 0.75) & (F.col("burstiness") > 0.75) & (F.col("trigram_repeat") > 0.55) & (F.col("template_density") > 0.40)
+    return s.withColumn("probability", text.rounded(F.when(sure, p).otherwise(F.least(p, F.lit(0.94))), 4))
+
+
+@query(f"WITH {SENTENCES}, {_TOK}, {_DOCUMENT_AI} SELECT job_id, {d_rounded('probability', 3)} AS probability, CASE WHEN probability < 0.40 THEN 'LIKELY_HUMAN' WHEN probability < 0.70 THEN 'UNCERTAIN' ELSE 'LIKELY_AI' END AS band FROM doc")
+def document_ai(spark, d):
+    return _document_ai(spark, d).select("job_id", text.rounded(F.col("probability"), 3).alias("probability"), stylometry.band(F.col("probability")).alias("band"))
+
+
+@query()
+def ai_reasons(spark, d):
+    return _document_ai(spark, d).select("job_id", F.explode(stylometry.reasons({k: F.col(k) for k in stylometry.REASONS})).alias("reason"))
+
+
+@query(
+    f"""WITH u AS (SELECT DISTINCT sent_id, ai_probability AS a, similarity_score AS b FROM sentences)
+    SELECT sent_id, CASE WHEN b IS NULL THEN a ELSE {d_rounded(d_clamp('0.35 * a + 0.65 * b'), 4)} END AS fused FROM u WHERE a IS NOT NULL"""
+)
+def ai_fusion(spark, d):
+    u = table(spark, d, "sentences").select("sent_id", "ai_probability", "similarity_score").distinct().where("ai_probability is not null")
+    return u.select("sent_id", stylometry.fused(F.col("ai_probability"), F.col("similarity_score")).alias("fused"))
