@@ -3,7 +3,7 @@
 Two texts belong together if the overlap (Jaccard similarity) of their sets of word runs is at least a
 threshold. The search is exact:
 
-1. A text's fingerprint is a 512-bit odd sketch of its set: every run flips one bit. The Hamming
+1. A text's fingerprint is a 256-bit odd sketch of its set: every run flips one bit. The Hamming
    distance of two fingerprints never exceeds the size of the sets' difference, and sets of sizes a and
    b with overlap >= t differ in at most (1-t)/(1+t) (a+b) runs: a radius that loses no pair.
 2. Fingerprints of unrelated texts all lie about equally far apart, so no vantage point separates them
@@ -32,16 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.wordsets import counters, keyed, rare_first, sets, with_copies
+from quillmesh.llm.wordsets import gathered, keyed, rare_first, sets, slot_counts, with_copies
 from quillmesh.tables import written
 
-BITS = 512
-
-
-def odd_sketch(values: np.ndarray) -> np.ndarray:
-    """512 bits as 8 words: each value flips the bit that its hash names."""
-    spots = ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)).astype(np.int64)
-    return np.packbits((np.bincount(spots, minlength=BITS) & 1).astype(np.uint8)).view(np.uint64)
+BITS = 256
+#: Shards up to this size are compared row by row, vectorised over many shards; larger ones by a tree.
+FEW = 48
 
 
 def reach(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -86,119 +82,146 @@ class VPTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def _pairs_in(group: pd.DataFrame, threshold: float) -> list[tuple[bytes, bytes]]:
-    """Pairs of one shard within the radius: of its residents with each other, and of its visitors with residents."""
-    prints = np.frombuffer(b"".join(group["print"]), np.uint64).reshape(len(group), -1)
-    sizes, tids, home = group["n"].to_numpy(np.float64), group["tid"].to_numpy(), group["home"].to_numpy()
-    residents = np.flatnonzero(home)
+def _close(sizes_a: np.ndarray, sizes_b: np.ndarray, far: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes, whose fingerprints lie this far apart, may have the wanted overlap."""
+    share = (1 - threshold) / (1 + threshold)
+    return (far <= share * (sizes_a + sizes_b) + 1e-9) & (np.minimum(sizes_a, sizes_b) >= threshold * np.maximum(sizes_a, sizes_b) - 1e-9)
+
+
+def _of_small(few: np.ndarray, lengths: np.ndarray, ends: np.ndarray, prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of close pairs of all small shards at once: each row with the one next to it, then the one after, and so on."""
+    at = np.flatnonzero(np.repeat(few, lengths))
+    until = np.repeat(ends, lengths)[at]
+    left, right = [], []
+    step = 1
+    while len(at):
+        keep = at + step < until
+        at, until = at[keep], until[keep]
+        to = at + step
+        ok = (home[at] | home[to]) & _close(sizes[at], sizes[to], np.bitwise_count(prints[at] ^ prints[to]).sum(1), threshold)
+        left.append(at[ok])
+        right.append(to[ok])
+        step += 1
+    return (np.concatenate(left), np.concatenate(right)) if left else (at, at)
+
+
+def _of_large(a: int, b: int, prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of close pairs of one shard: its residents with each other, and its visitors with residents."""
+    residents = np.flatnonzero(home[a:b]) + a
     if not len(residents):
-        return []
-    tree = VPTree(prints[residents])
-    radius, share = reach(sizes, threshold), (1 - threshold) / (1 + threshold)
-    out = []
-    for k in range(len(group)):
-        near = residents[tree.within(prints[k], radius[k])]
+        return residents, residents
+    tree, radius = VPTree(prints[residents]), reach(sizes[a:b], threshold)
+    left, right = [], []
+    for k in range(a, b):
+        near = residents[tree.within(prints[k], radius[k - a])]
         if home[k]:
             near = near[near > k]
-        if len(near):
-            sums = sizes[near] + sizes[k]
-            far = np.bitwise_count(prints[near] ^ prints[k]).sum(1)
-            ok = (far <= share * sums + 1e-9) & (np.minimum(sizes[near], sizes[k]) >= threshold * np.maximum(sizes[near], sizes[k]) - 1e-9)
-            out += [(min(tids[k], t), max(tids[k], t)) for t in tids[near[ok]] if t != tids[k]]
-    return out
+        near = near[_close(sizes[near], sizes[k], np.bitwise_count(prints[near] ^ prints[k]).sum(1), threshold)]
+        left.append(np.full(len(near), k))
+        right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _searched(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Close pairs of the shards rows[starts:ends]."""
+    prints = np.frombuffer(b"".join(rows["print"]), np.uint64).reshape(len(rows), BITS // 64)
+    sizes, ids, home = rows["n"].to_numpy(np.float64), rows["sid"].to_numpy(), rows["home"].to_numpy(bool)
+    few = ends - starts <= FEW
+    found = [_of_small(few, ends - starts, ends, prints, sizes, home, threshold)]
+    found += [_of_large(a, b, prints, sizes, home, threshold) for a, b in zip(starts[~few], ends[~few])]
+    one, two = ids[np.concatenate([f[0] for f in found]).astype(np.int64)], ids[np.concatenate([f[1] for f in found]).astype(np.int64)]
+    pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1)[one != two], axis=0)
+    return pd.DataFrame({"sid_a": pairs[:, 0], "sid_b": pairs[:, 1]})
 
 
 def links(of: DataFrame, threshold: float, leaf: int = 1000) -> DataFrame:
-    """(tid_a, tid_b, overlap) of all sets (tid, n, shingles) with at least this overlap, each pair once."""
+    """(sid_a, sid_b, overlap) of all sets (sid, n, shingles, print) with at least this overlap, each pair once."""
     spark = of.sparkSession
-    common = spark.sparkContext.broadcast(counters(of, "shingles"))
+    common = spark.sparkContext.broadcast(gathered(slot_counts(of, "shingles")))
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            shard, tid, n, prints = [], [], [], []
-            for t, values in zip(batch["tid"], batch["shingles"]):
+            shard = []
+            for values in batch["shingles"]:
                 values = np.asarray(values, np.int64)
-                keep = values[rare_first(values, common.value)[: len(values) - math.ceil(threshold * len(values) - 1e-9) + 1]]
-                shard.append(keep)
-                tid += [t] * len(keep)
-                n += [len(values)] * len(keep)
-                prints += [odd_sketch(values).tobytes()] * len(keep)
-            yield pd.DataFrame({"shard": np.concatenate(shard) if shard else np.empty(0, np.int64), "tid": tid, "n": n, "print": prints})
-
-    seeded = of.select("tid", "shingles").mapInPandas(lambda batches: (b[["shard", "tid"]] for b in seeds(batches)), "shard bigint, tid binary")
-    seeded = written(seeded, "seeds")
-    sized = seeded.groupBy("shard").agg(F.count("*").alias("size"), F.min("tid").alias("vantage")).where("size > 1")
-
-    def printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"tid": batch["tid"], "n": batch["n"], "print": [odd_sketch(np.asarray(v, np.int64)).tobytes() for v in batch["shingles"]]})
-
-    prints = of.mapInPandas(printed, "tid binary, n int, print binary")
-    members = seeded.join(sized, "shard")
-    members = written(members.join(prints, "tid"), "members")
-
-    small = members.where(F.col("size") <= leaf).select("shard", F.lit(0).alias("shell"), F.lit(0).alias("block"), "tid", "n", "print", F.lit(True).alias("home"))
-    large = members.where(F.col("size") > leaf)
-    points = large.where("tid = vantage").select("shard", F.col("print").alias("point")).dropDuplicates(["shard"])
-    width = 64
-
-    def shells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            a = np.frombuffer(b"".join(b["print"]), np.uint64).reshape(len(b), -1)
-            p = np.frombuffer(b"".join(b["point"]), np.uint64).reshape(len(b), -1)
-            far = np.bitwise_count(a ^ p).sum(1).astype(np.float64)
-            low = np.maximum(0, np.floor((far - reach(b["n"].to_numpy(np.float64), threshold)) / width))
-            yield b.assign(at=(far // width).astype(np.int32), low=low.astype(np.int32))[["shard", "tid", "n", "print", "at", "low"]]
-
-    shelled = large.join(points, "shard").select("shard", "tid", "n", "print", "point").mapInPandas(shells, "shard bigint, tid binary, n int, print binary, at int, low int")
-    blocks = shelled.groupBy("shard", "at").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks")).withColumnRenamed("at", "shell")
-    placed = shelled.withColumn("shell", F.explode(F.sequence("low", "at"))).join(blocks, ["shard", "shell"])
-    # A resident lives in one block and queries those before it; a visitor from a higher shell queries all.
-    placed = placed.withColumn("own", F.when(F.col("shell") == F.col("at"), F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")).otherwise(F.col("blocks") - 1))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), "own"))).withColumn("home", (F.col("shell") == F.col("at")) & (F.col("block") == F.col("own")))
-    # Visitors of one block are split as well: the part is a salt of the task, residents are copied to each.
-    parts = F.lit(8)
-    placed = placed.withColumn("part", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("tid", F.lit(1)), parts).cast("int")))))
-    large_rows = placed.select("shard", "shell", (F.col("block") * parts + F.col("part")).alias("block"), "tid", "n", "print", "home")
+                shard.append(values[rare_first(values, common.value)[: len(values) - math.ceil(threshold * len(values) - 1e-9) + 1]])
+            yield pd.DataFrame({"shard": np.concatenate(shard) if shard else np.empty(0, np.int64), "sid": np.repeat(batch["sid"].to_numpy(np.int64), [len(x) for x in shard])})
+
+    seeded = written(of.select("sid", "shingles").mapInPandas(seeds, "shard bigint, sid bigint"), "seeds")
+    sized = written(seeded.groupBy("shard").agg(F.count("*").alias("size"), F.min("sid").alias("vantage")).where("size > 1"), "sized")
+    members = seeded.join(sized, "shard").join(of.select("sid", "n", "print"), "sid")
+    largest = sized.agg(F.max("size").alias("m")).first()["m"] or 0
+    row = ["shard", "shell", "block", "sid", "n", "print", "home"]
+    if largest <= leaf:
+        everywhere = members.select("shard", F.lit(0).alias("shell"), F.lit(0).alias("block"), "sid", "n", "print", F.lit(True).alias("home"))
+    else:
+        members = written(members, "members")
+        small = members.where(F.col("size") <= leaf).select("shard", F.lit(0).alias("shell"), F.lit(0).alias("block"), "sid", "n", "print", F.lit(True).alias("home"))
+        everywhere = small.unionByName(_shells(members.where(F.col("size") > leaf), threshold, leaf).select(*row))
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
-        names = ["shard", "shell", "block"]
         for batch in batches:
             if rest is not None:
                 batch = pd.concat([rest, batch], ignore_index=True)
             if not len(batch):
                 continue
-            key = batch[names].to_numpy()
+            key = batch[row[:3]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            out = []
-            for a, b in zip(starts[:-1], starts[1:]):  # the last group may go on in the next batch
-                out += _pairs_in(batch.iloc[a:b], threshold)
+            if len(starts) > 1:  # the last shard may go on in the next batch
+                yield _searched(batch.iloc[: starts[-1]], starts[:-1], starts[1:], threshold)
             rest = batch.iloc[starts[-1] :]
-            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["tid_a", "tid_b"])
         if rest is not None and len(rest):
-            yield pd.DataFrame(list(dict.fromkeys(_pairs_in(rest, threshold))), columns=["tid_a", "tid_b"])
+            yield _searched(rest, np.array([0]), np.array([len(rest)]), threshold)
 
-    everywhere = small.unionByName(large_rows).repartition("shard", "shell", "block").sortWithinPartitions("shard", "shell", "block")
-    near = written(everywhere.mapInPandas(searched, "tid_a binary, tid_b binary").distinct(), "near")
+    tasks = everywhere.repartition("shard", "shell", "block").sortWithinPartitions("shard", "shell", "block")
+    near = written(tasks.mapInPandas(searched, "sid_a bigint, sid_b bigint").distinct(), "near")
     return compared(near, of, threshold)
 
 
+def _shells(large: DataFrame, threshold: float, leaf: int, width: int = 32, parts: int = 8) -> DataFrame:
+    """Members of large shards at each shell and block where they live (home) or that they query."""
+    points = large.where("sid = vantage").select("shard", F.col("print").alias("point")).dropDuplicates(["shard"])
+
+    def shells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                one, two = (np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in ("print", "point"))
+                far = np.bitwise_count(one ^ two).sum(1).astype(np.float64)
+                low = np.maximum(0, np.floor((far - reach(b["n"].to_numpy(np.float64), threshold)) / width))
+                yield b.assign(at=(far // width).astype(np.int32), low=low.astype(np.int32))[["shard", "sid", "n", "print", "at", "low"]]
+
+    shelled = large.join(points, "shard").select("shard", "sid", "n", "print", "point").mapInPandas(shells, "shard bigint, sid bigint, n int, print binary, at int, low int")
+    blocks = shelled.groupBy("shard", "at").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks")).withColumnRenamed("at", "shell")
+    placed = shelled.withColumn("shell", F.explode(F.sequence("low", "at"))).join(blocks, ["shard", "shell"])
+    # A resident lives in one block and queries those before it; a visitor from a higher shell queries all.
+    placed = placed.withColumn("own", F.when(F.col("shell") == F.col("at"), F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).otherwise(F.col("blocks") - 1))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), "own"))).withColumn("home", (F.col("shell") == F.col("at")) & (F.col("block") == F.col("own")))
+    # Visitors are split over `parts` tasks; residents, of which there are about `leaf`, are copied to each.
+    mine = F.array(F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(parts)).cast("int"))
+    placed = placed.withColumn("part", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(mine)))
+    return placed.withColumn("block", F.col("block") * parts + F.col("part"))
+
+
 def compared(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
-    """(tid_a, tid_b, overlap): the pairs whose sets overlap by at least the threshold, compared exactly."""
-    one = of.select(F.col("tid").alias("tid_a"), F.col("shingles").alias("one"))
-    two = of.select(F.col("tid").alias("tid_b"), F.col("shingles").alias("two"))
+    """(sid_a, sid_b, overlap): the pairs whose sets overlap by at least the threshold, compared exactly."""
+    one = of.select(F.col("sid").alias("sid_a"), F.col("shingles").alias("one"))
+    two = of.select(F.col("sid").alias("sid_b"), F.col("shingles").alias("two"))
     shared = F.size(F.array_intersect("one", "two"))
     overlap = shared / (F.size("one") + F.size("two") - shared)
-    return pairs.join(one, "tid_a").join(two, "tid_b").select("tid_a", "tid_b", overlap.alias("overlap")).where(F.col("overlap") >= threshold)
+    return pairs.join(one, "sid_a").join(two, "sid_b").select("sid_a", "sid_b", overlap.alias("overlap")).where(F.col("overlap") >= threshold)
+
 
+def near_duplicates(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, least_words: int = 5, within: str | None = None, leaf: int = 1000) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: keys of texts with at least this overlap of their n-word runs.
 
-def near_duplicates(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, least_words: int = 5) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: keys of texts with at least this overlap of their n-word runs."""
-    rows = keyed(df, key, text)
-    made = written(sets(rows.groupBy("tid").agg(F.first("text").alias("text")), n, least_words), "sets")
-    found = links(made, threshold).select("tid_a", "tid_b")
+    within: a column whose values part the rows into groups; texts of different groups are not compared.
+    """
+    rows = keyed(df, key, text, within=within)
+    made = sets(rows.groupBy("tid").agg(F.first("text").alias("text"), F.first("within").alias("within")), n, least_words, BITS)
+    made = written(made.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    found = links(made, threshold, leaf)
+    tids = made.select("sid", "tid")
+    found = found.join(tids.withColumnsRenamed({"sid": "sid_a", "tid": "tid_a"}), "sid_a").join(tids.withColumnsRenamed({"sid": "sid_b", "tid": "tid_b"}), "sid_b")
     part = rows.select("key", "tid").distinct().join(made.select("tid"), "tid", "left_semi")
-    return with_copies(part, found)
+    return with_copies(part, found.select("tid_a", "tid_b"))
