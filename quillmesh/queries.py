@@ -580,3 +580,179 @@ def ai_reasons(spark, d):
 def ai_fusion(spark, d):
     u = table(spark, d, "sentences").select("sent_id", "ai_probability", "similarity_score").distinct().where("ai_probability is not null")
     return u.select("sent_id", stylometry.fused(F.col("ai_probability"), F.col("similarity_score")).alias("fused"))
+
+
+# --- reports ----------------------------------------------------------------------------------
+
+_TIPS = (
+    ("similarity >= 0.2", "Rewrite matched passages in your own words and add clear citations for borrowed ideas."),
+    ("ai >= 0.5", "Add your own examples, personal reasoning, and topic-specific details to make authorship clearer."),
+    ("ai >= 0.5", "Vary sentence length and structure naturally instead of repeating template transitions."),
+    ("excluded = 0", "Include proper in-text citations and a reference list where external claims are used."),
+    ("flags > 0", "Remove hidden characters or unusual symbols before submission and keep formatting clean."),
+)
+_NO_TIP = "Good result. Do a final proofreading pass for clarity, citations, and originality."
+_SCORES = "r AS (SELECT job_id, count(*) AS n, sum((round(similarity_score * 10000))::BIGINT) / (count(similarity_score) * 10000.0) AS similarity, sum((round(ai_probability * 10000))::BIGINT) / (count(ai_probability) * 10000.0) AS ai, count(*) FILTER (is_citation) AS excluded, count(*) FILTER (similarity_score >= 0.30 AND NOT coalesce(is_citation, false)) AS high_similarity, count(*) FILTER (ai_probability >= 0.65) AS high_ai FROM (SELECT DISTINCT sent_id, job_id, similarity_score, ai_probability, is_citation FROM sentences WHERE job_id IS NOT NULL) GROUP BY job_id)"
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """One row of stored scores for each job."""
+    s = table(spark, d, "sentences").where("job_id is not null").select("sent_id", "job_id", "similarity_score", "ai_probability", "is_citation").distinct()
+    cited = F.coalesce("is_citation", F.lit(False))
+    # Means over whole ten-thousandths: the same double in whatever order rows are added.
+    mean = lambda c: F.try_divide(F.sum(F.round(F.col(c) * 10000).cast("bigint")), F.count(c) * 10000.0)
+    return s.groupBy("job_id").agg(
+        F.count("*").alias("n"), mean("similarity_score").alias("similarity"), mean("ai_probability").alias("ai"), F.count_if(cited).alias("excluded"),
+        F.count_if((F.col("similarity_score") >= 0.30) & ~cited).alias("high_similarity"), F.count_if(F.col("ai_probability") >= 0.65).alias("high_ai"),
+    )
+
+
+@query(
+    f"""WITH {_SCORES} SELECT job_id, n, {d_rounded('similarity', 3)} AS similarity, {d_rounded('ai', 3)} AS ai, high_similarity, high_ai,
+    CASE WHEN similarity >= 0.35 OR ai >= 0.50 THEN 'HIGH' WHEN similarity >= 0.15 OR ai >= 0.22 THEN 'MODERATE' ELSE 'LOW' END AS band FROM r"""
+)
+def risk_bands(spark, d):
+    s, a = F.col("similarity"), F.col("ai")
+    band = F.when((s >= 0.35) | (a >= 0.50), "HIGH").when((s >= 0.15) | (a >= 0.22), "MODERATE").otherwise("LOW")
+    return _scores(spark, d).select("job_id", "n", text.rounded(s, 3).alias("similarity"), text.rounded(a, 3).alias("ai"), "high_similarity", "high_ai", band.alias("band"))
+
+
+@query(
+    f"""WITH {_SCORES}, f AS (SELECT job_id, count(DISTINCT flag_id) AS flags FROM obfuscation_flags GROUP BY job_id),
+    t AS (SELECT r.job_id, list_filter([{", ".join(f"CASE WHEN {c} THEN {q(t)} END" for c, t in _TIPS)}], lambda x: x IS NOT NULL) AS tips FROM (SELECT r.job_id, coalesce(similarity, 0) AS similarity, coalesce(ai, 0) AS ai, excluded, coalesce(flags, 0) AS flags FROM r LEFT JOIN f ON r.job_id = f.job_id) r)
+    SELECT job_id, unnest(CASE WHEN len(tips) > 0 THEN tips ELSE [{q(_NO_TIP)}] END) AS tip FROM t"""
+)
+def improvement_tips(spark, d):
+    f = table(spark, d, "obfuscation_flags").groupBy("job_id").agg(F.countDistinct("flag_id").alias("flags"))
+    r = _scores(spark, d).join(f, "job_id", "left").na.fill(0, ["similarity", "ai", "flags"])
+    tips = F.filter(F.array(*[F.when(F.expr(c), t) for c, t in _TIPS]), lambda t: t.isNotNull())
+    return r.select("job_id", tips.alias("t")).select("job_id", F.explode(F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit(_NO_TIP)))).alias("tip"))
+
+
+_PARA = f"""p AS (SELECT id, unnest(range(0, len(l))) AS para_idx, unnest(l) AS p FROM (SELECT id, list_filter(list_transform(regexp_split_to_array(content, '\\n{{2,}}'), lambda p: {d_trimmed('p')}), lambda p: length(p) > 40) AS l FROM d)),
+x AS (SELECT id, para_idx, unnest({d_sentences('p')}) AS sentence FROM p), m AS (SELECT text, avg(similarity_score) AS s, avg(ai_probability) AS a FROM (SELECT DISTINCT sent_id, text, similarity_score, ai_probability FROM sentences WHERE text IS NOT NULL) GROUP BY text)"""
+
+
+@query(f"WITH {DOCS}, {_PARA} SELECT id, para_idx::INT AS para_idx, count(*) AS sentence_count, count(m.text) AS matched, {d_rounded('coalesce(avg(s), 0.0)', 4)} AS avg_similarity, {d_rounded('coalesce(avg(a), 0.0)', 4)} AS avg_ai FROM x LEFT JOIN m ON x.sentence = m.text GROUP BY id, para_idx")
+def paragraph_scores(spark, d):
+    """Paragraphs of corpus documents with the mean stored scores of their sentences, as far as these were scanned."""
+    x = paragraphs(spark, d).select("id", "para_idx", F.explode(text.sentences(F.col("paragraph"))).alias("text"))
+    m = table(spark, d, "sentences").select("sent_id", "text", "similarity_score", "ai_probability").where("text is not null").distinct().groupBy("text").agg(F.avg("similarity_score").alias("s"), F.avg("ai_probability").alias("a"), F.lit(1).alias("hit"))
+    zero = F.lit(0.0)
+    return x.join(m, "text", "left").groupBy("id", "para_idx").agg(F.count("*").alias("sentence_count"), F.count("hit").alias("matched"), text.rounded(F.coalesce(F.avg("s"), zero), 4).alias("avg_similarity"), text.rounded(F.coalesce(F.avg("a"), zero), 4).alias("avg_ai"))
+
+
+@query()
+def full_report(spark, d):
+    """The nested report of each job, assembled from the flat results only here."""
+    s = table(spark, d, "sentences").where("job_id is not null").dropDuplicates(["sent_id"])
+    rows = s.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "text", "similarity_score", "ai_probability", "is_citation", "detection_method"))).alias("sentences"))  # of one job
+    return risk_bands(spark, d).join(rows, "job_id").join(method_breakdown(spark, d), "job_id", "left").select("job_id", F.to_json(F.struct("similarity", "ai", "band", "high_similarity", "high_ai", "exact", "semantic", "shingle", "sentences")).alias("report"))
+
+
+# --- records ----------------------------------------------------------------------------------
+
+
+@query("SELECT job_id, seq, status, batch_no FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS r FROM jobs WHERE job_id IS NOT NULL) WHERE r = 1")
+def latest_jobs(spark, d):
+    jobs = table(spark, d, "jobs").where("job_id is not null").select("job_id", "seq", "status", "batch_no")
+    return store.latest(jobs, "job_id", F.col("seq"))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT job_id AS id, min(parent_job_id) AS up FROM jobs WHERE job_id IS NOT NULL GROUP BY job_id), l2 AS (SELECT id, CASE WHEN up <> id THEN up END AS up FROM l),
+    w AS (SELECT id, coalesce(up, id) AS root, CASE WHEN up IS NULL THEN 0 ELSE 1 END AS depth FROM l2 UNION ALL SELECT w.id, l2.up, w.depth + 1 FROM w JOIN l2 ON l2.id = w.root WHERE l2.up IS NOT NULL AND w.depth > 0 AND w.depth < 64)
+    SELECT id, max_by(root, depth) AS root, max(depth)::INT AS depth FROM w GROUP BY id"""
+)
+def scan_history(spark, d):
+    return store.chains(table(spark, d, "jobs").select("job_id", "parent_job_id"), "job_id", "parent_job_id")
+
+
+@query(
+    """WITH j AS (SELECT DISTINCT seq, job_id, org_id, status, batch_no FROM jobs WHERE org_id IS NOT NULL)
+    SELECT seq, job_id, count(*) FILTER (status = 'complete') OVER w + 1 AS version, last_value(CASE WHEN status = 'complete' THEN job_id END IGNORE NULLS) OVER w AS parent FROM j
+    WINDOW w AS (PARTITION BY org_id, batch_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def scan_versions(spark, d):
+    j = table(spark, d, "jobs").select("seq", "job_id", "org_id", "status", "batch_no").where("org_id is not null").distinct()
+    return store.versions(j, ["org_id", "batch_no"], ["seq"], F.col("status") == "complete").select("seq", "job_id", "version", "parent")
+
+
+@query(
+    """SELECT org_id, count(*) AS total, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed
+    FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS r FROM jobs WHERE job_id IS NOT NULL) WHERE r = 1 AND org_id IS NOT NULL GROUP BY org_id"""
+)
+def org_stats(spark, d):
+    last = store.latest(table(spark, d, "jobs").where("job_id is not null").select("job_id", "seq", "org_id", "status"), "job_id", F.col("seq")).where("org_id is not null")
+    return last.groupBy("org_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("queued", "processing", "complete", "failed")])
+
+
+@query("SELECT seq, id, event_type, org_id FROM audit_log ORDER BY seq DESC LIMIT 1000")
+def audit_tail(spark, d):
+    return store.newest(table(spark, d, "audit_log").select("seq", "id", "event_type", "org_id"), "seq", 1000)
+
+
+@query("SELECT event_type, role, count(DISTINCT id) AS events, count(*) - count(DISTINCT id) AS repeated FROM audit_log WHERE id IS NOT NULL GROUP BY event_type, role")
+def audit_counts(spark, d):
+    return table(spark, d, "audit_log").where("id is not null").groupBy("event_type", "role").agg(F.countDistinct("id").alias("events"), (F.count("*") - F.countDistinct("id")).alias("repeated"))
+
+
+@query("SELECT DISTINCT id FROM corpus_docs n WHERE batch_no = 12 AND id NOT IN (SELECT id FROM corpus_docs WHERE batch_no < 12 AND id IS NOT NULL)")
+def anti_insert(spark, d):
+    """What an idempotent insert of the last batch adds."""
+    docs = table(spark, d, "corpus_docs").select("id", "batch_no")
+    return store.inserted(docs.where("batch_no < 12"), docs.where("batch_no = 12"), "id").select("id")
+
+
+@query("SELECT o.id AS org_id, count(DISTINCT d.id) AS docs FROM orgs o JOIN (SELECT DISTINCT id, org_id FROM corpus_docs WHERE org_id IS NOT NULL) d ON d.org_id = o.id OR d.org_id = 'global' GROUP BY o.id")
+def corpus_visibility(spark, d):
+    """How many documents each organisation sees: its own and the shared ones."""
+    docs = table(spark, d, "corpus_docs").where("org_id is not null").select("id", "org_id").distinct()
+    orgs = table(spark, d, "orgs").select(F.col("id").alias("viewer")).select("viewer", F.explode(F.array_distinct(F.array("viewer", F.lit("global")))).alias("org_id"))
+    return docs.join(orgs, "org_id").groupBy(F.col("viewer").alias("org_id")).agg(F.countDistinct("id").alias("docs"))
+
+
+@query("SELECT id, sha256(id) AS key_hash, substr('vk_' || id, 1, 12) AS key_prefix FROM orgs")
+def key_hashes(spark, d):
+    return table(spark, d, "orgs").select("id", F.sha2("id", 256).alias("key_hash"), F.substring(F.concat(F.lit("vk_"), "id"), 1, 12).alias("key_prefix"))
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY lower(coalesce(title, '')) || '|' || lower(coalesce(url, '')) ORDER BY created_at NULLS LAST, id, batch_no) AS r FROM corpus_docs) WHERE r = 1")
+def live_dedupe(spark, d):
+    """The first document of each title and address."""
+    docs = table(spark, d, "corpus_docs").withColumn("k", F.concat_ws("|", F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("url", F.lit("")))))
+    by = Window.partitionBy("k").orderBy(F.col("created_at").asc_nulls_last(), "id", "batch_no")
+    return docs.withColumn("r", F.row_number().over(by)).where("r = 1").select("id")
+
+
+@query(
+    f"""WITH {CORPUS}, t AS (SELECT doc_id, sent_idx, sentence, {d_tokens('sentence')} AS t FROM corpus WHERE length(sentence) BETWEEN 70 AND 260),
+    k AS (SELECT doc_id, sent_idx, sentence, {d_rounded("len(list_distinct(t)) / len(t) - len(regexp_extract_all(sentence, '[0-9]')) / length(sentence)", 6)} AS score FROM t WHERE len(t) >= 12)
+    SELECT doc_id, rank, sentence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_idx) AS rank FROM k) WHERE rank <= 4"""
+)
+def query_sentences(spark, d):
+    """The four most telling sentences of each document."""
+    t = similarity.corpus_sentences(table(spark, d, "corpus_docs")).where(F.length("sentence").between(70, 260)).withColumn("t", text.tokens(F.col("sentence"))).where(F.size("t") >= 12)
+    score = text.rounded(stylometry.diversity(F.col("t")) - F.regexp_count("sentence", F.lit("[0-9]")) / F.length("sentence"), 6)
+    return store.newest_per(t.withColumn("score", score), "doc_id", 4, F.desc("score"), F.col("sent_idx")).select("doc_id", "rank", "sentence", "score")
+
+
+@query("SELECT org_id, job_id, rank FROM (SELECT org_id, job_id, row_number() OVER (PARTITION BY org_id ORDER BY seq DESC) AS rank FROM (SELECT org_id, job_id, max(seq) AS seq FROM jobs WHERE status = 'complete' AND org_id IS NOT NULL AND job_id IS NOT NULL GROUP BY org_id, job_id)) WHERE rank <= 250")
+def cross_submission_corpus(spark, d):
+    """The newest finished jobs of each organisation: what later scans are compared with as well."""
+    done = table(spark, d, "jobs").where("status = 'complete' and org_id is not null and job_id is not null").groupBy("org_id", "job_id").agg(F.max("seq").alias("seq"))
+    return store.newest_per(done, "org_id", 250, F.desc("seq")).select("org_id", "job_id", "rank")
+
+
+@query("SELECT time_bucket(INTERVAL '60 seconds', ts) AS window_start, user_id, count(*) AS requests, count(*) > 3 AS limited FROM events GROUP BY 1, 2")
+def ip_rate_windows(spark, d):
+    w = table(spark, d, "events").groupBy(F.window("ts", "60 seconds").alias("w"), "user_id").agg(F.count("*").alias("requests"))
+    return w.select(F.col("w.start").alias("window_start"), "user_id", "requests", (F.col("requests") > 3).alias("limited"))
+
+
+@query()
+def rate_limit(spark, d):
+    """Requests allowed and denied by the per-user limiter whose window begins at the first request."""
+    from quillmesh.streaming.limiter import limited
+
+    return limited(table(spark, d, "events"), "user_id", "ts", "event_id", most=20, seconds=3600)
