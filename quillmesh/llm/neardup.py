@@ -38,6 +38,8 @@ from quillmesh.tables import written
 BITS = 256
 #: Shards up to this size are compared row by row, vectorised over many shards; larger ones by a tree.
 FEW = 48
+#: Up to so many 8-byte ids are broadcast to leave out sets without any candidate.
+BROADCAST_ROWS = 2_000_000
 
 
 def reach(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -205,8 +207,14 @@ def _shells(large: DataFrame, threshold: float, leaf: int, width: int = 32, part
 
 def compared(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
     """(sid_a, sid_b, overlap): the pairs whose sets overlap by at least the threshold, compared exactly."""
-    one = of.select(F.col("sid").alias("sid_a"), F.col("shingles").alias("one"))
-    two = of.select(F.col("sid").alias("sid_b"), F.col("shingles").alias("two"))
+
+    def only(df: DataFrame, column: str) -> DataFrame:
+        """Sets that stand in a pair; the rest need not be shuffled, if the list is short enough to broadcast."""
+        ids = pairs.select(F.col(column).alias("sid")).distinct()
+        return df.join(F.broadcast(ids), "sid", "left_semi") if ids.count() <= BROADCAST_ROWS else df
+
+    one = only(of.select("sid", F.col("shingles").alias("one")), "sid_a").withColumnRenamed("sid", "sid_a")
+    two = only(of.select("sid", F.col("shingles").alias("two")), "sid_b").withColumnRenamed("sid", "sid_b")
     shared = F.size(F.array_intersect("one", "two"))
     overlap = shared / (F.size("one") + F.size("two") - shared)
     return pairs.join(one, "sid_a").join(two, "sid_b").select("sid_a", "sid_b", overlap.alias("overlap")).where(F.col("overlap") >= threshold)

@@ -17,11 +17,11 @@ Defined results
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +37,10 @@ FUNCTION_WORDS = {
     "de": "der die das und nicht wird mit für unter ist ein eine auch wurde zwischen von".split(),
     "es": "el los las una con para según donde muy más está fue como pero del y".split(),
 }
-SCRIPTS = (("th", "\u0e00-\u0e7f"), ("ja", "\u3040-\u30ff"), ("zh", "\u4e00-\u9fff"), ("hi", "\u0900-\u097f"), ("ar", "\u0600-\u06ff"), ("el", "\u0370-\u03ff\u1f00-\u1fff"), ("ru", "\u0400-\u04ff"), ("", "A-Za-zÀ-ɏ"))
-_SCRIPTS = [(name, re.compile(f"[{chars}]")) for name, chars in SCRIPTS]
-_LANG_WORDS = {w: [x for x in FUNCTION_WORDS if w in FUNCTION_WORDS[x]] for ws in FUNCTION_WORDS.values() for w in ws}
+# First and last blocks of 128 code points of each script.
+SCRIPTS = {"th": (0x1C, 0x1C), "ja": (0x60, 0x61), "zh": (0x9C, 0x13F), "hi": (0x12, 0x12), "ar": (0x0C, 0x0D), "el": (0x06, 0x07), "ru": (0x08, 0x09)}
+_VOTES = {w: tuple(x for x in FUNCTION_WORDS if w in FUNCTION_WORDS[x]) for ws in FUNCTION_WORDS.values() for w in ws}
+_LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
 _X = "[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]*"  # unseen characters between seen ones
 _CLOSE_CJK = "\"'”’»›\\)\\]）」』】"
@@ -54,16 +55,29 @@ _EDGE = "\"'“”„«»‘’‹›()[]（）「」『』【】¿¡,;:"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _votes(words: list[str]) -> Counter:
+    out: Counter = Counter()
+    for which, n in Counter(map(_VOTES.get, words)).items():
+        for x in which or ():
+            out[x] += n
+    return out
+
+
 def language(text: str) -> str:
     """A language code by script, and among those of Latin script by function words."""
-    sample = text
-    counts = {name: len(p.findall(sample)) for name, p in _SCRIPTS}
-    if counts["ja"] and counts["zh"] + counts["ja"] > counts[""] and 8 * counts["ja"] >= counts["zh"]:
-        return "ja"
-    best = max(counts, key=lambda k: counts[k])
-    if best:
-        return best
-    votes = Counter(x for w in sample.lower().split() for x in _LANG_WORDS.get(w.strip(_EDGE + "."), ()))
+    if not text.isascii():
+        blocks = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) >> 7, minlength=0x140)
+        counts = {name: int(blocks[a : b + 1].sum()) for name, (a, b) in SCRIPTS.items()}
+        latin = len(_LATIN.findall(text))
+        if counts["ja"] and counts["zh"] + counts["ja"] > latin and 8 * counts["ja"] >= counts["zh"]:
+            return "ja"
+        best = max(counts, key=lambda k: counts[k])
+        if counts[best] > latin:
+            return best
+    words = text.lower().split()
+    votes = _votes(words)
+    if sum(votes.values()) < 3:  # a short text: look behind the punctuation too
+        votes = _votes([w.strip(_EDGE + ".!?") for w in words])
     return max(FUNCTION_WORDS, key=lambda x: votes[x]) if votes else "en"
 
 
@@ -72,29 +86,30 @@ def plain(token: str) -> str:
     return token if token.isascii() else _UNSEEN.sub("", _SPACES.sub(" ", token)).translate(_FOLD)
 
 
-def _counts(text: str, lang: str, into: Counter) -> None:
+def _tally(tokens: Counter, follows: Counter, lang: str, into: Counter) -> None:
     """Adds (lang, kind, token, next) counts: d a token with a period, w any token without, s what follows a period, c any token."""
-    tokens = [plain(t).strip(_EDGE) for t in _TOKEN.findall(text)]
-    for k, t in enumerate(tokens):
+    for raw, n in tokens.items():
+        t = plain(raw).strip(_EDGE)
         if not t:
             continue
-        after = tokens[k + 1] if k + 1 < len(tokens) else ""
-        if t[-1] == "." and not t.endswith("..") and len(t) > 1:
-            word = t[:-1].lower()
-            if len(word) <= 12 and _LETTER.search(word) and not any(c.isdigit() for c in word):
-                into[lang, "d", word, ""] += 1
-                if after and not after[:1].islower():
-                    into[lang, "s", word, after.rstrip(".")] += 1
-        elif _LETTER.search(t):
-            into[lang, "w", t.lower().rstrip("!?…"), ""] += 1
-        into[lang, "c", t.rstrip(".!?…"), ""] += 1
+        word = _dotted(t)
+        if word:
+            into[lang, "d", word, ""] += n
+        elif t[-1] != "." and _LETTER.search(t):
+            into[lang, "w", t.lower().rstrip("!?…"), ""] += n
+        into[lang, "c", t.rstrip(".!?…"), ""] += n
+    for (raw, after), n in follows.items():
+        word, after = _dotted(plain(raw).strip(_EDGE)), plain(after).strip(_EDGE)
+        if word and after and not after[:1].islower():
+            into[lang, "s", word, after.rstrip(".")] += n
 
 
-def _llr(a: float, b: float, p: float) -> float:
-    """2 log likelihood ratio of a successes in a + b trials against the chance p."""
-    n, q = a + b, a / (a + b)
-    side = lambda k, x: k * math.log(x) if k else 0.0
-    return 2 * (side(a, q) + side(b, 1 - q) - side(a, p) - side(b, 1 - p))
+def _dotted(token: str) -> str:
+    """The word of a token that ends in one period, if it may be an abbreviation."""
+    if len(token) < 2 or token[-1] != "." or token[-2] == "." or len(token) > 13:
+        return ""
+    word = token[:-1].lower()
+    return word if _LETTER.search(word) and not any(c.isdigit() for c in word) else ""
 
 
 def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0) -> DataFrame:
@@ -103,8 +118,13 @@ def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0) -> Data
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             into: Counter = Counter()
+            tokens, follows = defaultdict(Counter), defaultdict(Counter)
             for text in batch["text"]:
-                _counts(text, language(text), into)
+                lang, here = language(text), text.split()
+                tokens[lang].update(here)
+                follows[lang].update([x for x in zip(here, here[1:]) if "." in x[0][-3:]])
+            for lang in tokens:
+                _tally(tokens[lang], follows[lang], lang, into)
             yield pd.DataFrame([(*k, n) for k, n in into.items()], columns=["lang", "kind", "token", "next", "n"])
 
     spark = texts.sparkSession
@@ -140,9 +160,12 @@ def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0) -> Data
 
 def _starts_low(text: str, at: int) -> bool:
     """Whether the next token goes on in lower case; one of mixed case (pH) may begin a sentence."""
-    m = _TOKEN.search(text, at)
-    if not m:
+    n = len(text)
+    while at < n and text[at].isspace():
+        at += 1
+    if at == n or text[at].isupper():
         return False
+    m = _TOKEN.match(text, at)
     token = plain(m[0]).lstrip(_EDGE + "-–—")
     first = next((c for c in token if c.isalnum()), "")
     return first.islower() and not any(c.isupper() for c in token[1:])

@@ -32,6 +32,8 @@ from quillmesh.tables import written
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Up to so many 8-byte anchors are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def gram_hashes(text: str, size: int, tables: dict[str, np.ndarray]) -> np.ndarray:
@@ -46,12 +48,24 @@ def gram_hashes(text: str, size: int, tables: dict[str, np.ndarray]) -> np.ndarr
         return mix((sums[size:] - sums[:-size]) * tables["down"][: n - size + 1])
 
 
+def least_in_windows(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of each window of `span` values, by running minima of blocks from both sides."""
+    n = len(values)
+    padded = np.full(-(-n // span) * span, np.iinfo(values.dtype).max, values.dtype)
+    padded[:n] = values
+    blocks = padded.reshape(-1, span)
+    ahead = np.minimum.accumulate(blocks, 1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - span + 1], ahead[span - 1 : n])
+
+
 def anchors(text: str, least: int, tables: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """(hash, place, first piece, last piece) of each anchor: piece p is text[p : p + least]."""
     gram = least // 2
     hashes = gram_hashes(text, gram, tables)
-    span = least - gram + 1
-    place = np.lib.stride_tricks.sliding_window_view(hashes, span).argmin(1) + np.arange(len(hashes) - span + 1)
+    # The upper 32 bits choose, the lower ones hold the place: of equal hashes the first one.
+    ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    place = (least_in_windows(ranked, least - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     last = np.r_[first[1:] - 1, len(place) - 1]
     return hashes[place[first]].view(np.int64), place[first], first, last
@@ -74,44 +88,46 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard
     n_chars is the length of the record's text, so that a record's share is a sum over its rows.
     """
     gram = least // 2
-    rows = keyed(df, key, text)
-    texts = rows.where(F.length("text") >= least).groupBy("tid").agg(F.first("text").alias("text"), F.min("key").alias("first"), F.max("key").alias("last"))
-    texts = written(texts, "texts")
+    rows = keyed(df, key, text).select("key", "tid", "text")
+    # first and last stand for the least and the greatest key: they differ if there are several.
+    texts = rows.where(F.length("text") >= least).withColumn("k", F.xxhash64("key")).groupBy("tid").agg(F.first("text").alias("text"), F.min("k").alias("first"), F.max("k").alias("last"))
+    texts = written(texts.withColumn("sid", F.monotonically_increasing_id()), "texts")
 
     def found_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
-            parts = [(tid, *anchors(text, least, tables)) for tid, text in zip(batch["tid"], batch["text"])]
+            parts = [anchors(text, least, tables) for text in batch["text"]]
             if parts:
-                yield pd.DataFrame({"anchor": np.concatenate([p[1] for p in parts]), "tid": [p[0] for p in parts for _ in p[1]]} | {c: np.concatenate([p[k] for p in parts]).astype(np.int32) for k, c in ((2, "place"), (3, "lo"), (4, "hi"))})
+                yield pd.DataFrame({"anchor": np.concatenate([p[0] for p in parts]), "sid": np.repeat(batch["sid"].to_numpy(np.int64), [len(p[0]) for p in parts])} | {c: np.concatenate([p[k] for p in parts]).astype(np.int32) for k, c in ((1, "place"), (2, "lo"), (3, "hi"))})
 
-    every = written(texts.select("tid", "text").mapInPandas(found_anchors, "anchor bigint, tid binary, place int, lo int, hi int"), "anchors")
-    recurring = every.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("anchor")
-    at = every.join(recurring, "anchor").groupBy("tid").agg(F.collect_list(F.struct("anchor", "place", "lo", "hi")).alias("at"))  # of one text: as many as it has anchors
-    cut = at.join(texts, "tid").select("tid", "first", "last", "text", F.explode("at").alias("at"))
+    every = written(texts.select("sid", "text").mapInPandas(found_anchors, "anchor bigint, sid bigint, place int, lo int, hi int"), "anchors")
+    recurring = written(every.groupBy("anchor").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("anchor"), "recurring")
+    some = F.broadcast(recurring) if recurring.count() <= BROADCAST_ROWS else recurring
+    at = every.join(some, "anchor").groupBy("sid").agg(F.collect_list(F.struct("anchor", "place", "lo", "hi")).alias("at"))  # of one text: as many as it has anchors
+    cut = at.join(texts.select("sid", "first", "last", "text"), "sid").select("sid", "first", "last", "text", F.explode("at").alias("at"))
     # substring counts code points, from 1
     units = cut.select(
-        "tid", "first", "last", F.col("at.anchor").alias("anchor"), F.col("at.lo").alias("lo"), (F.col("at.place") - F.col("at.lo")).alias("off"),
+        "sid", "first", "last", F.col("at.anchor").alias("anchor"), F.col("at.lo").alias("lo"), (F.col("at.place") - F.col("at.lo")).alias("off"),
         F.expr("substring(text, at.lo + 1, at.hi - at.lo + %d)" % least).alias("around"),
     )
     units = written(units, "units")
     phrase = F.expr(f"substring(around, off + 1, {gram})")
-    confirmed = units.select("anchor", "tid", phrase.alias("phrase")).groupBy("anchor", "phrase").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("anchor", "phrase")
+    confirmed = units.select("anchor", "sid", phrase.alias("phrase")).groupBy("anchor", "phrase").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("anchor", "phrase")
     confirmed = written(confirmed, "passages")
     shards = max(1, -(-confirmed.count() // per_shard))
     shard = F.pmod("anchor", F.lit(shards)).cast("int").alias("shard")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("tid", "binary"), ("first", "string"), ("last", "string"), ("lo", "int"), ("off", "int"))]
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("sid", "bigint"), ("first", "bigint"), ("last", "bigint"), ("lo", "int"), ("off", "int"))]
     book = confirmed.select(shard, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "anchor", F.col("phrase").alias("around"), *nothing)
-    stream = units.select(shard, F.pmod(F.xxhash64("tid"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "anchor", "around", "tid", "first", "last", "lo", "off")
+    stream = units.select(shard, F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "anchor", "around", "sid", "first", "last", "lo", "off")
     tasks = book.unionByName(stream).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
+        import xxhash
 
         here, made, ready = None, ahocorasick.Automaton(), False
-        names = ["tid", "first", "last", "anchor", "lo", "off", "around"]
         for batch in batches:
-            keep = []
+            keep, region = [], []
             for k, (shard, salt, kind, around, off) in enumerate(zip(batch["shard"], batch["salt"], batch["kind"], batch["around"], batch["off"])):
                 if here != (shard, salt):
                     here, made, ready = (shard, salt), ahocorasick.Automaton(), False
@@ -123,31 +139,45 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard
                     ready = True
                 if len(made) and any(end - gram + 1 == off for end, _ in made.iter(around)):
                     keep.append(k)
-            yield batch.iloc[keep][names].astype({"lo": np.int32, "off": np.int32})
+                    region.append(xxhash.xxh3_64_intdigest(around.encode("utf-8", "surrogatepass")))
+            found = batch.iloc[keep]
+            yield pd.DataFrame({"region": np.array(region, np.uint64).view(np.int64), "size": found["around"].str.len().astype(np.int32)} | {c: found[c].to_numpy(t) for c, t in (("sid", np.int64), ("first", np.int64), ("last", np.int64), ("anchor", np.int64), ("lo", np.int32), ("off", np.int32))})
 
-    located_ = written(tasks.mapInPandas(located, "tid binary, first string, last string, anchor bigint, lo int, off int, around string"), "located")
+    located_ = written(tasks.mapInPandas(located, "region bigint, size int, sid bigint, first bigint, last bigint, anchor bigint, lo int, off int"), "located")
     # Equal surroundings of one passage: one region each, with the least and greatest key that holds it.
-    regions = located_.groupBy("anchor", "off", "around").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    regions = written(located_.groupBy("anchor", "off", "region").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min(F.struct("sid", "lo")).alias("at")), "regions")
     open_ = regions.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("first") == F.col("last")).alias("alone")).where("n > 1 and alone > 0").select("anchor")
-    pieces = regions.join(open_, "anchor").select("anchor", "off", "around", "first", "last", F.explode(F.sequence(F.lit(0), F.length("around") - least)).alias("k"))
-    pieces = pieces.select("anchor", "off", "around", "first", "last", "k", (F.col("off") - F.col("k")).alias("before"), F.xxhash64(F.expr(f"substring(around, k + 1, {least})")).alias("piece"))
-    pieces = pieces.withColumn("region", F.xxhash64("around")).drop("around")
+    shown = regions.join(open_, "anchor").select("anchor", "off", "region", "first", "last", "at.sid", "at.lo").join(units.select("sid", "lo", "around"), ["sid", "lo"])
+    pieces = shown.select("anchor", "off", "region", "first", "last", "around", F.explode(F.sequence(F.lit(0), F.length("around") - least)).alias("k"))
+    pieces = pieces.select("anchor", "off", "region", "first", "last", "k", (F.col("off") - F.col("k")).alias("before"), F.xxhash64(F.expr(f"substring(around, k + 1, {least})")).alias("piece"))
     pieces = written(pieces, "pieces")
     shared = pieces.groupBy("anchor", "before", "piece").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a <> b").select("anchor", "before", "piece")
-    partly = pieces.where(F.col("first") == F.col("last")).join(shared, ["anchor", "before", "piece"]).select("anchor", "off", "region", "k")
-    whole = regions.where("first <> last").select("anchor", "off", F.xxhash64("around").alias("region"), F.lit(-1).alias("k"))
-    hits = located_.select("tid", "anchor", "off", "lo", F.xxhash64("around").alias("region"), F.length("around").alias("size")).join(partly.unionByName(whole), ["anchor", "off", "region"])
-    stretches = hits.select("tid", F.when(F.col("k") < 0, F.col("lo")).otherwise(F.col("lo") + F.col("k")).alias("s"), F.when(F.col("k") < 0, F.col("lo") + F.col("size")).otherwise(F.col("lo") + F.col("k") + least).alias("e"))
-    copies = texts.where("first <> last").select("tid", F.lit(0).alias("s"), F.length("text").alias("e"))
-    of_text = stretches.unionByName(copies).groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("all"))  # of one text: as many as it has pieces
+    partly = pieces.where(F.col("first") == F.col("last")).join(shared, ["anchor", "before", "piece"])
+    # The shared pieces of one region lie side by side, or nearly: their first and last places and the gaps between.
+    partly = partly.groupBy("anchor", "off", "region").agg(F.array_sort(F.collect_list("k")).alias("ks"))  # of one region: at most as many as pieces have places
+    whole = regions.where("first <> last").select("anchor", "off", "region", F.lit(None).cast("array<int>").alias("ks"))
+    hits = located_.select("sid", "anchor", "off", "lo", "region", "size").join(partly.unionByName(whole), ["anchor", "off", "region"])
+    of_text = hits.groupBy("sid").agg(F.collect_list(F.struct("lo", "size", "ks")).alias("all"))  # of one text: as many as it has anchors
+    copies = texts.where("first <> last").select("sid", F.array(F.struct(F.lit(0).alias("lo"), F.length("text").alias("size"), F.lit(None).cast("array<int>").alias("ks"))).alias("all"))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(tid, a, b) for tid, every in zip(batch["tid"], batch["all"]) for a, b in merged([x["s"] for x in every], [x["e"] for x in every])]
-            yield pd.DataFrame(out, columns=["tid", "start_pos", "end_pos"])
-
-    spans = of_text.mapInPandas(one, "tid binary, start_pos int, end_pos int")
-    return rows.select(F.col("key").alias("rec_key"), "tid", F.length("text").alias("n_chars")).distinct().join(spans, "tid").select("rec_key", "start_pos", "end_pos", "n_chars").distinct()
+            out = []
+            for sid, every in zip(batch["sid"], batch["all"]):
+                starts, ends = [], []
+                for x in every:
+                    if x["ks"] is None:
+                        starts.append(x["lo"])
+                        ends.append(x["lo"] + x["size"])
+                    else:
+                        starts += [x["lo"] + k for k in x["ks"]]
+                        ends += [x["lo"] + k + least for k in x["ks"]]
+                out.append((sid, [{"start_pos": a, "end_pos": b} for a, b in merged(starts, ends)]))
+            yield pd.DataFrame(out, columns=["sid", "spans"])
+
+    both = of_text.join(copies.select("sid"), "sid", "left_anti").unionByName(copies)
+    spans = both.mapInPandas(one, "sid bigint, spans array<struct<start_pos:int,end_pos:int>>").join(texts.select("sid", "tid"), "sid").select("tid", "spans")
+    return rows.select(F.col("key").alias("rec_key"), "tid", F.length("text").alias("n_chars")).distinct().join(spans, "tid").select("rec_key", "n_chars", F.inline("spans")).distinct()
 
 
 def shared_shares(df: DataFrame, key: str, text: str, least: int = 100) -> DataFrame:
