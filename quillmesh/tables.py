@@ -36,7 +36,7 @@ def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillmesh/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
