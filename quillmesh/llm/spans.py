@@ -36,14 +36,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 BROADCAST_ROWS = 2_000_000
 
 
-def gram_hashes(text: str, size: int, tables: dict[str, np.ndarray]) -> np.ndarray:
-    """A hash of each gram of `size` characters; `tables` keeps the powers from text to text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def gram_hashes(codes: np.ndarray, size: int, tables: dict[str, np.ndarray]) -> np.ndarray:
+    """A hash of each gram of `size` characters; `tables` keeps the powers from call to call."""
     n = len(codes)
     with np.errstate(over="ignore"):
         if len(tables.get("up", ())) <= n:
-            tables["up"] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _BASE, np.uint64)])
-            tables["down"] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _INVERSE, np.uint64)])
+            tables["up"] = np.cumprod(np.r_[np.uint64(1), np.full(n + n // 4, _BASE, np.uint64)])
+            tables["down"] = np.cumprod(np.r_[np.uint64(1), np.full(n + n // 4, _INVERSE, np.uint64)])
         sums = np.r_[np.uint64(0), np.cumsum(mix(codes + np.uint64(_BASE)) * tables["up"][:n])]
         return mix((sums[size:] - sums[:-size]) * tables["down"][: n - size + 1])
 
@@ -59,16 +58,39 @@ def least_in_windows(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(behind[: n - span + 1], ahead[span - 1 : n])
 
 
-def anchors(text: str, least: int, tables: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(hash, place, first piece, last piece) of each anchor: piece p is text[p : p + least]."""
+def anchors(texts: list[str], least: int, tables: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(hash, text, place, first piece, last piece) of each anchor of some texts of at least `least` characters.
+
+    Piece p of a text is text[p : p + least]. The texts are hashed as one row of characters; grams and
+    pieces that would reach over an end are never looked at.
+    """
     gram = least // 2
-    hashes = gram_hashes(text, gram, tables)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts])
+    begins = np.r_[0, np.cumsum(sizes)[:-1]]
+    hashes = gram_hashes(codes, gram, tables)
     # The upper 32 bits choose, the lower ones hold the place: of equal hashes the first one.
     ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    place = (least_in_windows(ranked, least - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    pieces = sizes - least + 1
+    text = np.repeat(np.arange(len(texts)), pieces)
+    piece = np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(pieces)[:-1]], pieces)
+    place = (least_in_windows(ranked, least - gram + 1)[piece + begins[text]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[first[1:] - 1, len(place) - 1]
-    return hashes[place[first]].view(np.int64), place[first], first, last
+    of = text[first]
+    return hashes[place[first]].view(np.int64), of, place[first] - begins[of], piece[first], piece[last]
+
+
+def in_lots(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` characters together."""
+    begin, total = 0, 0
+    for k, t in enumerate(texts):
+        total += len(t)
+        if total >= most:
+            yield begin, k + 1
+            begin, total = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -82,7 +104,7 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard: int = 50_000, salts: int = 8) -> DataFrame:
+def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard: int = 5_000, per_task: int = 200_000) -> DataFrame:
     """(rec_key, start_pos, end_pos, n_chars): stretches covered by pieces of `least` characters of another key's text.
 
     n_chars is the length of the record's text, so that a record's share is a sum over its rows.
@@ -96,9 +118,10 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard
     def found_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
-            parts = [anchors(text, least, tables) for text in batch["text"]]
-            if parts:
-                yield pd.DataFrame({"anchor": np.concatenate([p[0] for p in parts]), "sid": np.repeat(batch["sid"].to_numpy(np.int64), [len(p[0]) for p in parts])} | {c: np.concatenate([p[k] for p in parts]).astype(np.int32) for k, c in ((1, "place"), (2, "lo"), (3, "hi"))})
+            texts, sids = batch["text"].tolist(), batch["sid"].to_numpy(np.int64)
+            for a, b in in_lots(texts):
+                anchor, of, place, lo, hi = anchors(texts[a:b], least, tables)
+                yield pd.DataFrame({"anchor": anchor, "sid": sids[a:b][of], "place": place.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
     every = written(texts.select("sid", "text").mapInPandas(found_anchors, "anchor bigint, sid bigint, place int, lo int, hi int"), "anchors")
     recurring = written(every.groupBy("anchor").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("anchor"), "recurring")
@@ -114,11 +137,15 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard
     phrase = F.expr(f"substring(around, off + 1, {gram})")
     confirmed = units.select("anchor", "sid", phrase.alias("phrase")).groupBy("anchor", "phrase").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("anchor", "phrase")
     confirmed = written(confirmed, "passages")
+    # Shards hold about `per_shard` passages; one with many surroundings is salted over several tasks, its book copied to each.
     shards = max(1, -(-confirmed.count() // per_shard))
     shard = F.pmod("anchor", F.lit(shards)).cast("int").alias("shard")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("sid", "bigint"), ("first", "bigint"), ("last", "bigint"), ("lo", "int"), ("off", "int"))]
-    book = confirmed.select(shard, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "anchor", F.col("phrase").alias("around"), *nothing)
-    stream = units.select(shard, F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "anchor", "around", "sid", "first", "last", "lo", "off")
+    stream = units.select(shard, F.lit(1).alias("kind"), "anchor", "around", "sid", "first", "last", "lo", "off")
+    salts = units.select(shard).groupBy("shard").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts"))
+    stream = stream.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int")).drop("salts")
+    book = confirmed.select(shard, F.lit(0).alias("kind"), "anchor", F.col("phrase").alias("around"), *nothing)
+    book = book.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     tasks = book.unionByName(stream).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,16 +172,18 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard
 
     located_ = written(tasks.mapInPandas(located, "region bigint, size int, sid bigint, first bigint, last bigint, anchor bigint, lo int, off int"), "located")
     # Equal surroundings of one passage: one region each, with the least and greatest key that holds it.
-    regions = written(located_.groupBy("anchor", "off", "region").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min(F.struct("sid", "lo")).alias("at")), "regions")
+    regions = located_.groupBy("anchor", "off", "region").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min(F.struct("sid", "lo")).alias("at"))
+    regions = written(regions.withColumn("rid", F.monotonically_increasing_id()), "regions")
     open_ = regions.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("first") == F.col("last")).alias("alone")).where("n > 1 and alone > 0").select("anchor")
-    shown = regions.join(open_, "anchor").select("anchor", "off", "region", "first", "last", "at.sid", "at.lo").join(units.select("sid", "lo", "around"), ["sid", "lo"])
-    pieces = shown.select("anchor", "off", "region", "first", "last", "around", F.explode(F.sequence(F.lit(0), F.length("around") - least)).alias("k"))
-    pieces = pieces.select("anchor", "off", "region", "first", "last", "k", (F.col("off") - F.col("k")).alias("before"), F.xxhash64(F.expr(f"substring(around, k + 1, {least})")).alias("piece"))
+    shown = regions.join(open_, "anchor").select("anchor", "off", "rid", "first", "last", "at.sid", "at.lo").join(units.select("sid", "lo", "around"), ["sid", "lo"])
+    pieces = shown.select("anchor", "off", "rid", "first", "last", "around", F.explode(F.sequence(F.lit(0), F.length("around") - least)).alias("k"))
+    # A piece is told by its anchor, the anchor's place in it, and its characters.
+    pieces = pieces.select(F.xxhash64("anchor", F.col("off") - F.col("k"), F.expr(f"substring(around, k + 1, {least})")).alias("piece"), "rid", "k", "first", "last")
     pieces = written(pieces, "pieces")
-    shared = pieces.groupBy("anchor", "before", "piece").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a <> b").select("anchor", "before", "piece")
-    partly = pieces.where(F.col("first") == F.col("last")).join(shared, ["anchor", "before", "piece"])
-    # The shared pieces of one region lie side by side, or nearly: their first and last places and the gaps between.
-    partly = partly.groupBy("anchor", "off", "region").agg(F.array_sort(F.collect_list("k")).alias("ks"))  # of one region: at most as many as pieces have places
+    shared = pieces.groupBy("piece").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a <> b").select("piece")
+    partly = pieces.where(F.col("first") == F.col("last")).select("piece", "rid", "k").join(shared, "piece")
+    partly = partly.groupBy("rid").agg(F.array_sort(F.collect_list("k")).alias("ks"))  # of one region: at most as many as pieces have places
+    partly = regions.select("anchor", "off", "region", "rid").join(partly, "rid").drop("rid")
     whole = regions.where("first <> last").select("anchor", "off", "region", F.lit(None).cast("array<int>").alias("ks"))
     hits = located_.select("sid", "anchor", "off", "lo", "region", "size").join(partly.unionByName(whole), ["anchor", "off", "region"])
     of_text = hits.groupBy("sid").agg(F.collect_list(F.struct("lo", "size", "ks")).alias("all"))  # of one text: as many as it has anchors
