@@ -3,7 +3,7 @@
 Two texts belong together if the overlap (Jaccard similarity) of their sets of word runs is at least a
 threshold. The search is exact:
 
-1. A text's fingerprint is a 256-bit odd sketch of its set: every run flips one bit. The Hamming
+1. A text's fingerprint is a 512-bit odd sketch of its set: every run flips one bit. The Hamming
    distance of two fingerprints never exceeds the size of the sets' difference, and sets of sizes a and
    b with overlap >= t differ in at most (1-t)/(1+t) (a+b) runs: a radius that loses no pair.
 2. Fingerprints of unrelated texts all lie about equally far apart, so no vantage point separates them
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.wordsets import gathered, keyed, rare_first, sets, slot_counts, with_copies
 from quillmesh.tables import written
 
-BITS = 256
+BITS = 512
 #: Shards up to this size are compared row by row, vectorised over many shards; larger ones by a tree.
 FEW = 48
 #: Up to so many 8-byte ids are broadcast to leave out sets without any candidate.
@@ -150,8 +150,10 @@ def links(of: DataFrame, threshold: float, leaf: int = 1000) -> DataFrame:
             yield pd.DataFrame({"shard": np.concatenate(shard) if shard else np.empty(0, np.int64), "sid": np.repeat(batch["sid"].to_numpy(np.int64), [len(x) for x in shard])})
 
     seeded = written(of.select("sid", "shingles").mapInPandas(seeds, "shard bigint, sid bigint"), "seeds")
-    sized = written(seeded.groupBy("shard").agg(F.count("*").alias("size"), F.min("sid").alias("vantage")).where("size > 1"), "sized")
-    members = seeded.join(sized, "shard").join(of.select("sid", "n", "print"), "sid")
+    sized = written(seeded.groupBy("shard").agg(F.count("*").alias("size"), F.min("sid").alias("vantage"), F.max("sid").alias("other")).where("size > 1"), "sized")
+    # A shard of two is its pair already; only larger ones are gathered.
+    twos = _near_twos(sized.where("size = 2").select(F.col("vantage").alias("sid_a"), F.col("other").alias("sid_b")).distinct(), of, threshold)
+    members = seeded.join(sized.where("size > 2").drop("other"), "shard").join(of.select("sid", "n", "print"), "sid")
     largest = sized.agg(F.max("size").alias("m")).first()["m"] or 0
     row = ["shard", "shell", "block", "sid", "n", "print", "home"]
     if largest <= leaf:
@@ -177,10 +179,26 @@ def links(of: DataFrame, threshold: float, leaf: int = 1000) -> DataFrame:
             yield _searched(rest, np.array([0]), np.array([len(rest)]), threshold)
 
     tasks = everywhere.repartition("shard", "shell", "block").sortWithinPartitions("shard", "shell", "block")
-    near = written(tasks.mapInPandas(searched, "sid_a bigint, sid_b bigint").distinct(), "near")
+    near = written(tasks.mapInPandas(searched, "sid_a bigint, sid_b bigint").unionByName(twos).distinct(), "near")
     return compared(near, of, threshold)
 
 
+def _near_twos(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (sid_a, sid_b) whose sizes and fingerprints allow the wanted overlap."""
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                one, two = (np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in ("print_a", "print_b"))
+                ok = _close(b["n_a"].to_numpy(np.float64), b["n_b"].to_numpy(np.float64), np.bitwise_count(one ^ two).sum(1), threshold)
+                yield b.loc[ok, ["sid_a", "sid_b"]]
+
+    a = of.select(F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), F.col("print").alias("print_a"))
+    b = of.select(F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("print").alias("print_b"))
+    sized = pairs.join(a, "sid_a").join(b, "sid_b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    return sized.mapInPandas(close, "sid_a bigint, sid_b bigint")
+
+
 def _shells(large: DataFrame, threshold: float, leaf: int, width: int = 32, parts: int = 8) -> DataFrame:
     """Members of large shards at each shell and block where they live (home) or that they query."""
     points = large.where("sid = vantage").select("shard", F.col("print").alias("point")).dropDuplicates(["shard"])
