@@ -1,7 +1,8 @@
 """Problem 4: deduplicating new batches against all history.
 
 Content-defined chunking over words: a word whose hash falls into one residue of `modulus` ends a chunk,
-so an edit changes only the chunks it touches. The store keeps, for each batch,
+so an edit changes only the chunks it touches; short texts
+are cut a second time, more finely. The store keeps, for each batch,
 
 - chunks: (chunk, tid, bytes) of each distinct text first accepted in that batch,
 - records: (tid, batch_no, last, n, shingles, chunks, bytes, weight),
@@ -37,6 +38,8 @@ from quillmesh.tables import scratch_dir, written
 RECORD = "tid binary, batch_no int, last int, n int, shingles array<int>, chunks array<bigint>, bytes array<int>, weight bigint"
 #: Up to so many text digests (16 bytes each) are broadcast to leave out texts without any candidate.
 BROADCAST_ROWS = 2_000_000
+#: Texts of up to so many words hold few chunks, so finer ones stand beside them.
+SHORT = 40
 
 
 def cut(hashes: np.ndarray, lengths: np.ndarray, modulus: int, salted: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +69,9 @@ def signed(texts: DataFrame, n: int, least_words: int, modulus: int) -> DataFram
                     lengths = np.array([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words], np.int32)
                     s = np.unique(runs(hashes, n).astype(np.uint32)).view(np.int32)
                     chunks, size = cut(hashes, lengths, modulus, salt(within))
+                    if len(words) <= SHORT:
+                        fine, fine_size = cut(hashes, lengths, 2, salt(within + "\u0000fine"))
+                        chunks, size = np.r_[chunks, fine], np.r_[size, fine_size]
                     out.append((tid, first, last, len(s), s, chunks, size, int(size.sum())))
             yield pd.DataFrame(out, columns=["tid", "batch_no", "last", "n", "shingles", "chunks", "bytes", "weight"])
 

@@ -112,7 +112,7 @@ def _dotted(token: str) -> str:
     return word if _LETTER.search(word) and not any(c.isdigit() for c in word) else ""
 
 
-def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0) -> DataFrame:
+def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0, least: int = 4) -> DataFrame:
     """(lang, abbreviation) of those after which a sentence does not end, from the counts over all rows (tid, text)."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +139,7 @@ def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0) -> Data
             FROM dotted d JOIN total t ON d.lang = t.lang WHERE a > 0),
         abbreviation AS (
             SELECT lang, token FROM scored
-            WHERE q > p AND 2 * (a * ln(q / p) + if(b > 0, b * ln((1 - q) / (1 - p)), 0)) * exp(-len) * (inner + 1) * pow(greatest(len, 1), -b) >= {cut} AND a >= 2),
+            WHERE q > p AND 2 * (a * ln(q / p) + if(b > 0, b * ln((1 - q) / (1 - p)), 0)) * exp(-len) * (inner + 1) * pow(greatest(len, 1), -b) >= {cut} AND a >= {least}),
         begun AS (
             SELECT s.lang, s.next AS token, sum(s.n) AS a FROM {every} s LEFT ANTI JOIN abbreviation x ON s.lang = x.lang AND s.token = x.token
             WHERE s.kind = 's' GROUP BY s.lang, s.next),
@@ -155,6 +155,7 @@ def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0) -> Data
         every=every,
         cut=cut,
         starter_cut=starter_cut,
+        least=least,
     )
 
 
