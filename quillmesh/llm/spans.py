@@ -175,7 +175,8 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard
     regions = located_.groupBy("anchor", "off", "region").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min(F.struct("sid", "lo")).alias("at"))
     regions = written(regions.withColumn("rid", F.monotonically_increasing_id()), "regions")
     open_ = regions.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("first") == F.col("last")).alias("alone")).where("n > 1 and alone > 0").select("anchor")
-    shown = regions.join(open_, "anchor").select("anchor", "off", "rid", "first", "last", "at.sid", "at.lo").join(units.select("sid", "lo", "around"), ["sid", "lo"])
+    shown = written(regions.join(open_, "anchor").select("off", "rid", "first", "last", "at.sid", "at.lo", "anchor"), "shown")
+    shown = units.select("sid", "lo", "around").join(F.broadcast(shown) if shown.count() <= BROADCAST_ROWS // 5 else shown, ["sid", "lo"])
     pieces = shown.select("anchor", "off", "rid", "first", "last", "around", F.explode(F.sequence(F.lit(0), F.length("around") - least)).alias("k"))
     # A piece is told by its anchor, the anchor's place in it, and its characters.
     pieces = pieces.select(F.xxhash64("anchor", F.col("off") - F.col("k"), F.expr(f"substring(around, k + 1, {least})")).alias("piece"), "rid", "k", "first", "last")
