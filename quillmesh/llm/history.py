@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.lookalike import plain_words
-from quillmesh.llm.wordsets import gathered, keyed, mix, rare_first, runs, salt, slot_counts, word_hashes
+from quillmesh.llm.wordsets import enough_words, gathered, keyed, mix, rare_first, runs, salt, slot_counts, word_hashes
 from quillmesh.tables import scratch_dir, written
 
 RECORD = "tid binary, batch_no int, last int, n int, shingles array<int>, chunks array<bigint>, bytes array<int>, weight bigint"
@@ -168,7 +168,7 @@ def repeated_rows(df: DataFrame, key: str, text: str, batch: str, store: ChunkSt
     """
     spark = df.sparkSession
     store = store or ChunkStore(spark, f"{scratch_dir(spark)}/quillmesh/store-{uuid.uuid4().hex}")
-    rows = keyed(df, key, text, F.col(batch).cast("int").alias("batch_no"), within=within).where("batch_no is not null")
+    rows = keyed(df, key, text, F.col(batch).cast("int").alias("batch_no"), within=within).where("batch_no is not null").where(enough_words(max(n, least_words)))
     texts = rows.groupBy("tid").agg(F.first("text").alias("text"), F.first("within").alias("within"), F.min("batch_no").alias("batch_no"), F.max("batch_no").alias("last"))
     new = signed(texts, n, least_words, modulus)
     if store.records() is None:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.wordsets import gathered, keyed, rare_first, sets, slot_counts, with_copies
+from quillmesh.llm.wordsets import enough_words, gathered, keyed, rare_first, sets, slot_counts, with_copies
 from quillmesh.tables import written
 
 BITS = 512
@@ -243,7 +243,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 5, threshold: f
 
     within: a column whose values part the rows into groups; texts of different groups are not compared.
     """
-    rows = keyed(df, key, text, within=within)
+    rows = keyed(df, key, text, within=within).where(enough_words(max(n, least_words)))
     made = sets(rows.groupBy("tid").agg(F.first("text").alias("text"), F.first("within").alias("within")), n, least_words, BITS)
     made = written(made.withColumn("sid", F.monotonically_increasing_id()), "sets")
     found = links(made, threshold, leaf)

@@ -59,6 +59,11 @@ def keyed(df: DataFrame, key: str, text: str, *more: Column, within: str | None
     return rows.withColumn("tid", F.unhex(F.md5(F.concat_ws("\u0000", "within", "text"))))
 
 
+def enough_words(least: int) -> Column:
+    """Whether a text can have so many words, by its stretches of white space: what can't need not be shuffled."""
+    return F.regexp_count("text", F.lit("[\\s\\x1C-\\x1F\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")) >= least - 1
+
+
 def salt(within: str) -> np.uint64:
     """What a group adds to every hash, so that texts of different groups share nothing."""
     return np.uint64(xxhash.xxh3_64_intdigest(within.encode("utf-8", "surrogatepass"))) if within else np.uint64(0)
