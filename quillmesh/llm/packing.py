@@ -134,12 +134,17 @@ def pack_block(keys: np.ndarray, tokens: np.ndarray, capacity: int) -> list[tupl
     return out
 
 
-def pack(items: DataFrame, key: str, tokens: str, targets: DataFrame, target: str, capacity: str, block: int = 20_000) -> DataFrame:
+def pack(items: DataFrame, key: str, tokens: str, targets: DataFrame, target: str, capacity: str, block: int = 20_000, most_targets: int = 1000) -> DataFrame:
     """(target, container, key, piece, first_token, tokens): where each item lies for each capacity."""
     kind, target_kind = items.schema[key].dataType.simpleString(), targets.schema[target].dataType.simpleString()
     rows = items.select(F.col(key).alias("key"), F.col(tokens).cast("bigint").alias("tokens"))
     blocks = max(1, -(-rows.count() // block))
-    wanted = targets.select(F.col(target).alias("target"), F.col(capacity).cast("bigint").alias("capacity")).where("capacity >= 1").distinct()
+    wanted = targets.select(F.col(target).alias("target"), F.col(capacity).cast("bigint").alias("capacity")).where("capacity >= 1").distinct().limit(most_targets + 1).collect()
+    if len(wanted) > most_targets:
+        raise ValueError(f"more than {most_targets} capacities")
+    schema = f"target {target_kind}, container bigint, key {kind}, piece int, first_token bigint, tokens bigint"
+    if not wanted:
+        return items.sparkSession.createDataFrame([], schema)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
@@ -148,6 +153,7 @@ def pack(items: DataFrame, key: str, tokens: str, targets: DataFrame, target: st
         place, piece, first, size, container = (np.array(x, np.int64) for x in zip(*got))
         return pd.DataFrame({"target": target, "container": (block << 32) + container, "key": keys[place], "piece": piece.astype(np.int32), "first_token": first, "tokens": size})
 
-    # Each of the few capacities is one row: the join copies the sizes, not the texts, once for each.
-    placed = rows.withColumn("one", F.lit(1)).join(F.broadcast(wanted.withColumn("one", F.lit(1)).limit(10_000)), "one").drop("one")
-    return placed.groupBy("target", "block").applyInPandas(packed, f"target {target_kind}, container bigint, key {kind}, piece int, first_token bigint, tokens bigint")
+    # Each item, by its size alone, goes once to each capacity.
+    each = F.array(*[F.struct(F.lit(w["target"]).cast(target_kind).alias("target"), F.lit(w["capacity"]).cast("bigint").alias("capacity")) for w in wanted])
+    placed = rows.select("key", "tokens", "block", F.inline(each))
+    return placed.groupBy("target", "block").applyInPandas(packed, schema)
