@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import prints, text
 from quillmesh.functions.cleaning import without_citations
 from quillmesh.functions.stylometry import LN2_PLUS_1
+from quillmesh.tables import written
 
 # English words without weight.
 STOP_WORDS = (
@@ -34,17 +35,10 @@ def corpus_sentences(docs: DataFrame) -> DataFrame:
     return one.select(F.col("id").alias("doc_id"), F.col("d.org_id").alias("org_id"), F.posexplode(text.sentences(F.col("d.content"))).alias("sent_idx", "sentence"))
 
 
-def idf(sentences: DataFrame) -> DataFrame:
-    """(org_id, term, df, idf) over sentences (org_id, sentence): smoothed, by what each organisation sees (its own and global)."""
+def term_counts(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(org_id, term, df) and (org_id, n): in how many of an organisation's own sentences a term occurs, and how many it has."""
     terms = sentences.select("org_id", F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("term")).groupBy("org_id", "term").agg(F.count("*").alias("df"))
-    sizes = sentences.groupBy("org_id").agg(F.count("*").alias("n"))
-    shared, total = terms.where("org_id = 'global'").select("term", F.col("df").alias("shared")), sizes.agg(F.coalesce(F.sum(F.when(F.col("org_id") == "global", F.col("n"))), F.lit(0)).alias("n_shared"))
-    own = terms.where("org_id <> 'global'").join(shared, "term", "left")
-    # Terms that only the shared part has are looked up under 'global' with each organisation's size.
-    seen = own.select("org_id", "term", (F.col("df") + F.coalesce("shared", F.lit(0))).alias("df")).unionByName(terms.where("org_id = 'global'"))
-    sized = seen.join(sizes, "org_id").join(F.broadcast(total.limit(1)), F.lit(True))
-    n = F.when(F.col("org_id") == "global", F.col("n")).otherwise(F.col("n") + F.col("n_shared"))
-    return sized.select("org_id", "term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return terms, sentences.groupBy("org_id").agg(F.count("*").alias("n"))
 
 
 def idf_table(sentences: DataFrame) -> DataFrame:
@@ -92,13 +86,18 @@ def features(sentence: Column) -> list[Column]:
     return [tokens.alias("tokens"), prints.fingerprint(tokens).alias("prints"), *short]
 
 
-def weight_maps(keyed: DataFrame, table: DataFrame) -> DataFrame:
-    """(key, weights, norm): map of term weights of rows (key, org_id, tokens), by the organisation's table, then the shared one."""
-    terms = keyed.select("key", "org_id", content(F.col("tokens")).alias("c")).select("key", "org_id", F.size("c").alias("n"), F.explode("c").alias("term")).groupBy("key", "org_id", "n", "term").agg(F.count("*").alias("tf"))
-    own = table.select("org_id", "term", "idf")
-    shared = table.where("org_id = 'global'").select("term", F.col("idf").alias("shared_idf"))
-    weighed = terms.join(own, ["org_id", "term"], "left").join(shared, "term", "left").select("key", "term", (F.col("tf") / F.col("n") * F.coalesce("idf", "shared_idf", F.lit(LN2_PLUS_1))).alias("w"))
-    return weighed.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # as many as a sentence has terms
+def weight_maps(rows: DataFrame, keys: list[str], counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(keys..., weights, norm): map of term weights of rows (keys..., org_id, tokens) as that organisation sees the corpus: its own sentences and the shared ones."""
+    terms = rows.select(*keys, F.col("org_id").alias("viewer"), content(F.col("tokens")).alias("c")).select(*keys, "viewer", F.size("c").alias("n_terms"), F.explode("c").alias("term"))
+    terms = terms.groupBy(*keys, "viewer", "n_terms", "term").agg(F.count("*").alias("tf"))
+    own = counts.where("org_id <> 'global'").select(F.col("org_id").alias("viewer"), "term", F.col("df").alias("own_df"))
+    shared = counts.where("org_id = 'global'").select("term", F.col("df").alias("shared_df"))
+    of_viewer = sizes.where("org_id <> 'global'").select(F.col("org_id").alias("viewer"), F.col("n").alias("own_n"))
+    every = terms.join(own, ["viewer", "term"], "left").join(shared, "term", "left").join(of_viewer, "viewer", "left").withColumn("g", F.lit("global")).join(sizes.where("org_id = 'global'").select(F.col("org_id").alias("g"), F.col("n").alias("shared_n")), "g", "left")
+    zero = F.lit(0)
+    df, n = F.coalesce("own_df", zero) + F.coalesce("shared_df", zero), F.coalesce("own_n", zero) + F.coalesce("shared_n", zero)
+    weighed = every.select(*keys, "term", (F.col("tf") / F.col("n_terms") * F.when(df > 0, F.log((n + 1) / (df + 1)) + 1).otherwise(LN2_PLUS_1)).alias("w"))
+    return weighed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # as many as a sentence has terms
 
 
 def sentence_sources(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES, sources: int = SOURCES, threshold: float = THRESHOLD) -> DataFrame:
@@ -112,14 +111,16 @@ def sentence_sources(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES
     asked = queries.where("text is not null and org_id is not null").select("org_id", "text").distinct()
     asked = asked.withColumn("qid", F.xxhash64("org_id", "text")).withColumn("clean", without_citations(F.col("text")))
     asked = asked.select("qid", "org_id", "text", *features(F.col("clean"))).where(F.size("tokens") >= 3)
-    table = idf(corpus).cache()
+    counts, sizes = term_counts(corpus)
+    counts, sizes = written(counts, "term-counts"), written(sizes, "sizes")
     distinct = corpus.select("sentence").distinct().select("sentence", *features(F.col("sentence")))
-    of_query = weight_maps(asked.select(F.col("qid").alias("key"), "org_id", "tokens"), table).withColumnsRenamed({"key": "qid", "weights": "qw", "norm": "qn"})
-    # A sentence's weights depend on its document's organisation only through the table of those who see it; shared ones use the shared table.
-    placed = corpus.join(distinct, "sentence").withColumn("key", F.xxhash64("doc_id", "sent_idx"))
-    of_source = weight_maps(placed.select("key", "org_id", "tokens"), table).withColumnsRenamed({"weights": "sw", "norm": "sn"})
-    placed = placed.join(of_source, "key", "left").select("doc_id", "sent_idx", F.col("prints").alias("sp"), *[F.col(f"c{k}").alias(f"s{k}") for k in (4, 6, 9)], "sw", "sn")
-    met = candidates(asked, corpus, most).select("qid", "doc_id").join(asked.join(of_query, "qid", "left"), "qid").join(placed, "doc_id")
+    of_query = weight_maps(asked, ["qid"], counts, sizes).withColumnsRenamed({"weights": "qw", "norm": "qn"})
+    placed = corpus.join(distinct, "sentence").select("doc_id", "sent_idx", F.col("tokens").alias("st"), F.col("prints").alias("sp"), *[F.col(f"c{k}").alias(f"s{k}") for k in (4, 6, 9)])
+    found = written(candidates(asked, corpus, most).join(asked.select("qid", "org_id"), "qid").select("qid", "org_id", "doc_id"), "candidates")
+    # A source's weights depend on who looks at it; they are made for the pairs of viewer and document that occur.
+    viewed = found.select("org_id", "doc_id").distinct().join(placed.select("doc_id", "sent_idx", F.col("st").alias("tokens")), "doc_id").withColumn("v", F.col("org_id"))
+    of_source = weight_maps(viewed, ["v", "doc_id", "sent_idx"], counts, sizes).withColumnsRenamed({"v": "org_id", "weights": "sw", "norm": "sn"})
+    met = found.select("qid", "doc_id").join(asked.join(of_query, "qid", "left"), "qid").join(placed, "doc_id").join(of_source, ["org_id", "doc_id", "sent_idx"], "left")
     exact = F.when(F.size("tokens") >= 6, prints.containment(F.col("prints"), F.col("sp"))).otherwise(0.0)
     total = F.aggregate(F.map_entries("qw"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("sw"), e["key"]), F.lit(0.0)))
     cosine = F.coalesce(F.when((F.col("qn") > 0) & (F.col("sn") > 0), total / (F.col("qn") * F.col("sn"))), F.lit(0.0))

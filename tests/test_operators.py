@@ -31,6 +31,70 @@ def test_sources_stay_within_an_organisation(spark):
     assert {r["doc_id"] for r in found.collect()} == {"a", "c"}
 
 
+def plain_scores(asked, docs):
+    """The three pair scores straight from their definitions: {(org, text, doc): best score}."""
+    import math
+    import re
+
+    tok = lambda t: [w for w in re.sub("[^a-z0-9]+", " ", t.lower()).split() if len(w) > 1]
+    cut = lambda t: [x.strip() for x in re.split(r"(?<=[.!?]) ", re.sub(r"\s+", " ", t).strip()) if x.strip()]
+
+    def fnv(s):
+        h = 2166136261
+        for c in s:
+            h = ((h ^ ord(c)) * 16777619) & 4294967295
+        return h
+
+    def prints(t):
+        h = [fnv("\0".join(t[i : i + 5])) for i in range(len(t) - 4)]
+        return {min(h[i : i + 4]) for i in range(len(h) - 3)} if len(h) >= 4 else set(h)
+
+    def grams(t, k):
+        n = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9_\s]", "", t.lower())).strip()
+        return {n[i : i + k] for i in range(len(n) - k + 1)}
+
+    inside = lambda a, b: len(a & b) / len(a) if a else 0.0
+    out = {}
+    for org, q in asked:
+        seen = [(d, s) for d, o, t in docs if o in ("global", org) for s in cut(t)]
+        df = {}
+        for _, s in seen:
+            for w in set(tok(s)):
+                df[w] = df.get(w, 0) + 1
+
+        def vector(t, df=df, n=len(seen)):
+            c = [w for w in t if w not in similarity.STOP_WORDS]
+            return {w: c.count(w) / len(c) * (math.log((n + 1) / (df[w] + 1)) + 1 if w in df else math.log(2) + 1) for w in c}
+
+        t = tok(q)
+        if len(t) < 3:
+            continue
+        v = vector(t)
+        for d, s in seen:
+            u = vector(tok(s))
+            norm = math.sqrt(sum(x * x for x in v.values())) * math.sqrt(sum(x * x for x in u.values()))
+            cosine = sum(x * u.get(w, 0) for w, x in v.items()) / norm if norm else 0.0
+            exact = inside(prints(t), prints(tok(s))) if len(t) >= 6 else 0.0
+            shingle = sum(a * inside(grams(q, k), grams(s, k)) for a, k in ((0.25, 4), (0.45, 6), (0.30, 9)))
+            out[org, q, d] = max(out.get((org, q, d), 0), exact, cosine, shingle)
+    return {k: v for k, v in out.items() if v > 0.12}
+
+
+def test_sources_against_the_definitions(spark):
+    import random
+
+    rng = random.Random(11)
+    words = "the fox hill road stone bright river garden machine letter window study of and slowly under seven".split()
+    say = lambda: " ".join(rng.choices(words, k=rng.randint(4, 12))).capitalize() + "."
+    docs = [(f"d{i}", rng.choice(["global", "o1", "o2"]), " ".join(say() for _ in range(3))) for i in range(12)]
+    asked = [(o, say()) for o in ("o1", "o2", "o3") for _ in range(4)] + [("o1", docs[0][2].split(". ")[0] + "."), ("o2", docs[1][2].split(". ")[0] + ".")]
+    found = similarity.sentence_sources(spark.createDataFrame(asked, "org_id string, text string"), spark.createDataFrame(docs, "id string, org_id string, content string"), sources=100)
+    got = {(r["org_id"], r["text"], r["doc_id"]): r["score"] for r in found.collect()}
+    want = plain_scores(dict.fromkeys(asked), docs)
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_candidates_without_shared_tokens(spark):
     corpus = spark.createDataFrame([(f"d{i:03d}", "global", 0, "alpha beta gamma") for i in range(130)], "doc_id string, org_id string, sent_idx int, sentence string")
     asked = spark.createDataFrame([(1, "org-1", ["zeta", "eta", "theta"]), (2, "org-1", ["beta", "alpha", "xx"])], "qid long, org_id string, tokens array<string>")
