@@ -149,7 +149,8 @@ def links(of: DataFrame, threshold: float, leaf: int = 1000) -> DataFrame:
                 shard.append(values[rare_first(values, common.value)[: len(values) - math.ceil(threshold * len(values) - 1e-9) + 1]])
             yield pd.DataFrame({"shard": np.concatenate(shard) if shard else np.empty(0, np.int64), "sid": np.repeat(batch["sid"].to_numpy(np.int64), [len(x) for x in shard])})
 
-    seeded = written(of.select("sid", "shingles").mapInPandas(seeds, "shard bigint, sid bigint"), "seeds")
+    # Made twice, which is cheaper than to keep: as many rows as the texts have rare runs.
+    seeded = of.select("sid", "shingles").mapInPandas(seeds, "shard bigint, sid bigint")
     sized = written(seeded.groupBy("shard").agg(F.count("*").alias("size"), F.min("sid").alias("vantage"), F.max("sid").alias("other")).where("size > 1"), "sized")
     # A shard of two is its pair already; only larger ones are gathered.
     twos = _near_twos(sized.where("size = 2").select(F.col("vantage").alias("sid_a"), F.col("other").alias("sid_b")).distinct(), of, threshold)
