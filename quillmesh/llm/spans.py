@@ -123,7 +123,8 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 100, per_shard
                 anchor, of, place, lo, hi = anchors(texts[a:b], least, tables)
                 yield pd.DataFrame({"anchor": anchor, "sid": sids[a:b][of], "place": place.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
-    every = written(texts.select("sid", "text").mapInPandas(found_anchors, "anchor bigint, sid bigint, place int, lo int, hi int"), "anchors")
+    # Made twice, which is cheaper than to keep.
+    every = texts.select("sid", "text").mapInPandas(found_anchors, "anchor bigint, sid bigint, place int, lo int, hi int")
     recurring = written(every.groupBy("anchor").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("anchor"), "recurring")
     some = F.broadcast(recurring) if recurring.count() <= BROADCAST_ROWS else recurring
     at = every.join(some, "anchor").groupBy("sid").agg(F.collect_list(F.struct("anchor", "place", "lo", "hi")).alias("at"))  # of one text: as many as it has anchors
