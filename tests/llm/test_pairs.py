@@ -156,3 +156,27 @@ def test_nearest(rows):
     few = knn.nearest(rows(data[:3], "i long, e array<float>"), "i", "e", dim=16, parts=4, queries=F.col("id") == 1).collect()
     assert {(r["id"], r["other"]) for r in few} == {(1, 0), (1, 2)}
     assert knn.nearest(rows(edge[:3], "i long, e array<float>"), "i", "e", dim=16).count() == 0
+
+
+def _exact(u, k, least):
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    return {i: [int(j) for j in np.argsort(-s[i], kind="stable")[:k] if s[i, j] >= least] for i in range(len(u))}
+
+
+def test_neighbours_do_not_depend_on_probes_or_keep(rows):
+    rng = np.random.default_rng(9)
+    loose = rng.normal(size=(700, 16))
+    hot = rng.normal(size=16) + 0.15 * rng.normal(size=(400, 16))  # a hot group spread over many lists
+    u = np.concatenate([loose, hot]).astype(np.float32).astype(np.float64)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(u)]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    df = rows(data, "i long, e array<float>")
+    for least, asked in ((0.8, None), (None, F.col("id") % 10 == 0)):
+        want = {i: o for i, o in _exact(u, 5, least or -1).items() if o and (asked is None or i % 10 == 0)}
+        for group in (32_768, 100):  # with 100, lists lie in several groups
+            near = knn.nearest(df, "i", "e", dim=16, k=5, least=least, queries=asked, parts=4, per_list=20, probes=2, keep=2, group=group)
+            got = {}
+            for r in near.orderBy("id", "rank").collect():
+                got.setdefault(r["id"], []).append(r["other"])
+            assert got == want
