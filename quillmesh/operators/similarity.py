@@ -62,7 +62,7 @@ def visible(queries: DataFrame, docs: DataFrame, on: list[str], org: str = "org_
 
 
 def candidates(queries: DataFrame, corpus: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """(qid, doc_id, shared) of queries (qid, org_id, tokens): the documents that share most distinct tokens.
+    """(qid, doc_id, shared, rank) of queries (qid, org_id, tokens): the documents that share most distinct tokens.
 
     Ties: the earlier position of the first shared token, then the smaller id. A query that shares no
     token with any document gets the first `most` that it may see.
@@ -71,12 +71,12 @@ def candidates(queries: DataFrame, corpus: DataFrame, most: int = CANDIDATES) ->
     posted = corpus.select("doc_id", F.col("org_id").alias("doc_org"), F.explode(text.tokens(F.col("sentence"))).alias("term")).distinct()
     met = visible(terms, posted, ["term"]).groupBy("qid", "doc_id").agg(F.count("*").alias("shared"), F.min("pos").alias("pos"))
     best = Window.partitionBy("qid").orderBy(F.desc("shared"), "pos", "doc_id")
-    found = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("qid", "doc_id", "shared")
+    found = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("qid", "doc_id", "shared", "rank")
     orphans = queries.join(met.select("qid").distinct(), "qid", "left_anti").select("qid", "org_id")
     ids = corpus.select("doc_id", F.col("org_id").alias("doc_org")).distinct()
     first = ids.withColumn("r", F.row_number().over(Window.partitionBy("doc_org").orderBy("doc_id"))).where(F.col("r") <= most)
     seen = orphans.select("qid", F.explode(F.array_distinct(F.array(F.lit("global"), "org_id"))).alias("doc_org")).join(first, "doc_org")
-    rest = seen.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(F.col("r") <= most).select("qid", "doc_id", F.lit(0).cast("bigint").alias("shared"))
+    rest = seen.drop("r").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(F.col("rank") <= most).select("qid", "doc_id", F.lit(0).cast("bigint").alias("shared"), "rank")
     return found.unionByName(rest)
 
 
@@ -100,12 +100,10 @@ def weight_maps(rows: DataFrame, keys: list[str], counts: DataFrame, sizes: Data
     return weighed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # as many as a sentence has terms
 
 
-def sentence_sources(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES, sources: int = SOURCES, threshold: float = THRESHOLD) -> DataFrame:
-    """(org_id, text, doc_id, score, method, rank): the best sources of each distinct sentence of an organisation.
+def pair_scores(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """(qid, org_id, text, doc_id, sent_idx, w, cos, sh, jaccard): each distinct sentence of an organisation with every sentence of its candidate documents.
 
-    queries: (org_id, text); docs: (id, org_id, content). A pair's score is the largest of fingerprint
-    containment (exact), TF-IDF cosine (semantic) and blended shingle containment (shingle); of a
-    document the best sentence counts, the first of equal ones.
+    queries: (org_id, text); docs: (id, org_id, content). w: fingerprint containment, cos: TF-IDF cosine, sh: blended shingle containment.
     """
     corpus = corpus_sentences(docs)
     asked = queries.where("text is not null and org_id is not null").select("org_id", "text").distinct()
@@ -125,7 +123,18 @@ def sentence_sources(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES
     total = F.aggregate(F.map_entries("qw"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("sw"), e["key"]), F.lit(0.0)))
     cosine = F.coalesce(F.when((F.col("qn") > 0) & (F.col("sn") > 0), total / (F.col("qn") * F.col("sn"))), F.lit(0.0))
     shingle = prints.blended(*[prints.containment(F.col(f"c{k}"), F.col(f"s{k}")) for k in (4, 6, 9)])
-    scored = met.select("qid", "org_id", "text", "doc_id", "sent_idx", text.rounded(exact, 6).alias("w"), text.rounded(cosine, 6).alias("cos"), text.rounded(shingle, 6).alias("sh"))
+    jaccard = prints.jaccard(F.col("tokens"), F.col("st"))
+    return met.select("qid", "org_id", "text", "doc_id", "sent_idx", text.rounded(exact, 6).alias("w"), text.rounded(cosine, 6).alias("cos"), text.rounded(shingle, 6).alias("sh"), text.rounded(jaccard, 6).alias("jaccard"))
+
+
+def sentence_sources(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES, sources: int = SOURCES, threshold: float = THRESHOLD) -> DataFrame:
+    """(org_id, text, doc_id, score, method, rank): the best sources of each distinct sentence of an organisation.
+
+    queries: (org_id, text); docs: (id, org_id, content). A pair's score is the largest of fingerprint
+    containment (exact), TF-IDF cosine (semantic) and blended shingle containment (shingle); of a
+    document the best sentence counts, the first of equal ones.
+    """
+    scored = pair_scores(queries, docs, most)
     scored = scored.withColumn("score", F.greatest("w", "cos", "sh"))
     method = F.when((F.col("w") > 0) & (F.col("score") == F.col("w")), "exact").when((F.col("cos") > 0) & (F.col("score") == F.col("cos")), "semantic").when(F.col("sh") > 0, "shingle").otherwise("none")
     by_doc = scored.withColumn("method", method).groupBy("qid", "org_id", "text", "doc_id").agg(F.max(F.struct("score", (-F.col("sent_idx")).alias("n"), "method")).alias("b"))

@@ -372,15 +372,26 @@ qt AS (SELECT org_id, text, list_filter(t, lambda x: true) AS t FROM (SELECT org
     SELECT org_id, text, doc_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id, text ORDER BY shared DESC, pos, doc_id) AS rank FROM met) WHERE rank <= 3"""
 )
 def candidate_docs(spark, d):
-    """The three documents that share most tokens with each scanned sentence, among those its organisation may see."""
-    asked, docs = _scan(spark, d)
+    """The three documents that share most tokens with each scanned sentence, as far as the SQL goes; `candidate_docs_all` is the whole operator."""
+    return _candidates(*_scan(spark, d)).where("rank <= 3 and shared > 0")
+
+
+def _candidates(asked: DataFrame, docs: DataFrame) -> DataFrame:
     asked = asked.where("org_id is not null and text is not null").distinct().select(F.xxhash64("org_id", "text").alias("qid"), "org_id", "text", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= 3)
-    corpus = similarity.corpus_sentences(docs)
-    terms = asked.select("qid", "org_id", F.posexplode("tokens").alias("pos", "term")).groupBy("qid", "org_id", "term").agg(F.min("pos").alias("pos"))
-    posted = corpus.select("doc_id", F.col("org_id").alias("doc_org"), F.explode(text.tokens(F.col("sentence"))).alias("term")).distinct()
-    met = similarity.visible(terms, posted, ["term"]).groupBy("qid", "doc_id").agg(F.count("*").alias("shared"), F.min("pos").alias("pos"))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("shared"), "pos", "doc_id"))).where("rank <= 3")
-    return ranked.join(asked.select("qid", "org_id", "text"), "qid").select("org_id", "text", "doc_id", "shared", "rank")
+    return similarity.candidates(asked, similarity.corpus_sentences(docs)).join(asked.select("qid", "org_id", "text"), "qid").select("org_id", "text", "doc_id", "shared", "rank")
+
+
+@query()
+def candidate_docs_all(spark, d):
+    """All 120 candidates of each scanned sentence; one that shares no token with any document gets the first that it may see, with shared 0."""
+    return _candidates(*_scan(spark, d))
+
+
+@query()
+def candidate_pairs(spark, d):
+    """Each scanned sentence with every sentence of its candidate documents, and the scores of the pair."""
+    scores = similarity.pair_scores(*_scan(spark, d))
+    return scores.select("org_id", "text", "doc_id", "sent_idx", F.col("w").alias("contained"), F.col("cos").alias("cosine"), F.col("sh").alias("blended"), "jaccard")
 
 
 @query()

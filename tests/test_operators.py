@@ -1,6 +1,7 @@
 """Operators against brute force on small tables."""
 
 import io
+import re
 import zipfile
 
 import duckdb
@@ -213,3 +214,34 @@ def test_against_sql(spark, name):
     want = sorted(tuple(r[i] for i in at) for r in result.fetchall())
     got = sorted(tuple(r[c] for c in cols) for r in df.collect())
     assert len(got) == len(want) and all(same(x, y) for a, b in zip(got, want) for x, y in zip(a, b))
+
+
+def _scanned(spark, folder):
+    """150 documents that share a token, of which one is another organisation's, and sentences with and without shared tokens."""
+    docs = [(f"d{i:03d}", "org-2" if i == 7 else "global", f"Alpha word{i} beta{i % 5}. Gamma delta{i} epsilon.") for i in range(150)]
+    asked = [("org-1", "Alpha beta3 gamma delta9 here"), ("org-1", "Nothing meets anything whatsoever")]
+    spark.createDataFrame(docs, "id string, org_id string, content string").write.parquet(f"{folder}/corpus_docs.parquet")
+    spark.createDataFrame(asked, "org_id string, text string").write.parquet(f"{folder}/sentences.parquet")
+    return docs, asked
+
+
+def test_all_candidates_and_their_pairs(spark, tmp_path):
+    docs, asked = _scanned(spark, tmp_path)
+    words = lambda t: [w for w in re.sub("[^a-z0-9]+", " ", t.lower()).split() if len(w) > 1]
+    want, pairs = set(), {}
+    for org, t in asked:
+        q, met = words(t), []
+        seen = [x for x in docs if x[1] in ("global", org)]
+        for id_, _, content in seen:
+            both = set(q) & set(words(content))
+            if both:
+                met.append((-len(both), min(map(q.index, both)), id_))
+        best = [(-n, id_) for n, _, id_ in sorted(met)[:120]] or [(0, id_) for id_, _, _ in seen[:120]]
+        want |= {(t, id_, n, r) for r, (n, id_) in enumerate(best, 1)}
+        for _, id_ in best:
+            for i, s in enumerate(next(x[2] for x in docs if x[0] == id_).split(". ")):
+                pairs[t, id_, i] = round(len(set(q) & set(words(s))) / len(set(q) | set(words(s))), 6)
+    got = {(r["text"], r["doc_id"], r["shared"], r["rank"]) for r in queries.QUERIES["candidate_docs_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 240
+    scored = queries.QUERIES["candidate_pairs"](spark, str(tmp_path)).collect()
+    assert {(r["text"], r["doc_id"], r["sent_idx"]): r["jaccard"] for r in scored} == pytest.approx(pairs, abs=2e-6) and len(scored) == 480
