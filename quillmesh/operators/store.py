@@ -50,22 +50,26 @@ def versions(df: DataFrame, group: list[str], order: list[str], done: Column) ->
 def chains(links: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
     """(id, root, depth): the first ancestor of each row and the steps to it.
 
-    Pointers are doubled in each round, so chains of 2^n steps take n rounds; a cycle ends after `most`
-    steps with whatever ancestor was reached. A parent that is no row counts as an ancestor.
+    Pointers are doubled in each round until every chain has come to its first ancestor, so chains of 2^n
+    steps take n rounds. What still has a parent after as many steps as there are rows leads into a cycle;
+    it gets the ancestor `most` steps (a power of two) back. A parent that is no row counts as an ancestor.
     """
     at = links.where(F.col(child).isNotNull()).groupBy(F.col(child).alias("id")).agg(F.min(parent).alias("root"))
-    at = at.select("id", F.when(F.col("root") != F.col("id"), F.col("root")).alias("up"))
+    at = written(at.select("id", F.when(F.col("root") != F.col("id"), F.col("root")).alias("up")), "links")
+    parents = at.where("up is not null").select(F.col("id").alias("root"), F.lit(True).alias("open"))
     state = at.select("id", F.coalesce("up", "id").alias("root"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"))
-    steps = 1
-    while steps < most:
-        above = state.select(F.col("id").alias("root"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
-        after = state.join(above, "root", "left").select("id", F.coalesce("__root", "root").alias("root"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"))
-        after = written(after, "chains")
-        moved = after.join(state.withColumnRenamed("root", "__before"), "id").where(F.col("root") != F.col("__before")).limit(1).count()
-        state, steps = after, steps * 2
-        if not moved:
-            break
-    return state
+    state = written(state.join(parents, "root", "left").select("id", "root", "depth", F.coalesce("open", F.lit(False)).alias("open")), "chains")
+    steps, far, n = 1, None, at.count()
+    while state.where("open").limit(1).count() and steps <= max(n, most):
+        above = state.select(F.col("id").alias("root"), F.col("root").alias("__root"), F.col("depth").alias("__depth"), F.col("open").alias("__open"))
+        after = state.join(above, "root", "left").select("id", F.coalesce("__root", "root").alias("root"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.coalesce("__open", F.lit(False)).alias("open"))
+        state, steps = written(after, "chains"), steps * 2
+        if steps == most:
+            far = state
+    if far is not None:
+        of_cycle = far.select("id", F.col("root").alias("__root"), F.col("depth").alias("__depth"))
+        state = state.join(of_cycle, "id").select("id", F.when(F.col("open"), F.col("__root")).otherwise(F.col("root")).alias("root"), F.when(F.col("open"), F.col("__depth")).otherwise(F.col("depth")).alias("depth"))
+    return state.select("id", "root", "depth")
 
 
 def masked(sources: Column, hide: Column) -> Column:

@@ -245,3 +245,10 @@ def test_all_candidates_and_their_pairs(spark, tmp_path):
     assert got == want and len(got) == 240
     scored = queries.QUERIES["candidate_pairs"](spark, str(tmp_path)).collect()
     assert {(r["text"], r["doc_id"], r["sent_idx"]): r["jaccard"] for r in scored} == pytest.approx(pairs, abs=2e-6) and len(scored) == 480
+
+
+def test_long_chains_and_cycles(spark):
+    links = [("n000", None)] + [(f"n{i:03d}", f"n{i - 1:03d}") for i in range(1, 201)] + [("p", "q"), ("q", "p"), ("r", "p")]
+    got = {r["id"]: (r["root"], r["depth"]) for r in store.chains(spark.createDataFrame(links, "c string, p string"), "c", "p").collect()}
+    assert all(got[f"n{i:03d}"] == ("n000", i) for i in range(201))
+    assert got["p"] == ("p", 64) and got["q"] == ("q", 64) and got["r"] == ("q", 64) and len(got) == 204
