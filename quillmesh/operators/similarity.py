@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions import prints, text
+from quillmesh.functions import prints, rewrite, text
 from quillmesh.functions.cleaning import without_citations
 from quillmesh.functions.stylometry import LN2_PLUS_1
 from quillmesh.tables import written
@@ -143,6 +143,23 @@ def sentence_sources(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES
     return ranked.select("org_id", "text", "doc_id", "score", "method", "rank")
 
 
+def code_sources(codes: DataFrame, docs: DataFrame, sources: int = SOURCES, threshold: float = 0.1) -> DataFrame:
+    """(key, doc_id, score, rank): of each source text (key, org_id, code) the visible documents that hold most of its fingerprint.
+
+    docs: (id, org_id, content). Texts of under ten tokens have no sources. The threshold is applied after
+    the best are taken; ties: the smaller id.
+    """
+    asked = codes.where("key is not null and org_id is not null and code is not null").groupBy("key").agg(F.min(F.struct("org_id", "code")).alias("c"))
+    tokens = asked.select("key", "c.org_id", rewrite.code_tokens(F.col("c.code")).alias("t")).where(F.size("t") >= 10)
+    theirs = tokens.select("key", "org_id", prints.fingerprint(F.col("t")).alias("p")).select("key", "org_id", F.size("p").alias("n"), F.explode("p").alias("print"))
+    one = docs.where("id is not null and content is not null").groupBy("id").agg(F.min(F.struct("org_id", "content")).alias("d"))
+    posted = one.select(F.col("id").alias("doc_id"), F.col("d.org_id").alias("doc_org"), F.explode(prints.fingerprint(rewrite.code_tokens(F.col("d.content")))).alias("print"))
+    met = visible(theirs, posted, ["print"]).groupBy("key", "doc_id", "n").agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "doc_id")
+    ranked = met.select("key", "doc_id", (F.col("shared") / F.col("n")).alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= sources)
+    return ranked.where(F.col("score") >= threshold).withColumn("score", text.rounded(F.col("score"), 6))
+
+
 def document_scores(rows: DataFrame, aggressive: bool = False) -> DataFrame:
     """(key, n, similarity) of scorable sentences (key, score, n_tokens): a weighted blend of means, coverage and top shares."""
     by = Window.partitionBy("key")

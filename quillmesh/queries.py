@@ -250,6 +250,14 @@ def code_normalise(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(rewrite.code_tokens(_code()), " ").alias("code"))
 
 
+@query()
+def code_sources(spark, d):
+    """The documents that hold most of each code submission's fingerprint; submissions are told by their file name, their text is what the stored report has."""
+    jobs = table(spark, d, "jobs").where("json is not null").select("job_id", "org_id", F.get_json_object("json", "$.file_name").alias("name"), F.get_json_object("json", "$.report.sentences").alias("sentences"))
+    codes = jobs.where(text.is_code(F.col("name"))).select(F.col("job_id").alias("key"), "org_id", F.array_join(F.transform(F.from_json("sentences", "array<struct<text: string>>"), lambda s: s["text"]), "\n").alias("code"))
+    return similarity.code_sources(codes, table(spark, d, "corpus_docs").select("id", "org_id", "content")).withColumnRenamed("key", "job_id")
+
+
 # --- fingerprints and sets --------------------------------------------------------------------
 
 

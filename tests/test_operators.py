@@ -252,3 +252,16 @@ def test_long_chains_and_cycles(spark):
     got = {r["id"]: (r["root"], r["depth"]) for r in store.chains(spark.createDataFrame(links, "c string, p string"), "c", "p").collect()}
     assert all(got[f"n{i:03d}"] == ("n000", i) for i in range(201))
     assert got["p"] == ("p", 64) and got["q"] == ("q", 64) and got["r"] == ("q", 64) and len(got) == 204
+
+
+def test_code_sources(spark):
+    lines = [f"x{i} = f{i} ( y ) ; if ( a > {i} ) {{ return b ; }} while ( c < d ) {{ e += {i} ; }}" for i in range(6)]
+    code = "\n".join(lines)
+    renamed = re.sub(r"\b[xyfabcde](?=\d| )", "q", code)
+    other = "class A extends B : def import from import try catch throw new : " * 4
+    docs = [(f"copy{i}", "global", code) for i in range(6)] + [("renamed", "org-1", renamed), ("hidden", "org-2", code), ("prose", "global", other)]
+    asked = [("a", "org-1", code), ("short", "org-1", "x = y ( z ) ;"), ("none", "org-1", None)]
+    got = similarity.code_sources(spark.createDataFrame(asked, "key string, org_id string, code string"), spark.createDataFrame(docs, "id string, org_id string, content string")).orderBy("rank").collect()
+    assert [(r["key"], r["doc_id"], r["score"], r["rank"]) for r in got] == [("a", f"copy{i}", 1.0, i + 1) for i in range(5)]
+    mine = similarity.code_sources(spark.createDataFrame(asked, "key string, org_id string, code string"), spark.createDataFrame(docs[6:], "id string, org_id string, content string"))
+    assert [(r["doc_id"], r["score"]) for r in mine.collect()] == [("renamed", 1.0)]
