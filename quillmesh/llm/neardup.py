@@ -12,8 +12,8 @@ threshold. The search is exact:
 3. A shard larger than `leaf` is cut into shells by the distance to its vantage point. A text lives in
    one shell and also queries each lower shell that its radius reaches over the boundary. Shells that
    are still large are cut into blocks, so no task holds more than two blocks.
-4. In each shard a vantage-point tree is searched with the radius, branches pruned by the triangle
-   bound. Pairs found are compared exactly.
+4. Shards of up to `FEW` are compared row by row; in larger ones a vantage-point tree is searched with the
+   radius, branches pruned by the triangle bound. Pairs found are compared exactly.
 
 Defined results
 - null text or key: no part. Texts under `least_words` words, so also empty ones: no part.

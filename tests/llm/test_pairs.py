@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillmesh.llm import history, knn, neardup, spans
@@ -180,3 +181,21 @@ def test_neighbours_do_not_depend_on_probes_or_keep(rows):
             for r in near.orderBy("id", "rank").collect():
                 got.setdefault(r["id"], []).append(r["other"])
             assert got == want
+
+
+def test_shard_that_is_searched_by_a_tree(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 3 * neardup.FEW
+    prints = np.repeat(rng.integers(0, 2**63, (n // 6, 8), dtype=np.uint64), 6, 0)
+    for k in range(n):
+        prints[k, rng.integers(8)] ^= np.uint64(1) << np.uint64(rng.integers(63))
+    rows = pd.DataFrame({"print": [p.tobytes() for p in prints], "n": 40, "sid": np.arange(n), "home": rng.random(n) < 0.7})
+    found = lambda: pairs_of(neardup._searched(rows, np.array([0]), np.array([n]), 0.55))
+    pairs_of = lambda df: set(map(tuple, df[["sid_a", "sid_b"]].to_numpy().tolist()))
+    built = []
+    tree = neardup.VPTree
+    monkeypatch.setattr(neardup, "VPTree", lambda *a: built.append(1) or tree(*a))
+    by_tree = found()
+    assert built and by_tree
+    monkeypatch.setattr(neardup, "FEW", n)
+    assert by_tree == found() and len(built) == 1
