@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import SPACE_SET, trimmed
 
+# Characters that count as invisible, and as unusual spaces.
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{00AD}]"
 UNUSUAL_SPACE = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Look-alike letters and the ASCII letters that they stand for.

@@ -18,10 +18,10 @@ from quillmesh.tables import written
 
 # English words without weight.
 STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall can "
-    "to of in for on with at by from as into through during before after above below between each few more most other some such no nor not only own same so "
-    "than too very just but and or if then that this these those it its i you he she we they what which who also about there up out when how all both their they"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can",
+    "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "between", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "just", "but", "and", "or", "if", "then", "that", "this", "these", "those", "it", "its", "i", "you", "he", "she", "we", "they", "what", "which", "who", "also", "about", "there", "up", "out", "when", "how", "all", "both", "their", "they",
+)
 CANDIDATES, SOURCES, THRESHOLD = 120, 5, 0.12
 
 
@@ -44,8 +44,8 @@ def term_counts(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
 def idf_table(sentences: DataFrame) -> DataFrame:
     """(term, df, idf) over all sentences (sentence)."""
     terms = sentences.select(F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = sentences.agg(F.count("*").alias("n"))
-    return terms.join(F.broadcast(n), F.lit(True)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    spark = sentences.sparkSession
+    return spark.sql("SELECT term, df, ln(((SELECT count(*) FROM {s}) + 1) / (df + 1)) + 1 AS idf FROM {t}", s=sentences, t=terms)
 
 
 def term_weights(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -160,6 +160,14 @@ def code_sources(codes: DataFrame, docs: DataFrame, sources: int = SOURCES, thre
     return ranked.where(F.col("score") >= threshold).withColumn("score", text.rounded(F.col("score"), 6))
 
 
+def best_match(weights: DataFrame) -> DataFrame:
+    """(key, best, cosine): the other key of its group with the greatest inner product of weights (key, group, term, weight); ties: the smaller key."""
+    a, b = weights, weights.withColumnsRenamed({"key": "best", "weight": "other"})
+    dots = a.join(b, ["group", "term"]).where("key <> best").groupBy("key", "best").agg(text.rounded(F.sum(F.col("weight") * F.col("other")), 4).alias("cosine"))
+    best = Window.partitionBy("key").orderBy(F.desc("cosine"), "best")
+    return dots.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+
+
 def document_scores(rows: DataFrame, aggressive: bool = False) -> DataFrame:
     """(key, n, similarity) of scorable sentences (key, score, n_tokens): a weighted blend of means, coverage and top shares."""
     by = Window.partitionBy("key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import SPACE_SET
 from quillmesh.tables import written
 
 
@@ -75,3 +76,26 @@ def chains(links: DataFrame, child: str, parent: str, most: int = 64) -> DataFra
 def masked(sources: Column, hide: Column) -> Column:
     """Sources with title and address hidden under a condition."""
     return F.when(hide, F.transform(sources, lambda s: s.withField("title", F.lit("[Source hidden]")).withField("url", F.lit("#")))).otherwise(sources)
+
+
+def seeded(df: DataFrame, seed: DataFrame) -> DataFrame:
+    """`df`, or the rows of `seed` where `df` is empty."""
+    return df.unionByName(seed.join(df.select(F.lit(1).alias("__one")).limit(1), F.col("__one") == 1, "left_anti").select(*df.columns))
+
+
+def retained(df: DataFrame, order: str, n: int) -> DataFrame:
+    """A log cut to its newest n rows, written anew so that it can replace the old one."""
+    return written(newest(df, order, n), "retained")
+
+
+def upload_outcome(org: str = "org_id", title: str = "title", url: str = "url", content: str = "content") -> Column:
+    """`valid`, or the name of the first field that an upload's validation rejects."""
+    absent = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    address = F.coalesce(F.col(url).rlike(rf"^[A-Za-z][A-Za-z0-9+.-]*://[^{SPACE_SET}/]+"), F.lit(False))
+    return F.when(absent(org), "org_id").when(absent(title), "title").when(~address, "url").when(absent(content), "content").otherwise("valid")
+
+
+def client_ip(forwarded: Column, remote: Column | None = None) -> Column:
+    """The first address of a forwarding header, else the remote one, else `unknown`."""
+    first = F.trim(F.get(F.split(forwarded, ","), 0))
+    return F.coalesce(first, *([remote] if remote is not None else []), F.lit("unknown"))

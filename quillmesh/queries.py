@@ -230,24 +230,31 @@ def filename_sanitise(spark, d):
     return table(spark, d, "corpus_docs").where("url is not null").select("id", text.safe_name(F.col("url")).alias("name")).distinct()
 
 
-_CODE = "'/* o */ function f' || o_orderkey || '(a, b) { // sum' || chr(10) || ' return a + ' || o_custkey || '.5 * b ; } # done'"
-
-
-def _code() -> Column:
-    return F.concat(F.lit("/* o */ function f"), F.col("o_orderkey"), F.lit("(a, b) { // sum\n return a + "), F.col("o_custkey"), F.lit(".5 * b ; } # done"))
+# Three programs around each order: comments of all kinds, docstrings, both quotes, escapes, signs of comments in strings.
+_SNIPPETS = (
+    "'/* o */ function f' || o_orderkey || '(a, b) { // sum' || chr(10) || ' return a + ' || o_custkey || '.5 * b ; } # done'",
+    "'def g ( x ) :' || chr(10) || ' \"\"\" two' || chr(10) || ' lines # \"\"\" ' || chr(10) || ' return h ( ''it\\''s // ' || o_orderkey || ''' , \"a # ' || o_custkey || '\" ) '",
+    "''''''' doc '''''' const k' || o_custkey || ' = \"\" ; // ' || o_orderkey || chr(10) || 'let z = 1e-3 + 0.25 ; x1y2 ( '' '' )'",
+)
 
 
 def _d_code(x: str) -> str:
-    steps = ((r"/\*[\s\S]*?\*/", " "), (r"//[^\n]*", " "), (r"#[^\n]*", " "), (r'"(?:[^"\\]|\\.)*"', '"STR"'), (r"\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b", "NUM"))
-    for p, to in steps:
-        x = f"regexp_replace({x}, {q(p)}, {q(to)}, 'g')"
+    is_a = lambda p: f"regexp_matches(p, {q(f'^(?:{p})$')})"
     keep = ", ".join(q(k) for k in rewrite.KEYWORDS)
-    return f"list_transform(list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> ''), lambda t: CASE WHEN t IN ({keep}) OR regexp_matches(t, {q(rewrite.PUNCTUATION)}) THEN t ELSE 'ID' END)"
+    named = f"list_transform(regexp_extract_all({x}, {q(rewrite.PIECE)}), lambda p: CASE WHEN {is_a(rewrite.COMMENT)} THEN ' ' WHEN {is_a(rewrite.STRING)} THEN p[1:1] || 'STR' || p[1:1] WHEN {is_a(rewrite.NUMBER)} THEN 'NUM' ELSE p END)"
+    return f"list_transform(list_filter(regexp_split_to_array(array_to_string({named}, ''), '\\s+'), lambda t: t <> ''), lambda t: CASE WHEN t IN ({keep}) OR regexp_matches(t, {q(f'^{rewrite.SIGNS}')}) THEN t ELSE 'ID' END)"
 
 
-@query(f"SELECT o_orderkey, array_to_string({_d_code(_CODE)}, ' ') AS code FROM orders")
+@query(" UNION ALL ".join(f"SELECT o_orderkey, {n} AS kind, array_to_string({_d_code(x)}, ' ') AS code FROM orders" for n, x in enumerate(_SNIPPETS)))
 def code_normalise(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(rewrite.code_tokens(_code()), " ").alias("code"))
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    programs = (
+        F.concat(F.lit("/* o */ function f"), o, F.lit("(a, b) { // sum\n return a + "), c, F.lit(".5 * b ; } # done")),
+        F.concat(F.lit("def g ( x ) :\n \"\"\" two\n lines # \"\"\" \n return h ( 'it\\'s // "), o, F.lit("' , \"a # "), c, F.lit('" ) ')),
+        F.concat(F.lit("''' doc ''' const k"), c, F.lit(' = "" ; // '), o, F.lit("\nlet z = 1e-3 + 0.25 ; x1y2 ( ' ' )")),
+    )
+    every = table(spark, d, "orders").select("o_orderkey", F.posexplode(F.array(*programs)).alias("kind", "code"))
+    return every.select("o_orderkey", "kind", F.array_join(rewrite.code_tokens(F.col("code")), " ").alias("code"))
 
 
 @query()
@@ -377,11 +384,13 @@ qt AS (SELECT org_id, text, list_filter(t, lambda x: true) AS t FROM (SELECT org
     qp AS (SELECT org_id, text, term, min(pos) AS pos FROM (SELECT org_id, text, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM qt) GROUP BY org_id, text, term),
     posted AS (SELECT DISTINCT doc_id, org_id AS doc_org, term FROM (SELECT doc_id, org_id, unnest({d_tokens('sentence')}) AS term FROM corpus)),
     met AS (SELECT q.org_id, text, doc_id, count(*) AS shared, min(pos) AS pos FROM qp q JOIN posted p ON q.term = p.term AND (p.doc_org = 'global' OR p.doc_org = q.org_id) GROUP BY q.org_id, text, doc_id)
-    SELECT org_id, text, doc_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id, text ORDER BY shared DESC, pos, doc_id) AS rank FROM met) WHERE rank <= 3"""
+    SELECT org_id, text, doc_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id, text ORDER BY shared DESC, pos, doc_id) AS rank FROM met) WHERE rank <= 120
+    UNION ALL SELECT org_id, text, doc_id, 0 AS shared, rank FROM (SELECT q.org_id, q.text, c.doc_id, row_number() OVER (PARTITION BY q.org_id, q.text ORDER BY c.doc_id) AS rank
+        FROM qt q JOIN (SELECT DISTINCT doc_id, org_id AS doc_org FROM corpus) c ON c.doc_org = 'global' OR c.doc_org = q.org_id WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.org_id = q.org_id AND m.text = q.text)) WHERE rank <= 120"""
 )
 def candidate_docs(spark, d):
-    """The three documents that share most tokens with each scanned sentence, as far as the SQL goes; `candidate_docs_all` is the whole operator."""
-    return _candidates(*_scan(spark, d)).where("rank <= 3 and shared > 0")
+    """The 120 candidates of each scanned sentence; one that shares no token with any document gets the first that it may see, with shared 0."""
+    return _candidates(*_scan(spark, d))
 
 
 def _candidates(asked: DataFrame, docs: DataFrame) -> DataFrame:
@@ -389,12 +398,6 @@ def _candidates(asked: DataFrame, docs: DataFrame) -> DataFrame:
     return similarity.candidates(asked, similarity.corpus_sentences(docs)).join(asked.select("qid", "org_id", "text"), "qid").select("org_id", "text", "doc_id", "shared", "rank")
 
 
-@query()
-def candidate_docs_all(spark, d):
-    """All 120 candidates of each scanned sentence; one that shares no token with any document gets the first that it may see, with shared 0."""
-    return _candidates(*_scan(spark, d))
-
-
 @query()
 def candidate_pairs(spark, d):
     """Each scanned sentence with every sentence of its candidate documents, and the scores of the pair."""
@@ -402,13 +405,54 @@ def candidate_pairs(spark, d):
     return scores.select("org_id", "text", "doc_id", "sent_idx", F.col("w").alias("contained"), F.col("cos").alias("cosine"), F.col("sh").alias("blended"), "jaccard")
 
 
-@query()
+def _d_blended(a: str, b: str) -> str:
+    return " + ".join(f"{w} * ({d_contained(f'{a}{k}', f'{b}{k}')})" for w, k in (("0.25", 4), ("0.45", 6), ("0.30", 9)))
+
+
+_FEATURES = f"""{", ".join(f"{d_shingles('n', k)} AS k{k}" for k in (4, 6, 9))}"""
+# Every scanned sentence with every sentence of its candidate documents: best score and method of each document, then the five best.
+_SOURCES = f"""{CORPUS}, a1 AS (SELECT DISTINCT org_id, text, {_d_without('text')} AS c FROM sentences WHERE org_id IS NOT NULL AND text IS NOT NULL), a2 AS (SELECT org_id, text, {d_tokens('c')} AS t, {d_normal('c')} AS n FROM a1),
+a3 AS (SELECT *, {d_kgrams('t')} AS h, {_FEATURES} FROM a2 WHERE len(t) >= 3), asked AS (SELECT row_number() OVER () AS qid, org_id, text, t, {d_winnowed('h')} AS p, k4, k6, k9 FROM a3),
+c1 AS (SELECT sentence, {d_tokens('sentence')} AS t, {d_normal('sentence')} AS n FROM (SELECT DISTINCT sentence FROM corpus)), c2 AS (SELECT *, {d_kgrams('t')} AS h, {_FEATURES} FROM c1), feat AS (SELECT sentence, t, {d_winnowed('h')} AS p, k4, k6, k9 FROM c2),
+placed AS (SELECT doc_id, org_id AS doc_org, sent_idx, f.* FROM corpus JOIN feat f USING (sentence)),
+qp AS (SELECT qid, org_id, term, min(pos) AS pos FROM (SELECT qid, org_id, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM asked) GROUP BY ALL), posted AS (SELECT DISTINCT doc_id, doc_org, unnest(t) AS term FROM placed),
+met AS (SELECT qid, doc_id, count(*) AS shared, min(pos) AS pos FROM qp JOIN posted USING (term) WHERE doc_org = 'global' OR doc_org = org_id GROUP BY qid, doc_id),
+cand AS (SELECT qid, doc_id FROM met QUALIFY row_number() OVER (PARTITION BY qid ORDER BY shared DESC, pos, doc_id) <= 120
+    UNION ALL SELECT qid, doc_id FROM asked q JOIN (SELECT DISTINCT doc_id, doc_org FROM placed) c ON c.doc_org = 'global' OR c.doc_org = q.org_id WHERE qid NOT IN (SELECT qid FROM met) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc_id) <= 120),
+df AS (SELECT doc_org, term, count(*) AS df FROM (SELECT doc_org, unnest(list_distinct(t)) AS term FROM placed) GROUP BY ALL), size AS (SELECT doc_org, count(*) AS n FROM placed GROUP BY doc_org),
+viewer AS (SELECT DISTINCT org_id AS v FROM asked), total AS (SELECT v, sum(n) AS n FROM viewer JOIN size ON doc_org = 'global' OR doc_org = v GROUP BY v), seen AS (SELECT v, term, sum(df) AS df FROM viewer JOIN df ON doc_org = 'global' OR doc_org = v GROUP BY v, term),
+idf AS (SELECT v, term, ln((n + 1) / (df + 1)) + 1 AS idf FROM seen JOIN total USING (v)),
+q1 AS (SELECT qid, org_id AS v, list_filter(t, lambda w: w NOT IN ({_STOP})) AS c FROM asked), q2 AS (SELECT qid, v, len(c) AS n, unnest(c) AS term FROM q1), qw AS (SELECT qid, v, term, count(*) / n * coalesce(any_value(idf), ln(2) + 1) AS w FROM q2 LEFT JOIN idf USING (v, term) GROUP BY qid, v, term, n),
+s1 AS (SELECT v, doc_id, sent_idx, list_filter(t, lambda w: w NOT IN ({_STOP})) AS c FROM (SELECT DISTINCT org_id AS v, doc_id FROM cand JOIN asked USING (qid)) JOIN placed USING (doc_id)), s2 AS (SELECT v, doc_id, sent_idx, len(c) AS n, unnest(c) AS term FROM s1),
+sw AS (SELECT v, doc_id, sent_idx, term, count(*) / n * coalesce(any_value(idf), ln(2) + 1) AS w FROM s2 LEFT JOIN idf USING (v, term) GROUP BY v, doc_id, sent_idx, term, n),
+qn AS (SELECT qid, sqrt(sum(w * w)) AS qn FROM qw GROUP BY qid), sn AS (SELECT v, doc_id, sent_idx, sqrt(sum(w * w)) AS sn FROM sw GROUP BY ALL),
+dots AS (SELECT cand.qid, cand.doc_id, sw.sent_idx, sum(qw.w * sw.w) AS dot FROM cand JOIN qw ON qw.qid = cand.qid JOIN sw ON sw.v = qw.v AND sw.doc_id = cand.doc_id AND sw.term = qw.term GROUP BY ALL),
+pairs AS (SELECT a.qid, a.org_id, a.text, s.doc_id, s.sent_idx, CASE WHEN len(a.t) >= 6 THEN {d_contained('a.p', 's.p')} ELSE 0.0 END AS w, {_d_blended('a.k', 's.k')} AS sh FROM cand c JOIN asked a USING (qid) JOIN placed s ON s.doc_id = c.doc_id),
+scored AS (SELECT p.qid, p.org_id, p.text, p.doc_id, p.sent_idx, {d_rounded('p.w', 6)} AS w, {d_rounded('p.sh', 6)} AS sh, {d_rounded('coalesce(dot / (qn * sn), 0.0)', 6)} AS c
+    FROM pairs p LEFT JOIN dots d ON d.qid = p.qid AND d.doc_id = p.doc_id AND d.sent_idx = p.sent_idx LEFT JOIN qn ON qn.qid = p.qid LEFT JOIN sn ON sn.v = p.org_id AND sn.doc_id = p.doc_id AND sn.sent_idx = p.sent_idx),
+named AS (SELECT *, greatest(w, c, sh) AS score, CASE WHEN w > 0 AND greatest(w, c, sh) = w THEN 'exact' WHEN c > 0 AND greatest(w, c, sh) = c THEN 'semantic' WHEN sh > 0 THEN 'shingle' ELSE 'none' END AS method FROM scored),
+by_doc AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, sent_idx) = 1),
+sources AS (SELECT org_id, text, doc_id, score, method, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM by_doc WHERE score > 0.12 QUALIFY rank <= 5)"""
+
+
+@query(f"WITH {_SOURCES} SELECT * FROM sources")
 def sentence_sources(spark, d):
     """The flagship: the best corpus sources of every scanned sentence."""
     return similarity.sentence_sources(*_scan(spark, d))
 
 
-@query()
+# The document score of rows t (job_id, s, t): scores and token counts of scorable sentences.
+_BLEND = f"""r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY s DESC) AS r, count(*) OVER (PARTITION BY job_id) AS n FROM t),
+g AS (SELECT job_id, n, sum(t) AS t, sum(s * t) AS st, sum(CASE WHEN s >= 0.20 THEN t ELSE 0 END) AS cov, sum(CASE WHEN s >= 0.12 THEN t ELSE 0 END) AS mc,
+    avg(CASE WHEN r <= greatest(1, ceil(n * 0.25)) THEN s END) AS top, avg(CASE WHEN r <= greatest(1, ceil(n * 0.5)) THEN s END) AS ut, avg(CASE WHEN s >= 0.35 THEN 1.0 ELSE 0.0 END) AS high FROM r GROUP BY job_id, n),
+b AS (SELECT *, CASE WHEN t > 0 THEN least(1.0, 0.35 * st / t + 0.25 * cov / t + 0.25 * top + 0.15 * ut) END AS b FROM g),
+blended AS (SELECT job_id, n, CASE WHEN t > 0 THEN {d_rounded("CASE WHEN mc / t >= 0.92 AND top >= 0.55 AND high >= 0.65 THEN b ELSE least(b, 0.94) END", 4)} ELSE 0.0 END AS similarity FROM b)"""
+
+
+@query(
+    f"""WITH {_SOURCES}, {SENTENCES}, first AS (SELECT org_id, text, score FROM sources WHERE rank = 1),
+    t AS (SELECT job_id, {d_rounded('coalesce(score, 0.0)', 4)} AS s, len({d_tokens('s.text')}) AS t FROM s LEFT JOIN first f ON f.org_id = s.org_id AND f.text = s.text WHERE job_id IS NOT NULL AND s.org_id IS NOT NULL AND NOT {_d_citation('s.text')}), {_BLEND} SELECT * FROM blended"""
+)
 def document_similarity(spark, d):
     """Each job's similarity from its sentences' best sources."""
     best = similarity.sentence_sources(*_scan(spark, d)).where("rank = 1").select("org_id", "text", "score")
@@ -443,11 +487,12 @@ def method_breakdown(spark, d):
 
 @query(
     """WITH u AS (SELECT DISTINCT sent_id, job_id, sources FROM sentences WHERE job_id IS NOT NULL AND sources IS NOT NULL), x AS (SELECT job_id, unnest(sources) AS m FROM u)
-    SELECT job_id, m.url AS url, max(m.match_percentage) AS best, count(*) AS matches, count(DISTINCT m.title) AS titles FROM x GROUP BY job_id, m.url"""
+    SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY best DESC NULLS LAST, url) AS rank FROM (SELECT job_id, m.url AS url, max(m.match_percentage) AS best, count(*) AS matches, count(DISTINCT m.title) AS titles FROM x GROUP BY job_id, m.url)"""
 )
 def source_rollup(spark, d):
     s = table(spark, d, "sentences").where("job_id is not null").select("sent_id", "job_id", "sources").distinct().select("job_id", F.explode("sources").alias("m"))
-    return s.groupBy("job_id", F.col("m.url").alias("url")).agg(F.max("m.match_percentage").alias("best"), F.count("*").alias("matches"), F.countDistinct("m.title").alias("titles"))
+    found = s.groupBy("job_id", F.col("m.url").alias("url")).agg(F.max("m.match_percentage").alias("best"), F.count("*").alias("matches"), F.countDistinct("m.title").alias("titles"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("best"), "url")))
 
 
 @query(
@@ -587,7 +632,13 @@ def document_ai(spark, d):
     return _document_ai(spark, d).select("job_id", text.rounded(F.col("probability"), 3).alias("probability"), stylometry.band(F.col("probability")).alias("band"))
 
 
-@query()
+_D_SIGNALS = ", ".join(f"{{'v': {k}, 'n': {n}, 'text': {q(t)}}}" for n, (k, t) in enumerate(stylometry.REASONS.items()))
+
+
+@query(
+    f"""WITH {SENTENCES}, {_TOK}, {_DOCUMENT_AI}, k AS (SELECT job_id, unnest([{_D_SIGNALS}]) AS k FROM doc), t AS (SELECT job_id, k.v AS v, k.text AS reason FROM k QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY k.v DESC, k.n) <= 4)
+    SELECT job_id, reason FROM t WHERE v >= 0.55 UNION ALL SELECT job_id, {q(stylometry.NO_REASON)} FROM doc WHERE job_id NOT IN (SELECT job_id FROM t WHERE v >= 0.55)""".replace(", t AS (SELECT job_id, k.v", ", top AS (SELECT job_id, k.v").replace("FROM t WHERE v", "FROM top WHERE v")
+)
 def ai_reasons(spark, d):
     return _document_ai(spark, d).select("job_id", F.explode(stylometry.reasons({k: F.col(k) for k in stylometry.REASONS})).alias("reason"))
 
@@ -603,6 +654,7 @@ def ai_fusion(spark, d):
 
 # --- reports ----------------------------------------------------------------------------------
 
+# Conditions and texts of the tips.
 _TIPS = (
     ("similarity >= 0.2", "Rewrite matched passages in your own words and add clear citations for borrowed ideas."),
     ("ai >= 0.5", "Add your own examples, personal reasoning, and topic-specific details to make authorship clearer."),
@@ -649,14 +701,16 @@ def improvement_tips(spark, d):
 
 
 _PARA = f"""p AS (SELECT id, unnest(range(0, len(l))) AS para_idx, unnest(l) AS p FROM (SELECT id, list_filter(list_transform(regexp_split_to_array(content, '\\n{{2,}}'), lambda p: {d_trimmed('p')}), lambda p: length(p) > 40) AS l FROM d)),
-x AS (SELECT id, para_idx, unnest({d_sentences('p')}) AS sentence FROM p), m AS (SELECT text, avg(similarity_score) AS s, avg(ai_probability) AS a FROM (SELECT DISTINCT sent_id, text, similarity_score, ai_probability FROM sentences WHERE text IS NOT NULL) GROUP BY text)"""
+x AS (SELECT id, para_idx, unnest({d_sentences('p')}) AS sentence FROM p), m AS (SELECT text, similarity_score AS s, ai_probability AS a FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY sent_id NULLS LAST, sent_idx NULLS LAST, similarity_score NULLS LAST, ai_probability NULLS LAST) AS r FROM sentences WHERE text IS NOT NULL) WHERE r = 1)"""
 
 
 @query(f"WITH {DOCS}, {_PARA} SELECT id, para_idx::INT AS para_idx, count(*) AS sentence_count, count(m.text) AS matched, {d_rounded('coalesce(avg(s), 0.0)', 4)} AS avg_similarity, {d_rounded('coalesce(avg(a), 0.0)', 4)} AS avg_ai FROM x LEFT JOIN m ON x.sentence = m.text GROUP BY id, para_idx")
 def paragraph_scores(spark, d):
-    """Paragraphs of corpus documents with the mean stored scores of their sentences, as far as these were scanned."""
+    """Paragraphs of corpus documents with the mean stored scores of their sentences; of equal sentences the first one scanned counts."""
     x = paragraphs(spark, d).select("id", "para_idx", F.explode(text.sentences(F.col("paragraph"))).alias("text"))
-    m = table(spark, d, "sentences").select("sent_id", "text", "similarity_score", "ai_probability").where("text is not null").distinct().groupBy("text").agg(F.avg("similarity_score").alias("s"), F.avg("ai_probability").alias("a"), F.lit(1).alias("hit"))
+    order = ["sent_id", "sent_idx", "similarity_score", "ai_probability"]
+    first = F.min_by(F.struct("similarity_score", "ai_probability"), F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))]))
+    m = table(spark, d, "sentences").where("text is not null").groupBy("text").agg(first.alias("f")).select("text", F.col("f.similarity_score").alias("s"), F.col("f.ai_probability").alias("a"), F.lit(1).alias("hit"))
     zero = F.lit(0.0)
     return x.join(m, "text", "left").groupBy("id", "para_idx").agg(F.count("*").alias("sentence_count"), F.count("hit").alias("matched"), text.rounded(F.coalesce(F.avg("s"), zero), 4).alias("avg_similarity"), text.rounded(F.coalesce(F.avg("a"), zero), 4).alias("avg_ai"))
 
@@ -664,7 +718,8 @@ def paragraph_scores(spark, d):
 @query()
 def full_report(spark, d):
     """The nested report of each job, assembled from the flat results only here."""
-    s = table(spark, d, "sentences").where("job_id is not null").dropDuplicates(["sent_id"])
+    first = Window.partitionBy("sent_id").orderBy(F.col("scored_at").desc_nulls_last(), "sent_idx", "text", "similarity_score", "ai_probability")
+    s = table(spark, d, "sentences").where("job_id is not null").withColumn("r", F.row_number().over(first)).where("r = 1")
     rows = s.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "text", "similarity_score", "ai_probability", "is_citation", "detection_method"))).alias("sentences"))  # of one job
     return risk_bands(spark, d).join(rows, "job_id").join(method_breakdown(spark, d), "job_id", "left").select("job_id", F.to_json(F.struct("similarity", "ai", "band", "high_similarity", "high_ai", "exact", "semantic", "shingle", "sentences")).alias("report"))
 
@@ -680,7 +735,7 @@ def latest_jobs(spark, d):
 
 @query(
     """WITH RECURSIVE l AS (SELECT job_id AS id, min(parent_job_id) AS up FROM jobs WHERE job_id IS NOT NULL GROUP BY job_id), l2 AS (SELECT id, CASE WHEN up <> id THEN up END AS up FROM l),
-    w AS (SELECT id, coalesce(up, id) AS root, CASE WHEN up IS NULL THEN 0 ELSE 1 END AS depth FROM l2 UNION ALL SELECT w.id, l2.up, w.depth + 1 FROM w JOIN l2 ON l2.id = w.root WHERE l2.up IS NOT NULL AND w.depth > 0 AND w.depth < 64)
+    w AS (SELECT id, coalesce(up, id) AS root, CASE WHEN up IS NULL THEN 0 ELSE 1 END AS depth FROM l2 UNION ALL SELECT w.id, l2.up, w.depth + 1 FROM w JOIN l2 ON l2.id = w.root WHERE l2.up IS NOT NULL AND w.depth > 0 AND w.depth < (SELECT greatest(64, count(*)) FROM l))
     SELECT id, max_by(root, depth) AS root, max(depth)::INT AS depth FROM w GROUP BY id"""
 )
 def scan_history(spark, d):
@@ -697,13 +752,25 @@ def scan_versions(spark, d):
     return store.versions(j, ["org_id", "batch_no"], ["seq"], F.col("status") == "complete").select("seq", "job_id", "version", "parent")
 
 
+_DONE = "l.status = 'complete' AND json_valid(l.json) AND json_type(l.json, '$.report') = 'OBJECT'"
+
+
 @query(
-    """SELECT org_id, count(*) AS total, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed
-    FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS r FROM jobs WHERE job_id IS NOT NULL) WHERE r = 1 AND org_id IS NOT NULL GROUP BY org_id"""
+    f"""WITH {_SCORES}, l AS (SELECT * FROM jobs WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1)
+    SELECT l.org_id, count(*) AS total, count(*) FILTER (l.status = 'queued') AS queued, count(*) FILTER (l.status = 'processing') AS processing, count(*) FILTER (coalesce({_DONE}, false)) AS complete, count(*) FILTER (l.status = 'failed') AS failed,
+    {d_rounded(f"coalesce(sum(floor(coalesce(r.similarity, 0) * 1e6 + 0.5)::BIGINT) FILTER (coalesce({_DONE}, false)) / (1e6 * count(*) FILTER (coalesce({_DONE}, false))), 0.0)", 4)} AS avg_similarity, {d_rounded(f"coalesce(sum(floor(coalesce(r.ai, 0) * 1e6 + 0.5)::BIGINT) FILTER (coalesce({_DONE}, false)) / (1e6 * count(*) FILTER (coalesce({_DONE}, false))), 0.0)", 4)} AS avg_ai
+    FROM l LEFT JOIN r ON r.job_id = l.job_id WHERE l.org_id IS NOT NULL GROUP BY l.org_id"""
 )
 def org_stats(spark, d):
-    last = store.latest(table(spark, d, "jobs").where("job_id is not null").select("job_id", "seq", "org_id", "status"), "job_id", F.col("seq")).where("org_id is not null")
-    return last.groupBy("org_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("queued", "processing", "complete", "failed")])
+    """Jobs of each organisation by state, and the mean scores of those that are complete with a report."""
+    from quillmesh.plans.listings import last_jobs
+
+    last = last_jobs(spark, d).where("org_id is not null").select("job_id", "org_id", "status", "reported").join(_scores(spark, d).select("job_id", "similarity", "ai"), "job_id", "left")
+    done = F.coalesce((F.col("status") == "complete") & F.col("reported"), F.lit(False))
+    # Sums of whole millionths: the same double in whatever order rows are added.
+    mean = lambda c: text.rounded(F.coalesce(F.try_divide(F.sum(F.when(done, F.floor(F.coalesce(c, F.lit(0.0)) * 1e6 + 0.5).cast("bigint"))), F.lit(1e6) * F.count_if(done)), F.lit(0.0)), 4)
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return last.groupBy("org_id").agg(F.count("*").alias("total"), count("queued"), count("processing"), F.count_if(done).alias("complete"), count("failed"), mean("similarity").alias("avg_similarity"), mean("ai").alias("avg_ai"))
 
 
 @query("SELECT seq, id, event_type, org_id FROM audit_log ORDER BY seq DESC LIMIT 1000")
@@ -726,9 +793,12 @@ def anti_insert(spark, d):
 @query("SELECT o.id AS org_id, count(DISTINCT d.id) AS docs FROM orgs o JOIN (SELECT DISTINCT id, org_id FROM corpus_docs WHERE org_id IS NOT NULL) d ON d.org_id = o.id OR d.org_id = 'global' GROUP BY o.id")
 def corpus_visibility(spark, d):
     """How many documents each organisation sees: its own and the shared ones."""
-    docs = table(spark, d, "corpus_docs").where("org_id is not null").select("id", "org_id").distinct()
-    orgs = table(spark, d, "orgs").select(F.col("id").alias("viewer")).select("viewer", F.explode(F.array_distinct(F.array("viewer", F.lit("global")))).alias("org_id"))
-    return docs.join(orgs, "org_id").groupBy(F.col("viewer").alias("org_id")).agg(F.countDistinct("id").alias("docs"))
+    docs = table(spark, d, "corpus_docs").where("org_id is not null").groupBy("id", "org_id").agg(F.lit(1).alias("one"))
+    shared = docs.where("org_id = 'global'").agg(F.countDistinct("id").alias("n"))
+    # An id that is shared and an organisation's own counts once: its own rows are counted where the id is not shared.
+    own = docs.where("org_id <> 'global'").join(docs.where("org_id = 'global'").select("id"), "id", "left_anti").groupBy("org_id").agg(F.countDistinct("id").alias("own"))
+    orgs = table(spark, d, "orgs").select(F.col("id").alias("org_id"))
+    return spark.sql("SELECT org_id, coalesce(own, 0) + (SELECT n FROM {shared}) AS docs FROM {seen} WHERE coalesce(own, 0) + (SELECT n FROM {shared}) > 0", shared=shared, seen=orgs.join(own, "org_id", "left"))
 
 
 @query("SELECT id, sha256(id) AS key_hash, substr('vk_' || id, 1, 12) AS key_prefix FROM orgs")
@@ -769,7 +839,11 @@ def ip_rate_windows(spark, d):
     return w.select(F.col("w.start").alias("window_start"), "user_id", "requests", (F.col("requests") > 3).alias("limited"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS r FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    w AS (SELECT user_id, event_id, r, t AS start, 1 AS used FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, CASE WHEN e.t > w.start + 3600 THEN e.t ELSE w.start END, CASE WHEN e.t > w.start + 3600 THEN 1 ELSE w.used + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
+    SELECT user_id, event_id, used <= 20 AS allowed FROM w"""
+)
 def rate_limit(spark, d):
     """Requests allowed and denied by the per-user limiter whose window begins at the first request."""
     from quillmesh.streaming.limiter import limited

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import extension, latex_text, trimmed
+from quillmesh.sources.pdf import pdf_text
 
 MOST_BYTES, MOST_WORDS, MOST_ROWS = 50 * 1024 * 1024, 50_000, 10_000
 _SLIDE = re.compile(r"ppt/slides/slide(\d+)\.xml")
@@ -54,7 +55,7 @@ def pptx_text(data: bytes) -> str:
 
 def read_files(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """(path, file_name, kind, text, error) of every file: unreadable, empty and oversized ones have an error instead of text."""
-    known = {"docx": docx_text, "pptx": pptx_text} | (parsers or {})
+    known = {"docx": docx_text, "pptx": pptx_text, "pdf": pdf_text} | (parsers or {})
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -87,18 +88,20 @@ def sniffed(content: Column) -> Column:
 
 
 def csv_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, text) of a manifest: a heading, then name and text parted by the first comma alone."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n")).alias("at", "line")).where(F.trim("line") != "")
-    head = lines.agg(F.min("at").alias("head"))
-    rows = lines.join(F.broadcast(head), lines["at"] > head["head"]).orderBy("at").limit(MOST_ROWS)
+    """(file_name, text) of each manifest: a heading, then name and text parted by the first comma alone.
+
+    Of each file the first line that isn't empty is the heading, and at most MOST_ROWS lines after it count.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r\n|\n"), lambda x: F.trim(x) != "").alias("lines"))
+    rows = lines.select(F.explode(F.slice("lines", 2, MOST_ROWS)).alias("line"))
     parts = rows.select(F.trim(F.regexp_extract("line", r"^([^,]*),(.*)$", 1)).alias("file_name"), F.trim(F.regexp_extract("line", r"^([^,]*),(.*)$", 2)).alias("text"))
     return parts.where("file_name <> '' and text <> ''")
 
 
 def json_bulk(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, text) of the documents array of a JSON body; entries without either are left out."""
+    """(file_name, text) of the first MOST_ROWS entries of each JSON body's documents; entries without either are left out."""
     body = spark.read.schema("documents array<struct<filename: string, text: string>>").option("multiLine", True).json(path)
-    rows = body.select(F.posexplode("documents").alias("at", "d")).orderBy("at").limit(MOST_ROWS)
+    rows = body.select(F.explode(F.slice("documents", 1, MOST_ROWS)).alias("d"))
     return rows.select(F.col("d.filename").alias("file_name"), "d.text").where("file_name is not null and text is not null")
 
 
@@ -121,6 +124,12 @@ def docx_meta(spark: SparkSession, path: str) -> DataFrame:
     return suspicion(files.select("path", "content").mapInPandas(parts, "path string, core string, app string, document string, styles string"))
 
 
+def attribute(xml: Column, element: str, name: str) -> Column:
+    """The value of an attribute of the first such element that has it; null if none."""
+    found = F.regexp_extract(xml, rf'<{element}[^>]*\b{name}="([^"]+)"', 1)
+    return F.when(found != "", found)
+
+
 def suspicion(parts: DataFrame) -> DataFrame:
     """Metadata and flags from the XML parts (path, core, app, document, styles)."""
 
@@ -130,18 +139,20 @@ def suspicion(parts: DataFrame) -> DataFrame:
 
     fonts = F.array_distinct(F.concat(F.regexp_extract_all("document", F.lit('w:ascii="([^"]+)"'), 1), F.regexp_extract_all("document", F.lit('w:hAnsi="([^"]+)"'), 1)))
     meta = parts.select(
-        "path", tag("core", "dc:creator").alias("author"), tag("core", "cp:lastModifiedBy").alias("editor"), tag("core", "cp:revision").try_cast("int").alias("revisions"),
+        "path", tag("core", "dc:creator").alias("author"), tag("core", "cp:lastModifiedBy").alias("editor"), tag("core", "dcterms:created").alias("created"), tag("core", "dcterms:modified").alias("modified"), tag("core", "cp:revision").try_cast("int").alias("revisions"),
         tag("app", "TotalTime").try_cast("int").alias("minutes"), F.coalesce(tag("app", "Words").try_cast("int"), F.lit(0)).alias("words"), tag("app", "Application").alias("application"),
         fonts.alias("fonts"), F.regexp_count("styles", F.lit("<w:style ")).alias("styles"), (F.regexp_count("document", F.lit("<w:ins ")) + F.regexp_count("document", F.lit("<w:del "))).alias("tracked"),
     )
+    n = lambda c: F.col(c).cast("string")
+    # Codes, severities, thresholds and messages of the flags.
     rules = (
-        ("FAST_CREATION", "HIGH", (F.col("words") > 300) & (F.col("minutes") < 3)),
-        ("LOW_REVISIONS", "WARN", (F.col("revisions") <= 2) & (F.col("words") > 500)),
-        ("FONT_DIVERSITY", "WARN", F.size("fonts") > 6),
-        ("MULTIPLE_AUTHORS", "WARN", F.col("author") != F.col("editor")),
-        ("APP_MISMATCH", "INFO", F.col("application").rlike("(?i)google|libreoffice|openoffice")),
-        ("TRACKED_CHANGES", "INFO", F.col("tracked") > 20),
-        ("STYLE_COUNT", "INFO", F.col("styles") > 50),
-    )
-    flags = F.array(*[F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, condition in rules])
+        ("FAST_CREATION", "HIGH", (F.col("words") > 300) & (F.col("minutes") < 3), F.concat(F.lit("Document has "), n("words"), F.lit(" words but total edit time is only "), n("minutes"), F.lit(" minute(s). Likely copy-pasted rather than typed."))),
+        ("LOW_REVISIONS", "WARN", (F.col("revisions") <= 2) & (F.col("words") > 500), F.concat(F.lit("Only "), n("revisions"), F.lit(" revision(s) for a "), n("words"), F.lit("-word document. Documents written organically typically have many more revisions."))),
+        ("FONT_DIVERSITY", "WARN", F.size("fonts") > 6, F.concat(F.size("fonts").cast("string"), F.lit(" distinct font families detected: "), F.array_join(F.slice("fonts", 1, 6), ", "), F.lit(". Multiple fonts suggest text was pasted from different sources."))),
+        ("MULTIPLE_AUTHORS", "WARN", F.col("author") != F.col("editor"), F.concat(F.lit('Created by "'), "author", F.lit('" but last modified by "'), "editor", F.lit('". Multiple authors on a submission warrant review.'))),
+        ("APP_MISMATCH", "INFO", F.col("application").rlike("(?i)google|libreoffice|openoffice"), F.concat(F.lit('Document created with "'), "application", F.lit('". Different from the expected institutional word processor.'))),
+        ("TRACKED_CHANGES", "INFO", F.col("tracked") > 20, F.concat(n("tracked"), F.lit(" tracked changes found. Review the accept/reject history."))),
+        ("STYLE_COUNT", "INFO", F.col("styles") > 50, F.concat(n("styles"), F.lit(" styles in document — higher than typical. May indicate content assembled from multiple documents."))),
+    )
+    flags = F.array(*[F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"))) for code, severity, condition, message in rules])
     return meta.withColumn("flags", F.filter(flags, lambda f: f.isNotNull()))

@@ -47,7 +47,7 @@ def limited(df: DataFrame, who: str, at: str, order: str, most: int = 180, secon
 
 
 def limited_stream(df: DataFrame, who: str, at: str, most: int = 180, seconds: float = 60) -> DataFrame:
-    """(who, at, allowed) of a stream; the state of an identity is dropped an hour after its last request."""
+    """(who, at, allowed) of a stream; the state of an identity is dropped one window and a minute after its last request."""
     kind = df.schema[who].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,6 +61,6 @@ def limited_stream(df: DataFrame, who: str, at: str, most: int = 180, seconds: f
             allowed, start, used = admit(times, start, used, most, seconds)
             yield pd.DataFrame({who: key[0], at: pdf[at], "allowed": allowed})
         state.update((start, used))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutDuration(int(1000 * seconds) + 60_000)
 
     return df.select(who, at).groupBy(who).applyInPandasWithState(step, f"{who} {kind}, {at} timestamp, allowed boolean", "start double, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)

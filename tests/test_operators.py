@@ -197,7 +197,7 @@ def same(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and a == pytest.approx(b, abs=1e-12))
 
 
-@pytest.mark.parametrize("name", ["split_sentences", "language_infer", "winnow_fingerprints", "tfidf_vectors", "stored_similarity", "document_ai", "scan_history"])
+@pytest.mark.parametrize("name", ["split_sentences", "language_infer", "winnow_fingerprints", "tfidf_vectors", "stored_similarity", "document_ai", "scan_history", "sentence_sources", "rate_limit", "org_stats", "report_lines", "file_versions", "live_corpus"])
 def test_against_sql(spark, name):
     """A few of the catalogue's queries with their SQL, on the smallest tables; the driver compares them all."""
     d = "/root/testdata/sf0.001"
@@ -241,7 +241,7 @@ def test_all_candidates_and_their_pairs(spark, tmp_path):
         for _, id_ in best:
             for i, s in enumerate(next(x[2] for x in docs if x[0] == id_).split(". ")):
                 pairs[t, id_, i] = round(len(set(q) & set(words(s))) / len(set(q) | set(words(s))), 6)
-    got = {(r["text"], r["doc_id"], r["shared"], r["rank"]) for r in queries.QUERIES["candidate_docs_all"](spark, str(tmp_path)).collect()}
+    got = {(r["text"], r["doc_id"], r["shared"], r["rank"]) for r in queries.QUERIES["candidate_docs"](spark, str(tmp_path)).collect()}
     assert got == want and len(got) == 240
     scored = queries.QUERIES["candidate_pairs"](spark, str(tmp_path)).collect()
     assert {(r["text"], r["doc_id"], r["sent_idx"]): r["jaccard"] for r in scored} == pytest.approx(pairs, abs=2e-6) and len(scored) == 480
