@@ -1,23 +1,28 @@
 """Problem 4: deduplicating new batches against all history.
 
-Content-defined chunking over words: a word whose hash falls into one residue of `modulus` ends a chunk,
-so an edit changes only the chunks it touches; short texts
-are cut a second time, more finely. The store keeps, for each batch,
+Content-defined chunking over words: a rolling window of three words ends a chunk before each word whose
+hash is less than both its neighbours', so chunks hold two words at least and an edit changes only the chunks
+that it touches. The store keeps, for each batch,
 
-- chunks: (chunk, tid, bytes) of each distinct text first accepted in that batch,
-- records: (tid, batch_no, last, n, shingles, chunks, bytes, weight),
-- counters: hashed occurrence counters of its chunks (a fixed number of slots),
+- chunks: (chunk, tid, batch_no) of each distinct text that the batch brought first,
+- records: (tid, batch_no, n, shingles, chunks, bytes, weight) of the same texts,
 
-and a new batch reads only them: no text of the history is read or cut again. For each new text the
-chunks are put in order from rare to common and looked up until less than `drop` of its bytes is left;
-any text that shares at least `coverage` of them then shares at least `coverage - drop` within what was
-looked up. What passes is decided by full coverage and, if a threshold is given, by exact overlap.
+and a new batch is met by them alone: no text of the history is read or cut again, and no history is
+shuffled. The batch's chunks set bits in a table of fixed size; the history's chunks stream past it, and only
+postings whose bit is set go on. For each new text the postings give the bytes that it shares with each
+stored one; of its chunks the most common ones, up to `drop` of its bytes, are not looked up, so any text that
+shares `coverage` of them still shows `coverage - drop`. What passes is decided by coverage and, if a
+threshold is given, by exact overlap; then the texts that the store doesn't have are accepted and appended.
+
+Texts that are found to repeat another one are appended too, unless they are the same: a later text may be
+near to them and not to what they repeat.
 
 Defined results
 - null text, key or batch: no part. Texts under `least_words` words, so also empty ones: no part.
 - a row repeated within a batch counts once; the same text in a later batch is a case of that batch,
   under its old key or a new one; the same text twice within one batch alone is none.
 - appending a batch again adds nothing: texts that the store has are left out.
+- batches go in ascending order; a batch below one that the store has meets only what lies below it.
 - columns besides the named ones are ignored, whatever their names.
 """
 
@@ -28,60 +33,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.lookalike import plain_words
-from quillmesh.llm.wordsets import enough_words, gathered, keyed, mix, rare_first, runs, salt, slot_counts, word_hashes
+from quillmesh.llm.wordsets import enough_words, keyed, members, mix, only_members, runs, salt, word_hashes
 from quillmesh.tables import scratch_dir, written
 
-RECORD = "tid binary, batch_no int, last int, n int, shingles array<int>, chunks array<bigint>, bytes array<int>, weight bigint"
-#: Up to so many text digests (16 bytes each) are broadcast to leave out texts without any candidate.
-BROADCAST_ROWS = 2_000_000
-#: Texts of up to so many words hold few chunks, so finer ones stand beside them.
-SHORT = 40
+RECORD = "tid binary, batch_no int, n int, shingles array<int>, chunks array<bigint>, bytes array<int>, weight bigint"
 
 
-def cut(hashes: np.ndarray, lengths: np.ndarray, modulus: int, salted: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
+def cut(hashes: np.ndarray, lengths: np.ndarray, salted: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
     """Distinct chunk hashes of a word sequence, and the bytes of each."""
-    ends = np.flatnonzero((mix(hashes) >> np.uint64(7)) % np.uint64(modulus) == 0) + 1
-    edges = np.r_[0, ends[ends < len(hashes)], len(hashes)]
+    order = mix(hashes)
+    least = np.flatnonzero((order[1:-1] < order[:-2]) & (order[1:-1] <= order[2:])) + 1
+    edges = np.r_[0, least, len(hashes)] if len(hashes) else np.zeros(1, np.int64)
     # A polynomial over the words of each chunk, mod 2^64.
     place = np.arange(len(hashes)) - np.repeat(edges[:-1], np.diff(edges))
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        sums = np.add.reduceat(hashes * powers[place], edges[:-1])
+        sums = np.add.reduceat(hashes * powers[place], edges[:-1]) if len(hashes) else hashes
     chunks, first = np.unique(mix(sums + salted), return_index=True)
-    return chunks.view(np.int64), np.add.reduceat(lengths, edges[:-1])[first]
+    return chunks.view(np.int64), np.add.reduceat(lengths, edges[:-1])[first] if len(hashes) else lengths
 
 
-def signed(texts: DataFrame, n: int, least_words: int, modulus: int) -> DataFrame:
-    """Set (as 32-bit hashes, for comparing two texts) and chunks of each text (tid, text, within, batch_no, last) of at least `least_words` words."""
+def signed(texts: DataFrame, n: int, least_words: int) -> DataFrame:
+    """Set (as 32-bit hashes, for comparing two texts) and chunks of each text (tid, text, within, batch_no) of at least `least_words` words."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             known: dict[str, int] = {}
             out = []
-            for tid, text, within, first, last in zip(batch["tid"], batch["text"], batch["within"], batch["batch_no"], batch["last"]):
+            for tid, text, within, number in zip(batch["tid"], batch["text"], batch["within"], batch["batch_no"]):
                 words = plain_words(text)
                 if len(words) >= max(n, least_words, 1):
                     hashes = word_hashes(words, known)
                     lengths = np.array([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words], np.int32)
                     s = np.unique(runs(hashes, n).astype(np.uint32)).view(np.int32)
-                    chunks, size = cut(hashes, lengths, modulus, salt(within))
-                    if len(words) <= SHORT:
-                        fine, fine_size = cut(hashes, lengths, 2, salt(within + "\u0000fine"))
-                        chunks, size = np.r_[chunks, fine], np.r_[size, fine_size]
-                    out.append((tid, first, last, len(s), s, chunks, size, int(size.sum())))
-            yield pd.DataFrame(out, columns=["tid", "batch_no", "last", "n", "shingles", "chunks", "bytes", "weight"])
+                    chunks, size = cut(hashes, lengths, salt(within))
+                    out.append((tid, number, len(s), s, chunks, size, int(size.sum())))
+            yield pd.DataFrame(out, columns=["tid", "batch_no", "n", "shingles", "chunks", "bytes", "weight"])
 
-    return texts.select("tid", "text", "within", "batch_no", "last").mapInPandas(made, RECORD)
+    return texts.select("tid", "text", "within", "batch_no").mapInPandas(made, RECORD)
 
 
 class ChunkStore:
     """The persistent chunk-to-record table below `path`, in the folder that all executors share.
 
-    Each append writes its own folder of records, chunks and counters; none is read to make another.
+    Each append writes its own folder of records and chunks; neither is read to make another.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -89,7 +88,7 @@ class ChunkStore:
 
     def _read(self, what: str, schema: str) -> DataFrame | None:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{what}").select(*[c.split()[0] for c in schema.split(", ")])
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -98,89 +97,59 @@ class ChunkStore:
     def records(self) -> DataFrame | None:
         return self._read("records", RECORD)
 
-    def append(self, new: DataFrame) -> DataFrame:
-        """Accepts signed texts; those that the store has already add nothing. Returns the records written."""
-        old, run = self.records(), uuid.uuid4().hex
-        if old is not None:
-            new = new.join(old.select("tid"), "tid", "left_anti")
+    def append(self, new: DataFrame) -> None:
+        """Accepts signed texts that the store doesn't have."""
+        run = uuid.uuid4().hex
         new.write.parquet(f"{self.path}/records/run={run}")
         new = self._read(f"records/run={run}", RECORD)
-        pieces = new.select(F.explode(F.arrays_zip("chunks", "bytes")).alias("c"), "tid", "batch_no").select(F.col("c.chunks").alias("chunk"), "tid", F.col("c.bytes").alias("bytes"), "batch_no")
-        pieces.write.parquet(f"{self.path}/chunks/run={run}")
-        slot_counts(new, "chunks").write.parquet(f"{self.path}/counters/run={run}")
-        return new
-
-    def counters(self) -> np.ndarray:
-        found = self._read("counters", "slot int, n bigint")
-        return gathered(found.groupBy("slot").agg(F.sum("n").alias("n")) if found is not None else self.spark.createDataFrame([], "slot int, n bigint"))
+        new.select(F.explode("chunks").alias("chunk"), "tid", "batch_no").write.parquet(f"{self.path}/chunks/run={run}")
 
-    def match(self, new: DataFrame, coverage: float = 0.28, drop: float = 0.25, threshold: float | None = None) -> DataFrame:
-        """(tid, other, batch_no, coverage, overlap): stored texts, of a batch below the new text's last one, that it repeats.
+    def match(self, new: DataFrame, coverage: float = 0.20, drop: float = 0.15, threshold: float | None = None) -> DataFrame:
+        """(tid, other, batch_no, coverage, overlap): stored texts of a batch below the new text's, or the same text, that it repeats.
 
-        new: signed texts that need not be in the store; batch_no is that of the stored text.
+        new: signed texts that need not be in the store; batch_no is that of the stored text. coverage is what the chunks
+        that were looked up show.
         """
-        common = self.spark.sparkContext.broadcast(self.counters())
-
-        def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out: list[list] = [[], [], [], []]
-                for tid, chunks, size, weight, before in zip(batch["tid"], batch["chunks"], batch["bytes"], batch["weight"], batch["last"]):
-                    chunks, size = np.asarray(chunks, np.int64), np.asarray(size, np.int64)
-                    order = rare_first(chunks, common.value)
-                    left = weight - np.cumsum(size[order]) + size[order]
-                    keep = order[left >= drop * weight - 1e-9]
-                    for o, v in zip(out, ([tid] * len(keep), chunks[keep], [weight] * len(keep), [before] * len(keep))):
-                        o.extend(v)
-                yield pd.DataFrame(dict(zip(["tid", "chunk", "weight", "before"], out)))
-
-        schema = "tid binary, other binary, batch_no int, coverage double, overlap double"
-        stored, records = self._read("chunks", "chunk bigint, tid binary, bytes int, batch_no int"), self.records()
-        if stored is None or records is None:
-            return self.spark.createDataFrame([], schema)
-        wanted = new.select("tid", "chunks", "bytes", "weight", "last").mapInPandas(looked_up, "tid binary, chunk bigint, weight bigint, before int")
-        met = wanted.join(stored.withColumnRenamed("tid", "other"), "chunk").where("batch_no < before and tid <> other")
-        met = met.groupBy("tid", "other").agg(F.sum("bytes").alias("shared"), F.first("weight").alias("weight")).where(F.col("shared") >= (coverage - drop) * F.col("weight") - 1e-9)
-        met = written(met.select("tid", "other"), "met")
-
-        def only(df: DataFrame, column: str) -> DataFrame:
-            """The records that have a candidate; the rest need not be shuffled, if the list is short enough to broadcast."""
-            ids = met.select(F.col(column).alias("tid")).distinct()
-            return df.join(F.broadcast(ids), "tid", "left_semi") if ids.count() <= BROADCAST_ROWS else df
-
-        one = only(new.select("tid", F.col("shingles").alias("s1"), F.col("chunks").alias("c1"), F.col("bytes").alias("b1"), F.col("weight").alias("w1")), "tid")
-        two = only(records.select("tid", "batch_no", F.col("shingles").alias("s2"), F.col("chunks").alias("c2")), "other").withColumnRenamed("tid", "other")
-        shared = F.size(F.array_intersect("s1", "s2"))
-        found = met.join(one, "tid").join(two, "other").select("tid", "other", "batch_no", (_bytes_shared() / F.col("w1")).alias("coverage"), (shared / (F.size("s1") + F.size("s2") - shared)).alias("overlap"))
-        return found.where(F.col("coverage") >= coverage if threshold is None else (F.col("coverage") >= coverage) & (F.col("overlap") >= threshold))
-
-
-def _bytes_shared() -> Column:
-    both = F.array_intersect("c1", "c2")
-    return F.aggregate(F.arrays_zip("c1", "b1"), F.lit(0), lambda total, x: total + F.when(F.array_contains(both, x["c1"]), x["b1"]).otherwise(0))
-
-
-def repeated_rows(df: DataFrame, key: str, text: str, batch: str, store: ChunkStore | None = None, n: int = 3, threshold: float = 0.55, least_words: int = 16, modulus: int = 4, coverage: float = 0.28, drop: float = 0.25, within: str | None = None) -> DataFrame:
+        stored = self._read("chunks", "chunk bigint, tid binary, batch_no int")
+        if stored is None:
+            return self.spark.createDataFrame([], "tid binary, other binary, batch_no int, coverage double, overlap double")
+        pieces = new.select("tid", F.col("batch_no").alias("before"), "weight", F.explode(F.arrays_zip("chunks", "bytes")).alias("c")).select("tid", "before", "weight", F.col("c.chunks").alias("chunk"), F.col("c.bytes").alias("bytes"))
+        posted = written(only_members(stored, "chunk", members(pieces, "chunk")).withColumnRenamed("tid", "other"), "posted")
+        common = posted.groupBy("chunk").agg(F.count("*").alias("n"))
+        passed = F.sum("bytes").over(Window.partitionBy("tid").orderBy(F.desc("n"), "chunk"))  # of one text: its chunks, from common to rare
+        wanted = pieces.join(common, "chunk").withColumn("passed", passed).where(F.col("passed") > drop * F.col("weight"))
+        met = wanted.join(posted, "chunk").where("batch_no < before or tid = other").groupBy("tid", "other").agg(F.sum("bytes").alias("shared"), F.first("weight").alias("weight"))
+        met = written(met.select("tid", "other", (F.col("shared") / F.col("weight")).alias("coverage")).where(F.col("coverage") >= coverage - drop - 1e-9).withColumn("h", F.xxhash64("other")), "met")
+        known = only_members(self.records().select("tid", "batch_no", F.col("shingles").alias("theirs"), F.xxhash64("tid").alias("h")), "h", members(met, "h")).drop("h").withColumnRenamed("tid", "other")
+        shared = F.size(F.array_intersect("mine", "theirs"))
+        both = met.join(new.select("tid", F.col("shingles").alias("mine")), "tid").join(known, "other")
+        found = both.select("tid", "other", "batch_no", "coverage", (shared / (F.size("mine") + F.size("theirs") - shared)).alias("overlap"))
+        return found.where((F.col("tid") == F.col("other")) | (F.col("coverage") >= coverage if threshold is None else F.col("overlap") >= threshold))
+
+
+def repeated_rows(df: DataFrame, key: str, text: str, batch: str, store: ChunkStore | None = None, n: int = 3, threshold: float | None = 0.55, least_words: int = 16, coverage: float = 0.20, drop: float = 0.15, within: str | None = None) -> DataFrame:
     """(key, within, batch_no): rows for which an earlier batch, in `df` or in the store, brought a text with this overlap.
 
-    The texts are matched against the store and against each other, and appended to it, each under the
-    batch that first brought it. within: a column whose values part the rows into groups; texts of
-    different groups are not compared. A text that the store has already keeps its batch there.
+    Batch after batch is signed, matched against the store and appended to it. within: a column whose values part the
+    rows into groups; texts of different groups are not compared.
     """
     spark = df.sparkSession
     store = store or ChunkStore(spark, f"{scratch_dir(spark)}/quillmesh/store-{uuid.uuid4().hex}")
     rows = keyed(df, key, text, F.col(batch).cast("int").alias("batch_no"), within=within).where("batch_no is not null").where(enough_words(max(n, least_words)))
-    texts = rows.groupBy("tid").agg(F.first("text").alias("text"), F.first("within").alias("within"), F.min("batch_no").alias("batch_no"), F.max("batch_no").alias("last"))
-    new = signed(texts, n, least_words, modulus)
-    if store.records() is None:
-        new = store.append(new)
-    else:
-        new = written(new, "signed")
-        store.append(new)
-    found = store.match(new, coverage, drop, threshold)
-    # The earliest batch that brought something like it: its own first one, or that of a text found.
-    own = store.records().select("tid", F.col("batch_no").alias("since"))
-    since = found.select("tid", F.col("batch_no").alias("since")).unionByName(own).groupBy("tid").agg(F.min("since").alias("since"))
-    return rows.select("key", "tid", "within", "batch_no").distinct().join(since, "tid").where("batch_no > since").select("key", "within", "batch_no").distinct()
+    texts = rows.groupBy("batch_no", "tid").agg(F.first("text").alias("text"), F.first("within").alias("within"))
+    every = written(signed(texts, n, least_words), "signed", partition_by=["batch_no"]) if not df.isEmpty() else None
+    numbers = sorted(r["batch_no"] for r in every.select("batch_no").distinct().collect()) if every is not None else []  # as many as there are batches
+    repeated = None
+    for number in numbers:
+        new = every.where(F.col("batch_no") == number).select(*[c.split()[0] for c in RECORD.split(", ")])
+        found = written(store.match(new, coverage, drop, threshold), "found")
+        own = found.where("tid = other").select("tid")
+        store.append(new.join(own, "tid", "left_anti"))
+        one = found.where(F.col("batch_no") < number).select("tid", F.lit(number).alias("batch_no"))
+        repeated = one if repeated is None else repeated.unionByName(one)
+    if repeated is None:
+        return rows.select("key", "within", "batch_no").limit(0)
+    return rows.select("key", "tid", "within", "batch_no").join(repeated.distinct(), ["tid", "batch_no"], "left_semi").select("key", "within", "batch_no").distinct()
 
 
 JOB = "report struct<sentences: array<struct<text: string>>>, _bad string"

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,30 +77,52 @@ _PICTO = _python("[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}]")
 _ZWJ_SHOWS = re.compile(f"(?:(?<={_PICTO})|(?<={_PICTO}\ufe0f))\u200d(?={_PICTO})|(?<=[\u094d\u09cd\u0d4d])\u200d")
 _ZWNJ_SHOWS = re.compile(_python(ZWNJ_SHOWS).replace("(?<=\u094d|\u09cd|\u0d4d)", "(?<=[\u094d\u09cd\u0d4d])"))
 _FOLD = str.maketrans(ONE_TO_ONE | LIGATURES)
-_LATIN = re.compile("[A-Za-z]")
+# Scripts whose letters look like Latin ones: their blocks, and their own letter for each Latin one.
+_BLOCKS = {"cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff\u1f00-\u1fff", "armenian": "\u0530-\u058f"}
+_OF_SCRIPT = {name: re.compile(f"[{block}]") for name, block in _BLOCKS.items()}
+_BACK = {name: str.maketrans({v: k for k, v in reversed(LOOK_ALIKE.items()) if _OF_SCRIPT[name].fullmatch(k) and len(v) == 1}) for name in _BLOCKS}
+#: Letters of each script that look like no letter of another one; Latin ones are those that none of the scripts has.
+_OWN = {name: re.compile("[" + "".join(sorted({chr(c) for a, b in re.findall("(.)-(.)", block) for c in range(ord(a), ord(b) + 1)} - set(LOOK_ALIKE))).replace("\\", "") + "]") for name, block in _BLOCKS.items()}
+_OWN_LATIN = re.compile("[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if not any(ord(c) in t for t in (_BACK["cyrillic"], _BACK["greek"]))) + "]")
+_ANY_OTHER = re.compile("[" + "".join(_BLOCKS.values()) + "]")
+
+
+@lru_cache(1 << 17)
+def _plain_word(word: str, script: str) -> str:
+    """A word in lower case, look-alikes folded. script: what a word of look-alikes alone is taken for.
+
+    A word of another script than Latin is first spelled in that script's own letters, so that its capitals are lowered as such;
+    a Latin one is folded first, since its capitals of other scripts are disguised ones.
+    """
+    own = next((name for name in _BLOCKS if _OWN[name].search(word)), "" if _OWN_LATIN.search(word) else script)
+    word = word.translate(_FOLD)
+    if own:
+        word = word.translate(_BACK[own])
+    return unicodedata.normalize("NFC", word.lower().translate(_FOLD))
 
 
 def plain_words(text: str) -> list[str]:
-    """The white-space separated words of the plain form, lower-cased: for operators that compare words.
-
-    Text of one script keeps its letters; look-alikes fold to Latin after lower-casing. A word that
-    also holds Latin letters is folded before lower-casing, since its capitals are disguised ones.
-    """
+    """The white-space separated words of the plain form, lower-cased: for operators that compare words."""
     if text.isascii():
         return text.lower().split()
     text = _UNSEEN.sub("", _SPACES.sub(" ", text))
-    latin = 2 * len(_LATIN.findall(text)) > len(text) // 2
-    return [unicodedata.normalize("NFC", (w.translate(_FOLD).lower() if latin or _LATIN.search(w) else w.lower()).translate(_FOLD)) for w in text.split()]
+    script = ""
+    if _ANY_OTHER.search(text):  # the script of the letters that can't be disguised ones
+        votes = {name: len(_OWN[name].findall(text)) for name in _BLOCKS}
+        script = max(votes, key=lambda k: votes[k])
+        if votes[script] <= len(_OWN_LATIN.findall(text)):
+            script = ""
+    return [_plain_word(w, script) for w in text.split()]
 
 
-def classes(df: DataFrame, text: str) -> DataFrame:
-    """(text, look, canonical, n_texts) for each distinct text: one row per text, with its class.
+def classes(df: DataFrame, text: str, trimmed: bool = False) -> DataFrame:
+    """(text, look, canonical, n_texts) for each distinct text: one row per text, with its class. trimmed: spaces at the ends of a look don't show.
 
     The group by runs on distinct texts only, so a text or a class that holds a third of all rows is
     reduced map-side before anything is shuffled by look.
     """
     spark = df.sparkSession
-    texts = df.select(F.col(text).alias("text")).where("text is not null").groupBy("text").count().select("text", look(F.col("text")).alias("look"))
+    texts = df.select(F.col(text).alias("text")).where("text is not null").groupBy("text").count().select("text", (F.trim(look(F.col("text"))) if trimmed else look(F.col("text"))).alias("look"))
     return spark.sql(
         """
         WITH class AS (
@@ -140,12 +163,9 @@ def same_look_lookup(df: DataFrame, key: str, text: str, names: DataFrame, name_
 
     Space at the ends doesn't show. A text that is a name itself has no case with that name.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").distinct().withColumn("look", F.trim(look(F.col("text"))))
-    known = names.select(F.col(name_key).alias("name_key"), F.col(name).alias("name")).where("name is not null").distinct().withColumn("look", F.trim(look(F.col("name"))))
-    return spark.sql(
-        """SELECT DISTINCT r.key AS key_a, n.name_key AS key_b FROM {rows} r JOIN {known} n
-           ON r.look COLLATE UNICODE = n.look COLLATE UNICODE WHERE r.text <> n.name""",
-        rows=rows,
-        known=known,
-    )
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").distinct().withColumn("seen", F.trim("text"))
+    known = names.select(F.col(name_key).alias("name_key"), F.col(name).alias("name")).where("name_key is not null and name is not null").distinct().withColumn("seen", F.trim("name"))
+    found = classes(rows.select("seen").unionByName(known.select("seen")), "seen", trimmed=True).select(F.col("text").alias("seen"), "canonical")
+    a = rows.join(found, "seen").select(F.col("key").alias("key_a"), "text", "canonical")
+    b = known.join(found, "seen").select(F.col("name_key").alias("key_b"), "name", "canonical")
+    return a.join(b, "canonical").where("text <> name").select("key_a", "key_b").distinct()

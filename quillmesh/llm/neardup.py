@@ -12,7 +12,7 @@ threshold. The search is exact:
 3. A shard larger than `leaf` is cut into shells by the distance to its vantage point. A text lives in
    one shell and also queries each lower shell that its radius reaches over the boundary. Shells that
    are still large are cut into blocks, so no task holds more than two blocks.
-4. Shards of up to `FEW` are compared row by row; in larger ones a vantage-point tree is searched with the
+4. Shards of up to `LEAF` are compared row by row; in larger ones a vantage-point tree is searched with the
    radius, branches pruned by the triangle bound. Pairs found are compared exactly.
 
 Defined results
@@ -32,14 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.wordsets import enough_words, gathered, keyed, rare_first, sets, slot_counts, with_copies
+from quillmesh.llm.wordsets import enough_words, gathered, keyed, members, only_members, rare_first, sets, slot_counts, with_copies
 from quillmesh.tables import written
 
 BITS = 512
-#: Shards up to this size are compared row by row, vectorised over many shards; larger ones by a tree.
-FEW = 48
-#: Up to so many 8-byte ids are broadcast to leave out sets without any candidate.
-BROADCAST_ROWS = 2_000_000
+#: What a tree's leaf holds. A shard no larger is a tree of one leaf; such leaves are scanned many at once.
+LEAF = 48
 
 
 def reach(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -50,7 +48,7 @@ def reach(sizes: np.ndarray, threshold: float) -> np.ndarray:
 class VPTree:
     """A vantage-point tree over fingerprints under Hamming distance."""
 
-    def __init__(self, prints: np.ndarray, leaf: int = 32) -> None:
+    def __init__(self, prints: np.ndarray, leaf: int = LEAF) -> None:
         self.prints, self.leaf = prints, leaf
         self.root = self._build(np.arange(len(prints)))
 
@@ -128,7 +126,7 @@ def _searched(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, threshol
     """Close pairs of the shards rows[starts:ends]."""
     prints = np.frombuffer(b"".join(rows["print"]), np.uint64).reshape(len(rows), BITS // 64)
     sizes, ids, home = rows["n"].to_numpy(np.float64), rows["sid"].to_numpy(), rows["home"].to_numpy(bool)
-    few = ends - starts <= FEW
+    few = ends - starts <= LEAF
     found = [_of_small(few, ends - starts, ends, prints, sizes, home, threshold)]
     found += [_of_large(a, b, prints, sizes, home, threshold) for a, b in zip(starts[~few], ends[~few])]
     one, two = ids[np.concatenate([f[0] for f in found]).astype(np.int64)], ids[np.concatenate([f[1] for f in found]).astype(np.int64)]
@@ -227,13 +225,10 @@ def _shells(large: DataFrame, threshold: float, leaf: int, width: int = 32, part
 def compared(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
     """(sid_a, sid_b, overlap): the pairs whose sets overlap by at least the threshold, compared exactly."""
 
-    def only(df: DataFrame, column: str) -> DataFrame:
-        """Sets that stand in a pair; the rest need not be shuffled, if the list is short enough to broadcast."""
-        ids = pairs.select(F.col(column).alias("sid")).distinct()
-        return df.join(F.broadcast(ids), "sid", "left_semi") if ids.count() <= BROADCAST_ROWS else df
-
-    one = only(of.select("sid", F.col("shingles").alias("one")), "sid_a").withColumnRenamed("sid", "sid_a")
-    two = only(of.select("sid", F.col("shingles").alias("two")), "sid_b").withColumnRenamed("sid", "sid_b")
+    # Sets that stand in no pair need not be shuffled.
+    ids = pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).select(F.xxhash64("sid").alias("h"))
+    some = only_members(of.select("sid", "shingles", F.xxhash64("sid").alias("h")), "h", members(ids, "h"))
+    one, two = some.select(F.col("sid").alias("sid_a"), F.col("shingles").alias("one")), some.select(F.col("sid").alias("sid_b"), F.col("shingles").alias("two"))
     shared = F.size(F.array_intersect("one", "two"))
     overlap = shared / (F.size("one") + F.size("two") - shared)
     return pairs.join(one, "sid_a").join(two, "sid_b").select("sid_a", "sid_b", overlap.alias("overlap")).where(F.col("overlap") >= threshold)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +117,31 @@ def gathered(counts: DataFrame) -> np.ndarray:
     return out
 
 
+#: Bits of a membership table. Their number is fixed, so what is broadcast is too.
+MEMBER_BITS = 1 << 26
+
+
+def members(values: DataFrame, column: str) -> np.ndarray:
+    """A table of MEMBER_BITS bits in which the bit of each value (64-bit hashes) is set; made by the executors, a word for each that has a bit."""
+    at = F.col(column).bitwiseAND(F.lit(MEMBER_BITS - 1))
+    words = values.select(F.shiftright(at, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(MEMBER_BITS // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def only_members(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
+    """Rows whose value's bit is set: all members and a few others, so that a large table need not be shuffled to meet a small one."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(column).to_numpy(zero_copy_only=False) & np.int64(MEMBER_BITS - 1)
+            yield batch.filter(pa.array((shared.value[h >> 6] >> (h & 63)) & 1 == 1))
+
+    return df.mapInArrow(kept, df.schema)
+
+
 def rare_first(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places of values, from rare to common by the counters, ties by value: the same order in every text."""
     return np.lexsort((values, counts[values & np.int64(len(counts) - 1)]))

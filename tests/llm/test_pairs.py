@@ -185,7 +185,7 @@ def test_neighbours_do_not_depend_on_probes_or_keep(rows):
 
 def test_shard_that_is_searched_by_a_tree(monkeypatch):
     rng = np.random.default_rng(3)
-    n = 3 * neardup.FEW
+    n = 3 * neardup.LEAF
     prints = np.repeat(rng.integers(0, 2**63, (n // 6, 8), dtype=np.uint64), 6, 0)
     for k in range(n):
         prints[k, rng.integers(8)] ^= np.uint64(1) << np.uint64(rng.integers(63))
@@ -197,5 +197,5 @@ def test_shard_that_is_searched_by_a_tree(monkeypatch):
     monkeypatch.setattr(neardup, "VPTree", lambda *a: built.append(1) or tree(*a))
     by_tree = found()
     assert built and by_tree
-    monkeypatch.setattr(neardup, "FEW", n)
+    monkeypatch.setattr(neardup, "LEAF", n)
     assert by_tree == found() and len(built) == 1
