@@ -1,7 +1,7 @@
 """Problem 4: deduplicating new batches against all history.
 
-Content-defined chunking over words: a rolling window of three words ends a chunk before each word whose
-hash is less than both its neighbours', so chunks hold two words at least and an edit changes only the chunks
+Content-defined chunking over words: a rolling window of five words begins a chunk at each word whose hash
+is the least of them, so chunks hold three words at least, five on average, and an edit changes only the chunks
 that it touches. The store keeps, for each batch,
 
 - chunks: (chunk, tid, batch_no) of each distinct text that the batch brought first,
@@ -36,43 +36,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.lookalike import plain_words
-from quillmesh.llm.wordsets import enough_words, keyed, members, mix, only_members, runs, salt, word_hashes
+from quillmesh.llm.wordsets import enough_words, keyed, long_enough, members, only_members
 from quillmesh.tables import scratch_dir, written
 
 RECORD = "tid binary, batch_no int, n int, shingles array<int>, chunks array<bigint>, bytes array<int>, weight bigint"
 
 
-def cut(hashes: np.ndarray, lengths: np.ndarray, salted: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct chunk hashes of a word sequence, and the bytes of each."""
-    order = mix(hashes)
-    least = np.flatnonzero((order[1:-1] < order[:-2]) & (order[1:-1] <= order[2:])) + 1
-    edges = np.r_[0, least, len(hashes)] if len(hashes) else np.zeros(1, np.int64)
-    # A polynomial over the words of each chunk, mod 2^64.
-    place = np.arange(len(hashes)) - np.repeat(edges[:-1], np.diff(edges))
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        sums = np.add.reduceat(hashes * powers[place], edges[:-1]) if len(hashes) else hashes
-    chunks, first = np.unique(mix(sums + salted), return_index=True)
-    return chunks.view(np.int64), np.add.reduceat(lengths, edges[:-1])[first] if len(hashes) else lengths
-
-
 def signed(texts: DataFrame, n: int, least_words: int) -> DataFrame:
     """Set (as 32-bit hashes, for comparing two texts) and chunks of each text (tid, text, within, batch_no) of at least `least_words` words."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known: dict[str, int] = {}
-            out = []
-            for tid, text, within, number in zip(batch["tid"], batch["text"], batch["within"], batch["batch_no"]):
-                words = plain_words(text)
-                if len(words) >= max(n, least_words, 1):
-                    hashes = word_hashes(words, known)
-                    lengths = np.array([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words], np.int32)
-                    s = np.unique(runs(hashes, n).astype(np.uint32)).view(np.int32)
-                    chunks, size = cut(hashes, lengths, salt(within))
-                    out.append((tid, number, len(s), s, chunks, size, int(size.sum())))
-            yield pd.DataFrame(out, columns=["tid", "batch_no", "n", "shingles", "chunks", "bytes", "weight"])
+            rows, words = long_enough(batch, max(n, least_words, 1))
+            runs, of = words.shingles(n, salted=False)
+            found = words.each(runs.astype(np.uint32), of)[0]
+            chunk, of, size = words.chunks()
+            chunks, sizes = words.each(chunk, of, size)
+            of_row = {c: batch[c].to_numpy()[rows] for c in ("tid", "batch_no")}
+            yield pd.DataFrame({**of_row, "n": [len(s) for s in found], "shingles": [s.view(np.int32) for s in found], "chunks": [c.view(np.int64) for c in chunks], "bytes": sizes, "weight": [int(s.sum()) for s in sizes]})
 
     return texts.select("tid", "text", "within", "batch_no").mapInPandas(made, RECORD)
 
@@ -104,7 +85,7 @@ class ChunkStore:
         new = self._read(f"records/run={run}", RECORD)
         new.select(F.explode("chunks").alias("chunk"), "tid", "batch_no").write.parquet(f"{self.path}/chunks/run={run}")
 
-    def match(self, new: DataFrame, coverage: float = 0.20, drop: float = 0.15, threshold: float | None = None) -> DataFrame:
+    def match(self, new: DataFrame, coverage: float = 0.10, drop: float = 0.08, threshold: float | None = None) -> DataFrame:
         """(tid, other, batch_no, coverage, overlap): stored texts of a batch below the new text's, or the same text, that it repeats.
 
         new: signed texts that need not be in the store; batch_no is that of the stored text. coverage is what the chunks
@@ -127,7 +108,7 @@ class ChunkStore:
         return found.where((F.col("tid") == F.col("other")) | (F.col("coverage") >= coverage if threshold is None else F.col("overlap") >= threshold))
 
 
-def repeated_rows(df: DataFrame, key: str, text: str, batch: str, store: ChunkStore | None = None, n: int = 3, threshold: float | None = 0.55, least_words: int = 16, coverage: float = 0.20, drop: float = 0.15, within: str | None = None) -> DataFrame:
+def repeated_rows(df: DataFrame, key: str, text: str, batch: str, store: ChunkStore | None = None, n: int = 3, threshold: float | None = 0.55, least_words: int = 16, coverage: float = 0.10, drop: float = 0.08, within: str | None = None) -> DataFrame:
     """(key, within, batch_no): rows for which an earlier batch, in `df` or in the store, brought a text with this overlap.
 
     Batch after batch is signed, matched against the store and appended to it. within: a column whose values part the

@@ -82,8 +82,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leak_places(spark: SparkSession, d: str) -> DataFrame:
-    """Leaks of questions and answers with the number of leaked words and the first run's place in the page."""
-    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text", "answer"]).withColumnsRenamed({"page": "doc_id", "item": "item_id"})
+    """Leaks of questions with the number of leaked words, the first run's place in the page, and that of an answer after it."""
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["text"], answer="answer").withColumnsRenamed({"page": "doc_id", "item": "item_id"})
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

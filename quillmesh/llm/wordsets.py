@@ -70,19 +70,76 @@ def salt(within: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(within.encode("utf-8", "surrogatepass"))) if within else np.uint64(0)
 
 
+class Words:
+    """The words of some texts as one row of hashes: `hashes` and `bytes` of each word, `of` its text, `at` its place and `left` the words after it."""
+
+    def __init__(self, lists: list[list[str]], salts: np.ndarray) -> None:
+        known: dict[str, tuple[int, int]] = {}
+        for words in lists:
+            for w in words:
+                if w not in known:
+                    raw = w.encode("utf-8", "surrogatepass")
+                    known[w] = (xxhash.xxh3_64_intdigest(raw), len(raw) + 1)
+        both = [known[w] for words in lists for w in words]
+        self.sizes = np.array([len(words) for words in lists], np.int64)
+        self.hashes = np.fromiter((h for h, _ in both), np.uint64, len(both))
+        self.bytes = np.fromiter((b for _, b in both), np.int32, len(both))
+        self.of = np.repeat(np.arange(len(lists)), self.sizes)
+        self.at = np.arange(len(both)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.left = self.sizes[self.of] - self.at - 1
+        self.salts = salts
+
+    def each(self, values: np.ndarray, of: np.ndarray, *more: np.ndarray) -> list[list[np.ndarray]]:
+        """The distinct values of each text in order, and what stands beside the first of each, as arrays for each text."""
+        order = np.lexsort((values, of))
+        values, of = values[order], of[order]
+        first = np.r_[True, (values[1:] != values[:-1]) | (of[1:] != of[:-1])] if len(of) else np.zeros(0, bool)
+        ends = np.cumsum(np.bincount(of[first], minlength=len(self.sizes)))[:-1]
+        return [np.split(x, ends) for x in (values[first], *(m[order][first] for m in more))]
+
+    def shingles(self, n: int, salted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each run of n words within a text, and the run's text."""
+        whole = np.flatnonzero(self.left >= n - 1)
+        plain = self.hashes + self.salts[self.of] if salted else self.hashes
+        total = np.zeros(len(whole), np.uint64)
+        for k in range(n):
+            total += plain[whole + k] * _P[k % len(_P)] + np.uint64(k // len(_P))
+        return mix(total), self.of[whole]
+
+    def chunks(self, reach: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text, bytes) of each content-defined chunk: one begins at each word whose hash is the least of the window of `reach` words on both sides."""
+        order = mix(self.hashes)
+        begins = np.ones(len(order), bool)
+        for d in range(1, reach + 1):
+            begins[d:] &= (order[d:] < order[:-d]) | (self.at[d:] < d)
+            begins[:-d] &= (order[:-d] <= order[d:]) | (self.left[:-d] < d)
+        edges = np.flatnonzero(begins | (self.at == 0))
+        if not len(edges):
+            return order[:0], self.of[:0], self.bytes[:0]
+        # A polynomial over the words of each chunk, mod 2^64.
+        place = np.arange(len(order)) - np.repeat(edges, np.diff(np.r_[edges, len(order)]))
+        powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        sums = np.add.reduceat(self.hashes * powers[place], edges)
+        return mix(sums + self.salts[self.of[edges]]), self.of[edges], np.add.reduceat(self.bytes, edges)
+
+
+def long_enough(batch: pd.DataFrame, least: int) -> tuple[np.ndarray, Words]:
+    """The rows of a batch (text, within) of at least so many words, and their words."""
+    lists = [plain_words(t) for t in batch["text"]]
+    rows = np.flatnonzero(np.array([len(x) for x in lists], np.int64) >= least)
+    groups = batch["within"].to_numpy()
+    of_group = {g: salt(g) for g in set(groups[rows])}
+    return rows, Words([lists[k] for k in rows], np.array([of_group[g] for g in groups[rows]], np.uint64))
+
+
 def sets(texts: DataFrame, n: int, least_words: int, bits: int) -> DataFrame:
     """(tid, n, shingles, print) of the rows (tid, text, within); texts of fewer words than `least_words` or n have no row."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known: dict[str, int] = {}
-            out = []
-            for tid, text, within in zip(batch["tid"], batch["text"], batch["within"]):
-                words = plain_words(text)
-                if len(words) >= max(n, least_words):
-                    s = shingle_set(word_hashes(words, known) + salt(within), n)
-                    out.append((tid, len(s), s, odd_sketch(s, bits).tobytes()))
-            yield pd.DataFrame(out, columns=["tid", "n", "shingles", "print"])
+            rows, words = long_enough(batch, max(n, least_words))
+            found = words.each(*words.shingles(n))[0]
+            yield pd.DataFrame({"tid": batch["tid"].to_numpy()[rows], "n": [len(s) for s in found], "shingles": [s.view(np.int64) for s in found], "print": [odd_sketch(s, bits).tobytes() for s in found]})
 
     return texts.select("tid", "text", "within").mapInPandas(made, "tid binary, n int, shingles array<bigint>, print binary")
 

@@ -128,13 +128,32 @@ def test_leaks_against_brute_force(rows):
     table, told = rows(docs, "page long, t string"), rows(items, "item long, p string")
     got = leakage.leaks(table, "page", "t", told, "item", ["p"]).collect()
     assert {(r["page"], r["item"]) for r in got} == want and want
-    parts = leakage.leaks(table, "page", "t", told, "item", ["p"], max_chars=5000)
-    assert {(r["page"], r["item"]) for r in parts.collect()} == want
+    with pytest.raises(ValueError):
+        leakage.leaks(table, "page", "t", told, "item", ["p"], max_chars=5)
     by = dict(docs)
     for r in got:
         assert len(by[r["page"]][r["start_pos"] : r["end_pos"]].split()) >= 12
 
 
+def test_answers_count_after_a_leaked_run(rows):
+    run = " ".join(f"w{i}" for i in range(14))
+    long = " ".join(f"a{i}" for i in range(12))
+    items = rows([(1, run, "Yes!"), (2, run + " more", long), (3, "else " + run, None)], "item long, p string, a string")
+    pages = rows([(1, f"x {run}. Then yes, no."), (2, f"yes {run} {'z ' * 13} yes"), (3, f"{long}"), (4, "yes")], "page long, t string")
+    got = {(r["page"], r["item"]): (r["n_words"], r["answer_start"], r["answer_end"]) for r in leakage.leaks(pages, "page", "t", items, "item", ["p"], answer="a").collect()}
+    at = f"x {run}. Then yes".index("yes")
+    assert got == {(1, 1): (14, at, at + 4), (1, 2): (14, None, None), (1, 3): (14, None, None), (2, 1): (14, None, None), (2, 2): (14, None, None), (2, 3): (14, None, None), (3, 2): (12, None, None)}
+
+
+def test_scan_follows_each_word_of_a_run_once():
+    import time
+
+    book = leakage.Book([(1, "same " * 3000)], [], 12)
+    began = time.time()
+    assert book.scan("same " * 3000)[1][0] == 3000
+    assert time.time() - began < 30
+
+
 def test_isotonic():
     x, y = reading.isotonic(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 4]))
     assert np.interp([1, 2, 3, 4], x, y).tolist() == [1, 2.5, 2.5, 4]
