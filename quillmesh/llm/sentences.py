@@ -5,6 +5,9 @@ log-likelihood ratios: abbreviations (tokens that come with a period far more of
 by length as long words are hardly ever abbreviations), sentence starters (tokens that follow a
 sure boundary far more often than chance), and for each abbreviation whether what follows it with a
 capital is mostly a sentence starter (`etc.`, `p.m.`: the sentence may end there) or not (`Dr.`, `Fig.`).
+The fourth thing are collocations: a number with a period and the word after it that come together far more
+often than a number and a sentence's first word would (`3. Oktober`, `19. Jahrhundert`), by the log-likelihood
+ratio of the two-by-two table of what stands before and after a period.
 Each period is then classified by these lists, its neighbours' letters, and the quotation or bracket
 that it lies in.
 
@@ -99,21 +102,31 @@ def _tally(tokens: Counter, follows: Counter, lang: str, into: Counter) -> None:
             into[lang, "w", t.lower().rstrip("!?…"), ""] += n
         into[lang, "c", t.rstrip(".!?…"), ""] += n
     for (raw, after), n in follows.items():
-        word, after = _dotted(plain(raw).strip(_EDGE)), plain(after).strip(_EDGE)
+        token, after = plain(raw).strip(_EDGE), plain(after).strip(_EDGE)
+        word = _dotted(token) or _number(token)
         if word and after and not after[:1].islower():
-            into[lang, "s", word, after.rstrip(".")] += n
+            into[lang, "s", word, after.rstrip(".!?…")] += n
 
 
 def _dotted(token: str) -> str:
     """The word of a token that ends in one period, if it may be an abbreviation."""
-    if len(token) < 2 or token[-1] != "." or token[-2] == "." or len(token) > 13:
+    if len(token) < 2 or token[-1] != "." or token[-2] == ".":
         return ""
     word = token[:-1].lower()
     return word if _LETTER.search(word) and not any(c.isdigit() for c in word) else ""
 
 
-def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0, least: int = 4) -> DataFrame:
-    """(lang, abbreviation) of those after which a sentence does not end, from the counts over all rows (tid, text)."""
+def _number(token: str) -> str:
+    """The kind of a number that ends in a period: of one or two digits, or of more."""
+    return ("#" if len(token) < 4 else "###") if token[-1:] == "." and token[:-1].isdigit() else ""
+
+
+def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0, least: int = 4, collocation_cut: float = 7.88) -> DataFrame:
+    """(lang, abbreviation, next) of those after which a sentence does not end, from the counts over all rows (tid, text).
+
+    next: null; 0 for a token that is often a word too, which ends no sentence before a number (`с. 12`); or the word before
+    which the kind of number in `abbreviation` ends none.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,7 +151,7 @@ def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0, least:
                    length(replace(token, '.', '')) AS len, length(token) - length(replace(token, '.', '')) AS inner
             FROM dotted d JOIN total t ON d.lang = t.lang WHERE a > 0),
         abbreviation AS (
-            SELECT lang, token FROM scored
+            SELECT lang, token, q FROM scored
             WHERE q > p AND 2 * (a * ln(q / p) + if(b > 0, b * ln((1 - q) / (1 - p)), 0)) * exp(-len) * (inner + 1) * pow(greatest(len, 1), -b) >= {cut} AND a >= {least}),
         begun AS (
             SELECT s.lang, s.next AS token, sum(s.n) AS a FROM {every} s LEFT ANTI JOIN abbreviation x ON s.lang = x.lang AND s.token = x.token
@@ -148,14 +161,25 @@ def learn(texts: DataFrame, cut: float = 0.3, starter_cut: float = 10.0, least:
             WHERE g.a >= 0.3 * c.n AND 2 * g.a * ln((g.a / c.n) / least(0.99, t.starts / t.tokens)) >= {starter_cut}),
         after AS (
             SELECT s.lang, s.token, sum(s.n) AS n, sum(if(r.token IS NOT NULL, s.n, 0)) AS started
-            FROM {every} s LEFT JOIN starter r ON r.lang = s.lang AND r.token = s.next WHERE s.kind = 's' GROUP BY s.lang, s.token)
-        SELECT x.lang, x.token AS abbreviation FROM abbreviation x LEFT JOIN after f ON f.lang = x.lang AND f.token = x.token
+            FROM {every} s LEFT JOIN starter r ON r.lang = s.lang AND r.token = s.next WHERE s.kind = 's' GROUP BY s.lang, s.token),
+        pair AS (SELECT lang, token, next, sum(n) AS a FROM {every} WHERE kind = 's' GROUP BY lang, token, next),
+        first AS (SELECT lang, token, sum(a) AS r FROM pair GROUP BY lang, token),
+        second AS (SELECT lang, next, sum(a) AS c FROM pair GROUP BY lang, next),
+        square AS (
+            SELECT p.lang, p.token, p.next, double(a) AS a, double(r - a) AS b, double(c - a) AS d, double(t.starts - r - c + a) AS e, double(r) AS r, double(c) AS c, double(t.starts) AS n
+            FROM pair p JOIN first f ON f.lang = p.lang AND f.token = p.token JOIN second s ON s.lang = p.lang AND s.next = p.next JOIN total t ON t.lang = p.lang WHERE p.token LIKE '#%'),
+        collocation AS (
+            SELECT lang, token, next FROM square WHERE a * n > r * c AND a > 0.5 * c
+            AND 2 * (a * ln(a * n / (r * c)) + if(b > 0, b * ln(b * n / (r * (n - c))), 0) + if(d > 0, d * ln(d * n / ((n - r) * c)), 0) + if(e > 0, e * ln(e * n / ((n - r) * (n - c))), 0)) >= {collocation_cut})
+        SELECT x.lang, x.token AS abbreviation, if(q < 0.9, '0', null) AS next FROM abbreviation x LEFT JOIN after f ON f.lang = x.lang AND f.token = x.token
         WHERE coalesce(f.started, 0) < 0.5 * coalesce(f.n, 1)
+        UNION ALL SELECT lang, token, next FROM collocation
         """,
         every=every,
         cut=cut,
         starter_cut=starter_cut,
         least=least,
+        collocation_cut=collocation_cut,
     )
 
 
@@ -166,12 +190,19 @@ def _starts_low(text: str, at: int) -> bool:
         at += 1
     if at == n or text[at].isupper():
         return False
-    m = _TOKEN.match(text, at)
-    token = plain(m[0]).lstrip(_EDGE + "-–—")
+    token = ""
+    while not token and (m := _TOKEN.search(text, at)):  # a dash alone: what it leads to
+        token, at = plain(m[0]).lstrip(_EDGE + "-–—"), m.end()
     first = next((c for c in token if c.isalnum()), "")
     return first.islower() and not any(c.isupper() for c in token[1:])
 
 
+def _after(text: str, at: int) -> str:
+    """The next word, as learn() counts it."""
+    m = _TOKEN.search(text, at)
+    return plain(m[0]).strip(_EDGE).rstrip(".!?…") if m else ""
+
+
 def _ends(text: str, lang: str, known: set[str]) -> list[int]:
     """Ends of sentences within one paragraph, besides the paragraph's own end."""
     held = [m.span() for m in _HELD.finditer(text)]
@@ -210,6 +241,10 @@ def _ends(text: str, lang: str, known: set[str]) -> list[int]:
                 low = word.lower()
                 if len(word) == 1 and word.isalpha() and (word.isupper() or low in known):
                     continue
+                if word.isdigit() and f"{_number(word + '.')}\0{_after(text, after)}" in known:
+                    continue
+                if f"{low}\x000" in known and _after(text, after)[:1].isdigit():
+                    continue
                 if low in known or re.split("[’'-]", low)[-1] in known:
                     continue
         ends.append(end)
@@ -244,8 +279,8 @@ def split(text: str, known: dict[str, set[str]], lang: str | None = None) -> lis
 def sentences(df: DataFrame, key: str, text: str, least: Column | int = 1, most_known: int = 1_000_000) -> DataFrame:
     """(rec_key, start_pos, end_pos): the sentences of each text that holds at least `least` of them.
 
-    least: a number, or a column of `df`. What is learned is broadcast: short tokens only, and at most
-    `most_known` of them or the call fails.
+    least: a number, or a column of `df`. What is learned is broadcast: at most `most_known` tokens and
+    collocations, or the call fails.
     """
     rows = keyed(df, key, text, (least if isinstance(least, Column) else F.lit(least)).alias("least"))
     texts = written(rows.groupBy("tid").agg(F.first("text").alias("text")), "texts")
@@ -254,7 +289,10 @@ def sentences(df: DataFrame, key: str, text: str, least: Column | int = 1, most_
         raise ValueError(f"more than {most_known} abbreviations")
     known: dict[str, set[str]] = {}
     for r in found:
-        known.setdefault(r["lang"], set()).add(r["abbreviation"])
+        known.setdefault(r["lang"], set()).add(r["abbreviation"] if r["next"] is None else f"{r['abbreviation']}\0{r['next']}")
+    # Words beside numbers hold in every language: a short text's may not be told.
+    beside = {x for words in known.values() for x in words if x.startswith("#")}
+    known = {lang: known.get(lang, set()) | beside for lang in {*known, *SCRIPTS, *FUNCTION_WORDS}}
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

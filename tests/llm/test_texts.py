@@ -76,6 +76,7 @@ def test_english(parts):
         (["石坊已经工人。", "农民说：“不要走。青湾记录！”", "老师白林？"], ""),
         (["“石庄说明？”校长问，比较测量。", "书信石原。"], ""),
         (["「本当ですか？」と聞いて、時間は。", "海川は（窓。）と記した。"], ""),
+        (["«Где ключ?» — спросил А. И. Морев, и ушёл.", "Он был прав."], " "),
         (["घर था।", "मान 35.19 है और पुल?"], " "),
         (["ดอนขาวทุ่งแดง 61.74 ประเทศนา", "เลือกเรารักษา"], " "),
     ],
@@ -104,6 +105,19 @@ def test_learned_abbreviations(spark):
     assert {"dr", "fig"} <= got and not got & {"etc", *nouns}
 
 
+def test_learned_collocations(spark):
+    rng = random.Random(2)
+    months, starts = ["Mai", "Oktober", "Juni"], "Der Die Das Ein Hans Otto Paris Heute".split()
+    texts = []
+    for i in range(400):
+        body = [f"Am {rng.randint(1, 28)}. {rng.choice(months)} kam er", f"Das war {rng.randint(10, 99)}", "Es war gut", "Das Haus ist alt"]
+        texts.append((" ".join(f"{rng.choice(starts)} und {b}." for b in rng.choices(body, k=6)),))
+    got = {(r["abbreviation"], r["next"]) for r in sentences.learn(spark.createDataFrame(texts, "text string")).collect() if r["next"]}
+    assert {n for _, n in got} == set(months)
+    known = {"de": {f"{a}\0{n}" for a, n in got}}
+    assert sentences.split("Am 3. Oktober kam er. Das war 42. Der Hund ist da.", known, "de") == [(0, 21), (22, 33), (34, 50)]
+
+
 def test_leaks_against_brute_force(rows):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
