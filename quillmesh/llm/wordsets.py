@@ -7,6 +7,7 @@ copies cost one row of keys each and are never compared.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,12 +190,15 @@ def members(values: DataFrame, column: str) -> np.ndarray:
 
 def only_members(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
     """Rows whose value's bit is set: all members and a few others, so that a large table need not be shuffled to meet a small one."""
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared = df.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
         for batch in batches:
+            if table is None:
+                table = np.frombuffer(zlib.decompress(shared.value), np.int64)
             h = batch.column(column).to_numpy(zero_copy_only=False) & np.int64(MEMBER_BITS - 1)
-            yield batch.filter(pa.array((shared.value[h >> 6] >> (h & 63)) & 1 == 1))
+            yield batch.filter(pa.array((table[h >> 6] >> (h & 63)) & 1 == 1))
 
     return df.mapInArrow(kept, df.schema)
 
