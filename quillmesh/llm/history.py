@@ -8,8 +8,8 @@ that it touches. The store keeps, for each batch,
 - records: (tid, batch_no, n, shingles, chunks, bytes, weight) of the same texts,
 
 and a new batch is met by them alone: no text of the history is read or cut again, and no history is
-shuffled. The batch's chunks set bits in a table of fixed size; the history's chunks stream past it, and only
-postings whose bit is set go on. For each new text the postings give the bytes that it shares with each
+shuffled. The batch's chunks, or beyond a bound their bits in a table of fixed size, are broadcast; the history's
+chunks stream past them, and only postings of the batch's chunks go on. For each new text the postings give the bytes that it shares with each
 stored one; of its chunks the most common ones, up to `drop` of its bytes, are not looked up, so any text that
 shares `coverage` of them still shows `coverage - drop`. What passes is decided by coverage and, if a
 threshold is given, by exact overlap; then the texts that the store doesn't have are accepted and appended.
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.wordsets import enough_words, keyed, long_enough, members, only_members
+from quillmesh.llm.wordsets import enough_words, keyed, long_enough, only_members
 from quillmesh.tables import scratch_dir, written
 
 RECORD = "tid binary, batch_no int, n int, shingles array<int>, chunks array<bigint>, bytes array<int>, weight bigint"
@@ -95,13 +95,13 @@ class ChunkStore:
         if stored is None:
             return self.spark.createDataFrame([], "tid binary, other binary, batch_no int, coverage double, overlap double")
         pieces = new.select("tid", F.col("batch_no").alias("before"), "weight", F.explode(F.arrays_zip("chunks", "bytes")).alias("c")).select("tid", "before", "weight", F.col("c.chunks").alias("chunk"), F.col("c.bytes").alias("bytes"))
-        posted = written(only_members(stored, "chunk", members(pieces, "chunk")).withColumnRenamed("tid", "other"), "posted")
+        posted = written(only_members(stored, "chunk", pieces.select("chunk")).withColumnRenamed("tid", "other"), "posted")
         common = posted.groupBy("chunk").agg(F.count("*").alias("n"))
         passed = F.sum("bytes").over(Window.partitionBy("tid").orderBy(F.desc("n"), "chunk"))  # of one text: its chunks, from common to rare
         wanted = pieces.join(common, "chunk").withColumn("passed", passed).where(F.col("passed") > drop * F.col("weight"))
         met = wanted.join(posted, "chunk").where("batch_no < before or tid = other").groupBy("tid", "other").agg(F.sum("bytes").alias("shared"), F.first("weight").alias("weight"))
         met = written(met.select("tid", "other", (F.col("shared") / F.col("weight")).alias("coverage")).where(F.col("coverage") >= coverage - drop - 1e-9).withColumn("h", F.xxhash64("other")), "met")
-        known = only_members(self.records().select("tid", "batch_no", F.col("shingles").alias("theirs"), F.xxhash64("tid").alias("h")), "h", members(met, "h")).drop("h").withColumnRenamed("tid", "other")
+        known = only_members(self.records().select("tid", "batch_no", F.col("shingles").alias("theirs"), F.xxhash64("tid").alias("h")), "h", met.select("h")).drop("h").withColumnRenamed("tid", "other")
         shared = F.size(F.array_intersect("mine", "theirs"))
         both = met.join(new.select("tid", F.col("shingles").alias("mine")), "tid").join(known, "other")
         found = both.select("tid", "other", "batch_no", "coverage", (shared / (F.size("mine") + F.size("theirs") - shared)).alias("overlap"))

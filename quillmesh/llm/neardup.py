@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.wordsets import enough_words, gathered, keyed, members, only_members, rare_first, sets, slot_counts, with_copies
+from quillmesh.llm.wordsets import enough_words, gathered, keyed, only_members, rare_first, sets, slot_counts, with_copies
 from quillmesh.tables import written
 
 BITS = 512
@@ -227,7 +227,7 @@ def compared(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
 
     # Sets that stand in no pair need not be shuffled.
     ids = pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).select(F.xxhash64("sid").alias("h"))
-    some = only_members(of.select("sid", "shingles", F.xxhash64("sid").alias("h")), "h", members(ids, "h"))
+    some = only_members(of.select("sid", "shingles", F.xxhash64("sid").alias("h")), "h", ids)
     one, two = some.select(F.col("sid").alias("sid_a"), F.col("shingles").alias("one")), some.select(F.col("sid").alias("sid_b"), F.col("shingles").alias("two"))
     shared = F.size(F.array_intersect("one", "two"))
     overlap = shared / (F.size("one") + F.size("two") - shared)

@@ -177,6 +177,8 @@ def gathered(counts: DataFrame) -> np.ndarray:
 
 #: Bits of a membership table. Their number is fixed, so what is broadcast is too.
 MEMBER_BITS = 1 << 26
+#: Up to so many values (8 bytes each) are broadcast themselves.
+MEMBERS = 1 << 20
 
 
 def members(values: DataFrame, column: str) -> np.ndarray:
@@ -188,8 +190,15 @@ def members(values: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def only_members(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
-    """Rows whose value's bit is set: all members and a few others, so that a large table need not be shuffled to meet a small one."""
+def only_members(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose value is among the 64-bit hashes `values` (one column), so that a large table need not be shuffled to meet a small one.
+
+    Up to MEMBERS values are broadcast. Beyond, their table of bits is, which lets a few others pass as well: what follows is a join in either case.
+    """
+    some = values.select(F.col(values.columns[0]).alias(column)).distinct()
+    if some.limit(MEMBERS + 1).count() <= MEMBERS:
+        return df.join(F.broadcast(some), column, "left_semi").select(*df.columns)
+    table = members(some, column)
     shared = df.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillmesh.llm import history, knn, neardup, spans
+from quillmesh.llm import history, knn, neardup, spans, wordsets
 from quillmesh.llm.lookalike import plain_words
 
 
@@ -93,6 +93,15 @@ def test_batches(rows, spark, tmp_path):
     assert history.repeated_rows(rows([], "k string, t string, b int"), "k", "t", "b").count() == 0
 
 
+def test_members_by_value_and_by_bits(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("xxhash64(id) AS h", "id", "array(id) AS a")
+    values = df.where("id % 7 = 0").select("h")
+    for most in (wordsets.MEMBERS, 10):  # beyond, a table of bits
+        monkeypatch.setattr(wordsets, "MEMBERS", most)
+        assert {r["id"] for r in wordsets.only_members(df, "h", values).collect()} == set(range(0, 1000, 7))
+    assert wordsets.only_members(df, "h", values.limit(0)).count() == 0
+
+
 def test_report_text(spark):
     good = '{"x": 1, "report": {"sentences": [{"text": "A."}, {"text": "B.", "s": 2}]}}'
     df = spark.createDataFrame([(good,), (good[:50],), ("",), (None,), ('{"report": null}',), ("[]",)], "j string")
