@@ -183,7 +183,7 @@ _ONE = "one AS (SELECT org_id AS query, id, trim(title) AS title, url, content F
     f"""WITH {_ONE}, n AS (SELECT *, coalesce(nullif(title, ''), 'Untitled work') AS t1, coalesce(nullif(title, ''), 'Untitled entry') AS t2, array_to_string(list_filter(regexp_split_to_array(content, '[{WS}]+'), lambda w: w <> ''), ' ') AS words, row_number() OVER (PARTITION BY query ORDER BY id) - 1 AS place FROM one),
     s AS (SELECT query, place, 0 AS source, t1 AS title, coalesce('https://doi.org/' || url, id) AS url, trim(t1 || '. ' || words) AS content FROM n
         UNION ALL SELECT query, place, 1, t2, coalesce('https://doi.org/' || url, 'unknown'), trim(t2 || '. ' || words) FROM n
-        UNION ALL SELECT query, 0, 2, title, url, title || '. ' || trim(words) FROM n WHERE length(trim(words)) >= 80),
+        UNION ALL SELECT query, 0, 2, title, coalesce(url, 'unknown'), title || '. ' || trim(words) FROM n WHERE length(trim(words)) >= 80),
     k AS (SELECT * FROM s WHERE length(content) >= 80 QUALIFY row_number() OVER (PARTITION BY query, lower(title), lower(url) ORDER BY source, place, url NULLS FIRST) = 1)
     SELECT query, title, url, content FROM k QUALIFY row_number() OVER (PARTITION BY query ORDER BY source, place, url NULLS FIRST) <= 40"""
 )

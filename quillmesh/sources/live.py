@@ -75,7 +75,7 @@ def summaries(bodies: DataFrame) -> DataFrame:
     """Documents of an encyclopedia's page summaries (query, body), of which the extract alone must be long enough."""
     schema = "title string, extract string, content_urls struct<desktop: struct<page: string>>"
     rows = bodies.select("query", F.lit(0).alias("place"), F.from_json("body", schema).alias("x")).where((F.length(F.trim("x.extract")) >= LEAST_CHARS) & F.col("x.title").isNotNull())
-    return rows.select("query", "place", F.col("x.title").alias("title"), F.col("x.content_urls.desktop.page").alias("url"), F.concat("x.title", F.lit(". "), F.trim("x.extract")).alias("content"))
+    return rows.select("query", "place", F.col("x.title").alias("title"), F.coalesce("x.content_urls.desktop.page", F.lit("unknown")).alias("url"), F.concat("x.title", F.lit(". "), F.trim("x.extract")).alias("content"))
 
 
 def live_corpus(*sources: DataFrame, most: int = MOST_DOCS) -> DataFrame:
