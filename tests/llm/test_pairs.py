@@ -2,6 +2,7 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import history, knn, neardup, spans, wordsets
 from quillmesh.llm.lookalike import plain_words
+from quillmesh.tables import scratch_dir
 
 
 def pairs(df):
@@ -192,6 +194,26 @@ def test_neighbours_do_not_depend_on_probes_or_keep(rows):
             assert got == want
 
 
+def test_neighbours_on_little_disk(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(6000, 96))
+    x = np.round(x / np.linalg.norm(x, axis=1)[:, None] * 512) / 1024  # few distinct values, as in the tables
+    x[-50:] = x[:50]
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "i long, e array<float>").coalesce(2).write.parquet(str(tmp_path / "x"))
+    size = lambda p: sum(f.stat().st_size for f in Path(p).rglob("*.parquet"))
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    kept = Path(scratch_dir(spark).removeprefix("file://"), "quillmesh")
+    before = size(kept) + moved()
+    near = knn.nearest(spark.read.parquet(str(tmp_path / "x")), "i", "e", dim=96, k=5, least=0.8, sample=500)  # what the sample moves is bounded
+    assert {(r["id"], r["other"]) for r in near.collect()} == {(a, b) for k in range(50) for a, b in ((k, 5950 + k), (5950 + k, k))}
+    assert size(kept) + moved() - before < 4 * size(tmp_path / "x")
+
+
+def test_one_vector_of_an_id(rows):
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0]), (3, [3.0, 0.0])]
+    got = knn.nearest(rows(data, "i long, e array<double>"), "i", "e", dim=2, k=2, least=0.9, parts=1).collect()
+    assert {(r["id"], r["other"], r["rank"]) for r in got} == {(1, 2, 1), (2, 1, 1)}  # the smaller array of id 1
+
+
 def test_shard_that_is_searched_by_a_tree(monkeypatch):
     rng = np.random.default_rng(3)
     n = 3 * neardup.LEAF
