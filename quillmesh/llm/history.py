@@ -32,11 +32,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.wordsets import enough_words, keyed, long_enough, only_members
+from quillmesh.llm.wordsets import enough_words, keyed, lists_of, long_enough, only_members
 from quillmesh.tables import scratch_dir, written
 
 RECORD = "tid binary, batch_no int, n int, shingles array<int>, chunks array<bigint>, bytes array<int>, weight bigint"
@@ -45,17 +45,19 @@ RECORD = "tid binary, batch_no int, n int, shingles array<int>, chunks array<big
 def signed(texts: DataFrame, n: int, least_words: int) -> DataFrame:
     """Set (as 32-bit hashes, for comparing two texts) and chunks of each text (tid, text, within, batch_no) of at least `least_words` words."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, words = long_enough(batch, max(n, least_words, 1))
             runs, of = words.shingles(n, salted=False)
-            found = words.each(runs.astype(np.uint32), of)[0]
+            ends, found = words.each(runs.astype(np.uint32), of)
             chunk, of, size = words.chunks()
-            chunks, sizes = words.each(chunk, of, size)
-            of_row = {c: batch[c].to_numpy()[rows] for c in ("tid", "batch_no")}
-            yield pd.DataFrame({**of_row, "n": [len(s) for s in found], "shingles": [s.view(np.int32) for s in found], "chunks": [c.view(np.int64) for c in chunks], "bytes": sizes, "weight": [int(s.sum()) for s in sizes]})
+            parts, chunks, sizes = words.each(chunk, of, size)
+            sums = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+            tid, batch_no = (batch.column(c).take(pa.array(rows)) for c in ("tid", "batch_no"))
+            columns = [tid, batch_no, pa.array(np.diff(ends).astype(np.int32)), lists_of(ends, found.view(np.int32)), lists_of(parts, chunks.view(np.int64)), lists_of(parts, sizes.astype(np.int32)), pa.array(sums[parts[1:]] - sums[parts[:-1]])]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RECORD.split(", ")])
 
-    return texts.select("tid", "text", "within", "batch_no").mapInPandas(made, RECORD)
+    return texts.select("tid", "text", "within", "batch_no").mapInArrow(made, RECORD)
 
 
 class ChunkStore:
@@ -85,23 +87,23 @@ class ChunkStore:
         new = self._read(f"records/run={run}", RECORD)
         new.select(F.explode("chunks").alias("chunk"), "tid", "batch_no").write.parquet(f"{self.path}/chunks/run={run}")
 
-    def match(self, new: DataFrame, coverage: float = 0.10, drop: float = 0.08, threshold: float | None = None) -> DataFrame:
+    def match(self, new: DataFrame, coverage: float = 0.10, drop: float = 0.08, threshold: float | None = None, most: int | None = None) -> DataFrame:
         """(tid, other, batch_no, coverage, overlap): stored texts of a batch below the new text's, or the same text, that it repeats.
 
         new: signed texts that need not be in the store; batch_no is that of the stored text. coverage is what the chunks
-        that were looked up show.
+        that were looked up show. most: how many chunks the new texts have at most, if known.
         """
         stored = self._read("chunks", "chunk bigint, tid binary, batch_no int")
         if stored is None:
             return self.spark.createDataFrame([], "tid binary, other binary, batch_no int, coverage double, overlap double")
         pieces = new.select("tid", F.col("batch_no").alias("before"), "weight", F.explode(F.arrays_zip("chunks", "bytes")).alias("c")).select("tid", "before", "weight", F.col("c.chunks").alias("chunk"), F.col("c.bytes").alias("bytes"))
-        posted = written(only_members(stored, "chunk", pieces.select("chunk")).withColumnRenamed("tid", "other"), "posted")
+        posted = written(only_members(stored, "chunk", pieces.select("chunk"), most).withColumnRenamed("tid", "other"), "posted")
         common = posted.groupBy("chunk").agg(F.count("*").alias("n"))
         passed = F.sum("bytes").over(Window.partitionBy("tid").orderBy(F.desc("n"), "chunk"))  # of one text: its chunks, from common to rare
         wanted = pieces.join(common, "chunk").withColumn("passed", passed).where(F.col("passed") > drop * F.col("weight"))
         met = wanted.join(posted, "chunk").where("batch_no < before or tid = other").groupBy("tid", "other").agg(F.sum("bytes").alias("shared"), F.first("weight").alias("weight"))
         met = written(met.select("tid", "other", (F.col("shared") / F.col("weight")).alias("coverage")).where(F.col("coverage") >= coverage - drop - 1e-9).withColumn("h", F.xxhash64("other")), "met")
-        known = only_members(self.records().select("tid", "batch_no", F.col("shingles").alias("theirs"), F.xxhash64("tid").alias("h")), "h", met.select("h")).drop("h").withColumnRenamed("tid", "other")
+        known = only_members(self.records().select("tid", "batch_no", F.col("shingles").alias("theirs"), F.xxhash64("tid").alias("h")), "h", met.select("h"), met.count()).drop("h").withColumnRenamed("tid", "other")
         shared = F.size(F.array_intersect("mine", "theirs"))
         both = met.join(new.select("tid", F.col("shingles").alias("mine")), "tid").join(known, "other")
         found = both.select("tid", "other", "batch_no", "coverage", (shared / (F.size("mine") + F.size("theirs") - shared)).alias("overlap"))
@@ -119,11 +121,11 @@ def repeated_rows(df: DataFrame, key: str, text: str, batch: str, store: ChunkSt
     rows = keyed(df, key, text, F.col(batch).cast("int").alias("batch_no"), within=within).where("batch_no is not null").where(enough_words(max(n, least_words)))
     texts = rows.groupBy("batch_no", "tid").agg(F.first("text").alias("text"), F.first("within").alias("within"))
     every = written(signed(texts, n, least_words), "signed", partition_by=["batch_no"]) if not df.isEmpty() else None
-    numbers = sorted(r["batch_no"] for r in every.select("batch_no").distinct().collect()) if every is not None else []  # as many as there are batches
+    sizes = every.groupBy("batch_no").agg(F.sum(F.size("chunks")).alias("n")).collect() if every is not None else []  # as many as there are batches
     repeated = None
-    for number in numbers:
+    for number, most in sorted((r["batch_no"], r["n"]) for r in sizes):
         new = every.where(F.col("batch_no") == number).select(*[c.split()[0] for c in RECORD.split(", ")])
-        found = written(store.match(new, coverage, drop, threshold), "found")
+        found = written(store.match(new, coverage, drop, threshold, most), "found")
         own = found.where("tid = other").select("tid")
         store.append(new.join(own, "tid", "left_anti"))
         one = found.where(F.col("batch_no") < number).select("tid", F.lit(number).alias("batch_no"))

@@ -75,28 +75,35 @@ class Words:
     """The words of some texts as one row of hashes: `hashes` and `bytes` of each word, `of` its text, `at` its place and `left` the words after it."""
 
     def __init__(self, lists: list[list[str]], salts: np.ndarray) -> None:
-        known: dict[str, tuple[int, int]] = {}
-        for words in lists:
-            for w in words:
-                if w not in known:
-                    raw = w.encode("utf-8", "surrogatepass")
-                    known[w] = (xxhash.xxh3_64_intdigest(raw), len(raw) + 1)
-        both = [known[w] for words in lists for w in words]
+        flat = [w for words in lists for w in words]
+        known = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+        raw = [w.encode("utf-8", "surrogatepass") for w in known]
+        word = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         self.sizes = np.array([len(words) for words in lists], np.int64)
-        self.hashes = np.fromiter((h for h, _ in both), np.uint64, len(both))
-        self.bytes = np.fromiter((b for _, b in both), np.int32, len(both))
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))[word]
+        self.bytes = np.fromiter(map(len, raw), np.int32, len(raw))[word] + np.int32(1)
         self.of = np.repeat(np.arange(len(lists)), self.sizes)
-        self.at = np.arange(len(both)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.at = np.arange(len(flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.left = self.sizes[self.of] - self.at - 1
         self.salts = salts
 
-    def each(self, values: np.ndarray, of: np.ndarray, *more: np.ndarray) -> list[list[np.ndarray]]:
-        """The distinct values of each text in order, and what stands beside the first of each, as arrays for each text."""
-        order = np.lexsort((values, of))
-        values, of = values[order], of[order]
-        first = np.r_[True, (values[1:] != values[:-1]) | (of[1:] != of[:-1])] if len(of) else np.zeros(0, bool)
-        ends = np.cumsum(np.bincount(of[first], minlength=len(self.sizes)))[:-1]
-        return [np.split(x, ends) for x in (values[first], *(m[order][first] for m in more))]
+    def each(self, values: np.ndarray, of: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(ends, values, more...): the distinct values (unsigned) of each text in order, and what stands beside one of each; text k has those from ends[k] to ends[k + 1]."""
+        bits = max(1, (len(self.sizes) - 1).bit_length())
+        size = 8 * values.dtype.itemsize
+        lost = max(0, bits + size - 64)  # of a value's bits, beside the text's number
+        key = (of.astype(np.uint64) << np.uint64(min(size, 64 - bits))) | (values >> values.dtype.type(lost)).astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        values_, of_ = values[order], of[order]
+        same = key[1:] == key[:-1]
+        if lost and (same & (values_[1:] != values_[:-1])).any():  # different values of one text that the key doesn't tell apart
+            order = np.lexsort((values, of))
+            values_, of_ = values[order], of[order]
+            same = (values_[1:] == values_[:-1]) & (of_[1:] == of_[:-1])
+        first = np.r_[True, ~same] if len(of_) else np.zeros(0, bool)
+        ends = np.r_[0, np.cumsum(np.bincount(of_[first], minlength=len(self.sizes)))]
+        return ends, values_[first], *(m[order][first] for m in more)
 
     def shingles(self, n: int, salted: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """A hash of each run of n words within a text, and the run's text."""
@@ -124,31 +131,38 @@ class Words:
         return mix(sums + self.salts[self.of[edges]]), self.of[edges], np.add.reduceat(self.bytes, edges)
 
 
-def long_enough(batch: pd.DataFrame, least: int) -> tuple[np.ndarray, Words]:
+def long_enough(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, Words]:
     """The rows of a batch (text, within) of at least so many words, and their words."""
-    lists = [plain_words(t) for t in batch["text"]]
+    lists = [plain_words(t) for t in batch.column("text").to_pylist()]
     rows = np.flatnonzero(np.array([len(x) for x in lists], np.int64) >= least)
-    groups = batch["within"].to_numpy()
-    of_group = {g: salt(g) for g in set(groups[rows])}
-    return rows, Words([lists[k] for k in rows], np.array([of_group[g] for g in groups[rows]], np.uint64))
+    groups = batch.column("within").to_pylist()
+    of_group = {g: salt(g) for g in {groups[k] for k in rows}}
+    return rows, Words([lists[k] for k in rows], np.array([of_group[groups[k]] for k in rows], np.uint64))
+
+
+def lists_of(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """A column of arrays: row k has values[ends[k]:ends[k + 1]]."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
 def sets(texts: DataFrame, n: int, least_words: int, bits: int) -> DataFrame:
     """(tid, n, shingles, print) of the rows (tid, text, within); texts of fewer words than `least_words` or n have no row."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, words = long_enough(batch, max(n, least_words))
-            found = words.each(*words.shingles(n))[0]
-            yield pd.DataFrame({"tid": batch["tid"].to_numpy()[rows], "n": [len(s) for s in found], "shingles": [s.view(np.int64) for s in found], "print": [odd_sketch(s, bits).tobytes() for s in found]})
+            ends, found = words.each(*words.shingles(n))
+            prints = pa.array([p.tobytes() for p in odd_sketches(found, ends, bits)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(rows)), pa.array(np.diff(ends).astype(np.int32)), lists_of(ends, found.view(np.int64)), prints], ["tid", "n", "shingles", "print"])
 
-    return texts.select("tid", "text", "within").mapInPandas(made, "tid binary, n int, shingles array<bigint>, print binary")
+    return texts.select("tid", "text", "within").mapInArrow(made, "tid binary, n int, shingles array<bigint>, print binary")
 
 
-def odd_sketch(values: np.ndarray, bits: int) -> np.ndarray:
-    """`bits` bits (a power of 2) as 64-bit words: each value flips the bit that its hash names."""
+def odd_sketches(values: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
+    """A row of bytes for each set: `bits` bits (a power of 2), of which each value flips the one that its hash names."""
     spots = ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
-    return np.packbits((np.bincount(spots, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+    spots += np.repeat(np.arange(len(ends) - 1) * bits, np.diff(ends))
+    return np.packbits((np.bincount(spots, minlength=(len(ends) - 1) * bits) & 1).astype(np.uint8).reshape(-1, bits), axis=1)
 
 
 def slot_counts(values: DataFrame, column: str) -> DataFrame:
@@ -190,13 +204,15 @@ def members(values: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def only_members(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+def only_members(df: DataFrame, column: str, values: DataFrame, most: int | None = None) -> DataFrame:
     """Rows whose value is among the 64-bit hashes `values` (one column), so that a large table need not be shuffled to meet a small one.
 
     Up to MEMBERS values are broadcast. Beyond, their table of bits is, which lets a few others pass as well: what follows is a join in either case.
+    most: how many rows `values` has at most; where it is known, they are neither made distinct nor counted.
     """
-    some = values.select(F.col(values.columns[0]).alias(column)).distinct()
-    if some.limit(MEMBERS + 1).count() <= MEMBERS:
+    some = values.select(F.col(values.columns[0]).alias(column))
+    some = some if most is not None else some.distinct()
+    if (some.limit(MEMBERS + 1).count() if most is None else most) <= MEMBERS:
         return df.join(F.broadcast(some), column, "left_semi").select(*df.columns)
     table = members(some, column)
     shared = df.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))

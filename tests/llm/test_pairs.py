@@ -104,6 +104,29 @@ def test_members_by_value_and_by_bits(spark, monkeypatch):
     assert wordsets.only_members(df, "h", values.limit(0)).count() == 0
 
 
+def test_a_batch_is_matched_in_few_jobs(rows, spark, tmp_path):
+    data = [(f"k{i:03d}", t, 1 + i % 2) for i, t in enumerate(corpus(60, 8))]
+    df = rows(data, "k string, t string, b int")
+    store = history.ChunkStore(spark, str(tmp_path / "store"))
+    history.repeated_rows(df.where("b = 1"), "k", "t", "b", store=store)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    assert history.repeated_rows(df.where("b = 2"), "k", "t", "b", store=store).count()
+    assert jobs() - before <= 28, jobs() - before
+
+
+def test_distinct_values_of_each_text(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = [3, 0, 50, 1, 400]
+    words = wordsets.Words([[f"w{k}" for k in rng.integers(0, 40, n)] for n in sizes], np.zeros(5, np.uint64))
+    close = (np.uint64(1) << np.uint64(63)) + rng.integers(0, 4, len(words.of)).astype(np.uint64)  # alike but for their last bits
+    for values in (words.hashes, words.hashes.astype(np.uint32), close):
+        ends, found, beside = words.each(values, words.of, values % 7)
+        for k in range(5):
+            want = np.unique(values[words.of == k])
+            assert found[ends[k] : ends[k + 1]].tolist() == want.tolist() and beside[ends[k] : ends[k + 1]].tolist() == (want % 7).tolist()
+
+
 def test_report_text(spark):
     good = '{"x": 1, "report": {"sentences": [{"text": "A."}, {"text": "B.", "s": 2}]}}'
     df = spark.createDataFrame([(good,), (good[:50],), ("",), (None,), ('{"report": null}',), ("[]",)], "j string")
