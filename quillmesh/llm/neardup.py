@@ -24,15 +24,15 @@ Defined results
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.wordsets import enough_words, gathered, keyed, only_members, rare_first, sets, slot_counts, with_copies
+from quillmesh.llm.wordsets import enough_words, gathered, keyed, only_members, rarest, sets, slot_counts, with_copies
 from quillmesh.tables import written
 
 BITS = 512
@@ -139,16 +139,16 @@ def links(of: DataFrame, threshold: float, leaf: int = 1000) -> DataFrame:
     spark = of.sparkSession
     common = spark.sparkContext.broadcast(gathered(slot_counts(of, "shingles")))
 
-    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = []
-            for values in batch["shingles"]:
-                values = np.asarray(values, np.int64)
-                shard.append(values[rare_first(values, common.value)[: len(values) - math.ceil(threshold * len(values) - 1e-9) + 1]])
-            yield pd.DataFrame({"shard": np.concatenate(shard) if shard else np.empty(0, np.int64), "sid": np.repeat(batch["sid"].to_numpy(np.int64), [len(x) for x in shard])})
+            lists = batch.column("shingles")
+            ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+            sizes = np.diff(ends)
+            values, of = rarest(lists.flatten().to_numpy(zero_copy_only=False), ends, common.value, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column("sid").take(pa.array(of))], ["shard", "sid"])
 
     # Made twice, which is cheaper than to keep: as many rows as the texts have rare runs.
-    seeded = of.select("sid", "shingles").mapInPandas(seeds, "shard bigint, sid bigint")
+    seeded = of.select("sid", "shingles").mapInArrow(seeds, "shard bigint, sid bigint")
     sized = written(seeded.groupBy("shard").agg(F.count("*").alias("size"), F.min("sid").alias("vantage"), F.max("sid").alias("other")).where("size > 1"), "sized")
     # A shard of two is its pair already; only larger ones are gathered.
     twos = _near_twos(sized.where("size = 2").select(F.col("vantage").alias("sid_a"), F.col("other").alias("sid_b")).distinct(), of, threshold)
@@ -227,7 +227,7 @@ def compared(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
 
     # Sets that stand in no pair need not be shuffled.
     ids = pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).select(F.xxhash64("sid").alias("h"))
-    some = only_members(of.select("sid", "shingles", F.xxhash64("sid").alias("h")), "h", ids)
+    some = only_members(of.select("sid", "shingles", F.xxhash64("sid").alias("h")), "h", ids, 2 * pairs.count())
     one, two = some.select(F.col("sid").alias("sid_a"), F.col("shingles").alias("one")), some.select(F.col("sid").alias("sid_b"), F.col("shingles").alias("two"))
     shared = F.size(F.array_intersect("one", "two"))
     overlap = shared / (F.size("one") + F.size("two") - shared)
@@ -245,5 +245,5 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 5, threshold: f
     found = links(made, threshold, leaf)
     tids = made.select("sid", "tid")
     found = found.join(tids.withColumnsRenamed({"sid": "sid_a", "tid": "tid_a"}), "sid_a").join(tids.withColumnsRenamed({"sid": "sid_b", "tid": "tid_b"}), "sid_b")
-    part = rows.select("key", "tid").distinct().join(made.select("tid"), "tid", "left_semi")
+    part = rows.select("key", "tid").join(made.select("tid"), "tid", "left_semi")
     return with_copies(part, found.select("tid_a", "tid_b"))

@@ -165,9 +165,23 @@ def odd_sketches(values: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount(spots, minlength=(len(ends) - 1) * bits) & 1).astype(np.uint8).reshape(-1, bits), axis=1)
 
 
+#: Counters that go together, so that they are added up by several tasks.
+WIDTH = 1 << 14
+
+
 def slot_counts(values: DataFrame, column: str) -> DataFrame:
-    """(slot, n): occurrences of an array column's values by hashed slot, of which there are COUNTERS."""
-    return values.select(F.explode(column).alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
+    """(part, data): occurrences of an array column's values by hashed slot, of which there are COUNTERS; added up for each task before they are sent, WIDTH in a row."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            slots = batch.column(column).flatten().to_numpy(zero_copy_only=False) & np.int64(COUNTERS - 1)
+            total += np.bincount(slots, minlength=COUNTERS).astype(np.uint32)
+        parts = [k for k in range(COUNTERS // WIDTH) if total[k * WIDTH : (k + 1) * WIDTH].any()]
+        data = [pa.compress(total[k * WIDTH : (k + 1) * WIDTH].tobytes(), codec="zstd", asbytes=True) for k in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+    return values.select(column).mapInArrow(counted, "part int, data binary")
 
 
 def gathered(counts: DataFrame) -> np.ndarray:
@@ -175,17 +189,18 @@ def gathered(counts: DataFrame) -> np.ndarray:
 
     They are packed by the executors, so that the driver gets a few rows of bytes.
     """
-    width = 1 << 14
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(width, np.int8)
-        out[group["slot"].to_numpy() % width] = np.minimum(127, 4 * np.log2(group["n"].to_numpy())).astype(np.int8)
-        return pd.DataFrame({"part": group["slot"].iloc[:1] // width, "data": [out.tobytes()]})
+        total = np.zeros(WIDTH, np.int64)
+        for data in group["data"]:
+            total += np.frombuffer(pa.decompress(data, 4 * WIDTH, codec="zstd", asbytes=True), np.uint32)
+        out = np.minimum(127, 4 * np.log2(np.maximum(total, 1))).astype(np.int8)
+        return pd.DataFrame({"part": group["part"].iloc[:1], "data": [out.tobytes()]})
 
-    rows = counts.groupBy(F.floor(F.col("slot") / width).cast("int").alias("part")).applyInPandas(packed, "part int, data binary").collect()
+    rows = counts.groupBy("part").applyInPandas(packed, "part int, data binary").collect()
     out = np.zeros(COUNTERS, np.int8)
     for r in rows:
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["data"], np.int8)
+        out[r["part"] * WIDTH : (r["part"] + 1) * WIDTH] = np.frombuffer(r["data"], np.int8)
     return out
 
 
@@ -228,9 +243,20 @@ def only_members(df: DataFrame, column: str, values: DataFrame, most: int | None
     return df.mapInArrow(kept, df.schema)
 
 
-def rare_first(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The places of values, from rare to common by the counters, ties by value: the same order in every text."""
-    return np.lexsort((values, counts[values & np.int64(len(counts) - 1)]))
+def rarest(values: np.ndarray, ends: np.ndarray, counts: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The take[k] rarest values of each set k by the counters, ties by value: the same order in every set. Also the set of each."""
+    sizes = np.diff(ends)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    common = counts[values & np.int64(len(counts) - 1)]
+    bits = max(1, (len(sizes) - 1).bit_length())
+    lost = bits + 7  # of a value's bits, beside the set's number and the counter's seven
+    key = (of.astype(np.uint64) << np.uint64(64 - bits)) | (common.astype(np.uint64) << np.uint64(57 - bits)) | (values.view(np.uint64) >> np.uint64(lost))
+    order = np.argsort(key)
+    key = key[order]
+    if (key[1:] == key[:-1]).any():  # different values that the key doesn't tell apart
+        order = np.lexsort((values.view(np.uint64), common, of))
+    chosen = order[np.arange(len(of)) - ends[:-1][of] < take[of]]
+    return values[chosen], of[chosen]
 
 
 def with_copies(rows: DataFrame, links: DataFrame) -> DataFrame:

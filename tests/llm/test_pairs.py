@@ -57,6 +57,30 @@ def test_near_duplicates(rows):
     assert neardup.near_duplicates(rows([], "k string, t string"), "k", "t").count() == 0
 
 
+def test_counters_are_added_up_before_they_are_sent(spark):
+    rng = np.random.default_rng(6)
+    values = rng.integers(-(2**62), 2**62, (400, 300)) // rng.integers(1, 2**40, (400, 1))
+    df = spark.createDataFrame([(v,) for v in values.tolist()], "s array<bigint>").repartition(2).localCheckpoint()
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = moved()
+    got = wordsets.gathered(wordsets.slot_counts(df, "s"))
+    n = np.bincount(values.ravel() & (wordsets.COUNTERS - 1), minlength=wordsets.COUNTERS)
+    assert (got == np.minimum(127, 4 * np.log2(np.maximum(n, 1))).astype(np.int8)).all()
+    assert moved() - before < 8 * values.size, (moved() - before) / values.size
+
+
+def test_rarest_values_of_each_set():
+    rng = np.random.default_rng(7)
+    counts = rng.integers(0, 3, 1 << 10).astype(np.int8)
+    for step in (1, 1 << 40):  # neighbours, which the sort key doesn't tell apart, and far ones
+        sets = [np.unique(rng.integers(-500, 500, n)) * step for n in (5, 80, 300, 1)]
+        ends, take = np.r_[0, np.cumsum([len(s) for s in sets])], np.array([2, 40, 300, 1])
+        values, of = wordsets.rarest(np.concatenate(sets), ends, counts, take)
+        for k, s in enumerate(sets):
+            want = sorted(s.tolist(), key=lambda v: (counts[v & 1023], v % 2**64))[: take[k]]
+            assert values[of == k].tolist() == want
+
+
 def test_groups_are_not_compared(rows):
     t = " ".join(f"w{i}" for i in range(40))
     df = rows([("a", t, "x"), ("b", t + " end", "x"), ("c", t + " end", "y")], "k string, t string, g string")
