@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillmesh.llm import history, knn, neardup, spans, wordsets
+from quillmesh.llm import history, knn, neardup, queries, spans, wordsets
 from quillmesh.llm.lookalike import plain_words
 from quillmesh.tables import scratch_dir
 
@@ -139,6 +139,44 @@ def test_a_batch_is_matched_in_few_jobs(rows, spark, tmp_path):
     assert jobs() - before <= 28, jobs() - before
 
 
+def test_candidates_with_little_in_common_do_not_move_their_sets(rows, spark, tmp_path, request):
+    name = "spark.sql.autoBroadcastJoinThreshold"  # as if the tables were large
+    spark.conf.set(name, -1)
+    request.addfinalizer(lambda: spark.conf.unset(name))
+    rng = random.Random(9)
+    stock = " ".join(f"s{i}" for i in range(50))  # every pair is a candidate by it, none is near
+    texts = [stock + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(240)]
+    data = [(f"k{i:03d}", t, 1 + i % 2) for i, t in enumerate(texts)] + [("copy", texts[0][:-9] + " x y", 2), ("same", texts[2], 2)]
+    df = rows(data, "k string, t string, b int")
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    store = history.ChunkStore(spark, str(tmp_path / "store"))
+    history.repeated_rows(df.where("b = 1"), "k", "t", "b", store=store)
+    before = moved()
+    assert pairs(history.repeated_rows(df.where("b = 2"), "k", "t", "b", store=store).select("key", "batch_no")) == {("copy", 2), ("same", 2)}
+    assert moved() - before < 1_000_000, moved() - before
+
+
+def test_prints_lose_no_pair(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for _ in range(400):
+        both, a, b = (rng.integers(0, 1 << 32, rng.integers(low, high), dtype=np.uint64) for low, high in ((5, 300), (0, 90), (0, 90)))
+        x, y = np.unique(np.r_[both, a]), np.unique(np.r_[both, b])
+        prints = [wordsets.odd_sketches(v, np.array([0, len(v)]), history.PRINT).reshape(-1).view(np.int64).tolist() for v in (x, y)]
+        data.append((len(x), prints[0], len(y), prints[1], len(np.intersect1d(x, y)) / len(np.union1d(x, y))))
+    df = spark.createDataFrame(data, "n int, print array<bigint>, other_n int, other_print array<bigint>, overlap double")
+    assert df.where("overlap >= 0.55").count() > 100
+    assert df.where("overlap >= 0.55").where(~history.possible(0.55)).count() == 0
+    assert df.where("overlap < 0.35").where(history.possible(0.55)).count() < 0.2 * df.where("overlap < 0.35").count()
+    # A store without prints decides by the sizes alone.
+    assert df.where("overlap >= 0.55").withColumn("other_print", F.lit(None).cast("array<bigint>")).where(~history.possible(0.55)).count() == 0
+
+
+def test_a_report_is_parsed_once(spark):
+    plan = queries.p4_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1, plan.count("from_json(")
+
+
 def test_distinct_values_of_each_text(monkeypatch):
     rng = np.random.default_rng(2)
     sizes = [3, 0, 50, 1, 400]
