@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import prints, rewrite, text
 from quillmesh.functions.cleaning import without_citations
 from quillmesh.functions.stylometry import LN2_PLUS_1
+from quillmesh.operators.candidates import candidate_lists
 from quillmesh.tables import written
 
 # English words without weight.
@@ -67,17 +68,8 @@ def candidates(queries: DataFrame, corpus: DataFrame, most: int = CANDIDATES) ->
     Ties: the earlier position of the first shared token, then the smaller id. A query that shares no
     token with any document gets the first `most` that it may see.
     """
-    terms = queries.select("qid", "org_id", F.posexplode(F.array_distinct("tokens")).alias("pos", "term"))
-    posted = corpus.select("doc_id", F.col("org_id").alias("doc_org"), F.explode(text.tokens(F.col("sentence"))).alias("term")).distinct()
-    met = visible(terms, posted, ["term"]).groupBy("qid", "doc_id").agg(F.count("*").alias("shared"), F.min("pos").alias("pos"))
-    best = Window.partitionBy("qid").orderBy(F.desc("shared"), "pos", "doc_id")
-    found = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("qid", "doc_id", "shared", "rank")
-    orphans = queries.join(met.select("qid").distinct(), "qid", "left_anti").select("qid", "org_id")
-    ids = corpus.select("doc_id", F.col("org_id").alias("doc_org")).distinct()
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("doc_org").orderBy("doc_id"))).where(F.col("r") <= most)
-    seen = orphans.select("qid", F.explode(F.array_distinct(F.array(F.lit("global"), "org_id"))).alias("doc_org")).join(first, "doc_org")
-    rest = seen.drop("r").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(F.col("rank") <= most).select("qid", "doc_id", F.lit(0).cast("bigint").alias("shared"), "rank")
-    return found.unionByName(rest)
+    found = candidate_lists(queries.select("qid", "org_id", "tokens"), corpus, most)
+    return found.select("qid", F.posexplode("best").alias("n", "b")).select("qid", "b.doc_id", "b.shared", (F.col("n") + 1).alias("rank"))
 
 
 def features(sentence: Column) -> list[Column]:

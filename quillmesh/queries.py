@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import cleaning, prints, rewrite, stylometry, text
 from quillmesh.operators import similarity, store
+from quillmesh.operators.candidates import candidate_lists
 from quillmesh.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,7 +396,8 @@ def candidate_docs(spark, d):
 
 def _candidates(asked: DataFrame, docs: DataFrame) -> DataFrame:
     asked = asked.where("org_id is not null and text is not null").distinct().select(F.xxhash64("org_id", "text").alias("qid"), "org_id", "text", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= 3)
-    return similarity.candidates(asked, similarity.corpus_sentences(docs)).join(asked.select("qid", "org_id", "text"), "qid").select("org_id", "text", "doc_id", "shared", "rank")
+    found = candidate_lists(asked, similarity.corpus_sentences(docs), similarity.CANDIDATES)
+    return found.select("org_id", "text", F.posexplode("best").alias("n", "b")).select("org_id", "text", "b.doc_id", "b.shared", (F.col("n") + 1).alias("rank"))
 
 
 @query()

@@ -248,6 +248,30 @@ def test_all_candidates_and_their_pairs(spark, tmp_path):
     assert {(r["text"], r["doc_id"], r["sent_idx"]): r["jaccard"] for r in scored} == pytest.approx(pairs, abs=2e-6) and len(scored) == 480
 
 
+def test_candidates_over_groups_and_blocks(spark, monkeypatch):
+    import random
+
+    from quillmesh.operators import candidates
+
+    monkeypatch.setattr(candidates, "GROUP", 7)
+    monkeypatch.setattr(candidates, "BLOCK", 5)
+    rng = random.Random(5)
+    words = [f"w{i:02d}" for i in range(40)]
+    docs = [(f"d{rng.randrange(10**6)}-{i}", rng.choice(["global", "o1", "o2"]), " ".join(rng.choices(words, k=9))) for i in range(90)]
+    asked = [(i, rng.choice(["global", "o1", "o2", "o3"]), rng.choices(words, k=6)) for i in range(40)] + [(40, "o1", [*(f"x{i}" for i in range(300)), *words]), (41, "o2", ["none", "of", "these"])]
+    got = similarity.candidates(spark.createDataFrame(asked, "qid long, org_id string, tokens array<string>"), spark.createDataFrame([(a, b, 0, c) for a, b, c in docs], "doc_id string, org_id string, sent_idx int, sentence string"), most=12)
+    want = set()
+    for qid, org, tokens in asked:
+        distinct = list(dict.fromkeys(tokens))
+        seen = sorted((id_, set(t.split())) for id_, of, t in docs if of in ("global", org))
+        met = sorted((-len(both), min(map(distinct.index, both)), id_) for id_, t in seen if (both := t & set(distinct)))
+        best = [(-n, id_) for n, _, id_ in met[:12]] or [(0, id_) for id_, _ in seen[:12]]
+        want |= {(qid, id_, n, r) for r, (n, id_) in enumerate(best, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    # Queries and documents meet inside tasks: no join by a term, whose rows would grow with their product.
+    assert "term#" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_chains_and_cycles(spark):
     links = [("n000", None)] + [(f"n{i:03d}", f"n{i - 1:03d}") for i in range(1, 201)] + [("p", "q"), ("q", "p"), ("r", "p")]
     got = {r["id"]: (r["root"], r["depth"]) for r in store.chains(spark.createDataFrame(links, "c string, p string"), "c", "p").collect()}
