@@ -1,8 +1,7 @@
 """Sentences against a corpus: TF-IDF, candidates, pair scores, sources, document scores.
 
 All submissions are scored at once. Features are computed once for each distinct sentence, candidates
-come from equi-joins on tokens within what an organisation may see, and pair scores from one more
-equi-join with the candidates' sentences.
+and pair scores are made block by block inside tasks (`candidates`), within what an organisation may see.
 """
 
 from __future__ import annotations
@@ -14,8 +13,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import prints, rewrite, text
 from quillmesh.functions.cleaning import without_citations
 from quillmesh.functions.stylometry import LN2_PLUS_1
-from quillmesh.operators.candidates import candidate_lists
-from quillmesh.tables import written
+from quillmesh.operators.candidates import best_sources, candidate_lists, scored_pairs
 
 # English words without weight.
 STOP_WORDS = (
@@ -36,12 +34,6 @@ def corpus_sentences(docs: DataFrame) -> DataFrame:
     return one.select(F.col("id").alias("doc_id"), F.col("d.org_id").alias("org_id"), F.posexplode(text.sentences(F.col("d.content"))).alias("sent_idx", "sentence"))
 
 
-def term_counts(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(org_id, term, df) and (org_id, n): in how many of an organisation's own sentences a term occurs, and how many it has."""
-    terms = sentences.select("org_id", F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("term")).groupBy("org_id", "term").agg(F.count("*").alias("df"))
-    return terms, sentences.groupBy("org_id").agg(F.count("*").alias("n"))
-
-
 def idf_table(sentences: DataFrame) -> DataFrame:
     """(term, df, idf) over all sentences (sentence)."""
     terms = sentences.select(F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -72,24 +64,10 @@ def candidates(queries: DataFrame, corpus: DataFrame, most: int = CANDIDATES) ->
     return found.select("qid", F.posexplode("best").alias("n", "b")).select("qid", "b.doc_id", "b.shared", (F.col("n") + 1).alias("rank"))
 
 
-def features(sentence: Column) -> list[Column]:
-    tokens, normal = text.tokens(sentence), prints.shingle_text(sentence)
-    short = [F.transform(prints.char_shingles(normal, k), lambda s: F.xxhash64(s)).alias(f"c{k}") for k in (4, 6, 9)]
-    return [tokens.alias("tokens"), prints.fingerprint(tokens).alias("prints"), *short]
-
-
-def weight_maps(rows: DataFrame, keys: list[str], counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(keys..., weights, norm): map of term weights of rows (keys..., org_id, tokens) as that organisation sees the corpus: its own sentences and the shared ones."""
-    terms = rows.select(*keys, F.col("org_id").alias("viewer"), content(F.col("tokens")).alias("c")).select(*keys, "viewer", F.size("c").alias("n_terms"), F.explode("c").alias("term"))
-    terms = terms.groupBy(*keys, "viewer", "n_terms", "term").agg(F.count("*").alias("tf"))
-    own = counts.where("org_id <> 'global'").select(F.col("org_id").alias("viewer"), "term", F.col("df").alias("own_df"))
-    shared = counts.where("org_id = 'global'").select("term", F.col("df").alias("shared_df"))
-    of_viewer = sizes.where("org_id <> 'global'").select(F.col("org_id").alias("viewer"), F.col("n").alias("own_n"))
-    every = terms.join(own, ["viewer", "term"], "left").join(shared, "term", "left").join(of_viewer, "viewer", "left").withColumn("g", F.lit("global")).join(sizes.where("org_id = 'global'").select(F.col("org_id").alias("g"), F.col("n").alias("shared_n")), "g", "left")
-    zero = F.lit(0)
-    df, n = F.coalesce("own_df", zero) + F.coalesce("shared_df", zero), F.coalesce("own_n", zero) + F.coalesce("shared_n", zero)
-    weighed = every.select(*keys, "term", (F.col("tf") / F.col("n_terms") * F.when(df > 0, F.log((n + 1) / (df + 1)) + 1).otherwise(LN2_PLUS_1)).alias("w"))
-    return weighed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # as many as a sentence has terms
+def asked_sentences(queries: DataFrame) -> DataFrame:
+    """(qid, org_id, text, tokens, normal): each distinct sentence of an organisation (org_id, text) without its citations."""
+    asked = queries.where("text is not null and org_id is not null").select("org_id", "text").distinct().withColumn("clean", without_citations(F.col("text")))
+    return asked.select(F.xxhash64("org_id", "text").alias("qid"), "org_id", "text", text.tokens(F.col("clean")).alias("tokens"), prints.shingle_text(F.col("clean")).alias("normal")).where(F.size("tokens") >= 3)
 
 
 def pair_scores(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -97,26 +75,8 @@ def pair_scores(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES) ->
 
     queries: (org_id, text); docs: (id, org_id, content). w: fingerprint containment, cos: TF-IDF cosine, sh: blended shingle containment.
     """
-    corpus = corpus_sentences(docs)
-    asked = queries.where("text is not null and org_id is not null").select("org_id", "text").distinct()
-    asked = asked.withColumn("qid", F.xxhash64("org_id", "text")).withColumn("clean", without_citations(F.col("text")))
-    asked = asked.select("qid", "org_id", "text", *features(F.col("clean"))).where(F.size("tokens") >= 3)
-    counts, sizes = term_counts(corpus)
-    counts, sizes = written(counts, "term-counts"), written(sizes, "sizes")
-    distinct = corpus.select("sentence").distinct().select("sentence", *features(F.col("sentence")))
-    of_query = weight_maps(asked, ["qid"], counts, sizes).withColumnsRenamed({"weights": "qw", "norm": "qn"})
-    placed = corpus.join(distinct, "sentence").select("doc_id", "sent_idx", F.col("tokens").alias("st"), F.col("prints").alias("sp"), *[F.col(f"c{k}").alias(f"s{k}") for k in (4, 6, 9)])
-    found = written(candidates(asked, corpus, most).join(asked.select("qid", "org_id"), "qid").select("qid", "org_id", "doc_id"), "candidates")
-    # A source's weights depend on who looks at it; they are made for the pairs of viewer and document that occur.
-    viewed = found.select("org_id", "doc_id").distinct().join(placed.select("doc_id", "sent_idx", F.col("st").alias("tokens")), "doc_id").withColumn("v", F.col("org_id"))
-    of_source = weight_maps(viewed, ["v", "doc_id", "sent_idx"], counts, sizes).withColumnsRenamed({"v": "org_id", "weights": "sw", "norm": "sn"})
-    met = found.select("qid", "doc_id").join(asked.join(of_query, "qid", "left"), "qid").join(placed, "doc_id").join(of_source, ["org_id", "doc_id", "sent_idx"], "left")
-    exact = F.when(F.size("tokens") >= 6, prints.containment(F.col("prints"), F.col("sp"))).otherwise(0.0)
-    total = F.aggregate(F.map_entries("qw"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("sw"), e["key"]), F.lit(0.0)))
-    cosine = F.coalesce(F.when((F.col("qn") > 0) & (F.col("sn") > 0), total / (F.col("qn") * F.col("sn"))), F.lit(0.0))
-    shingle = prints.blended(*[prints.containment(F.col(f"c{k}"), F.col(f"s{k}")) for k in (4, 6, 9)])
-    jaccard = prints.jaccard(F.col("tokens"), F.col("st"))
-    return met.select("qid", "org_id", "text", "doc_id", "sent_idx", text.rounded(exact, 6).alias("w"), text.rounded(cosine, 6).alias("cos"), text.rounded(shingle, 6).alias("sh"), text.rounded(jaccard, 6).alias("jaccard"))
+    found = scored_pairs(asked_sentences(queries), corpus_sentences(docs), most, STOP_WORDS)
+    return found.select("qid", "org_id", "text", F.explode("best").alias("b")).select("qid", "org_id", "text", "b.*")
 
 
 def sentence_sources(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES, sources: int = SOURCES, threshold: float = THRESHOLD) -> DataFrame:
@@ -126,13 +86,8 @@ def sentence_sources(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES
     containment (exact), TF-IDF cosine (semantic) and blended shingle containment (shingle); of a
     document the best sentence counts, the first of equal ones.
     """
-    scored = pair_scores(queries, docs, most)
-    scored = scored.withColumn("score", F.greatest("w", "cos", "sh"))
-    method = F.when((F.col("w") > 0) & (F.col("score") == F.col("w")), "exact").when((F.col("cos") > 0) & (F.col("score") == F.col("cos")), "semantic").when(F.col("sh") > 0, "shingle").otherwise("none")
-    by_doc = scored.withColumn("method", method).groupBy("qid", "org_id", "text", "doc_id").agg(F.max(F.struct("score", (-F.col("sent_idx")).alias("n"), "method")).alias("b"))
-    best = by_doc.select("qid", "org_id", "text", "doc_id", "b.score", "b.method").where(F.col("score") > threshold)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= sources)
-    return ranked.select("org_id", "text", "doc_id", "score", "method", "rank")
+    found = best_sources(asked_sentences(queries), corpus_sentences(docs), most, STOP_WORDS, sources, threshold)
+    return found.select("org_id", "text", F.posexplode("best").alias("n", "b")).select("org_id", "text", "b.*", (F.col("n") + 1).alias("rank"))
 
 
 def code_sources(codes: DataFrame, docs: DataFrame, sources: int = SOURCES, threshold: float = 0.1) -> DataFrame:

@@ -272,6 +272,29 @@ def test_candidates_over_groups_and_blocks(spark, monkeypatch):
     assert "term#" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sources_and_pairs_over_groups_and_blocks(spark, monkeypatch):
+    import random
+
+    from quillmesh.operators import candidates
+
+    monkeypatch.setattr(candidates, "GROUP", 3)
+    monkeypatch.setattr(candidates, "BLOCK", 4)
+    rng = random.Random(3)
+    words = "the fox hill road stone bright river garden machine letter window study of and slowly under seven".split()
+    say = lambda: " ".join(rng.choices(words, k=rng.randint(4, 12))).capitalize() + "."
+    docs = [(f"d{i}", rng.choice(["global", "o1", "o2"]), " ".join(say() for _ in range(3))) for i in range(25)]
+    asked = list(dict.fromkeys((o, say()) for o in ("global", "o1", "o2", "o3") for _ in range(5)))
+    both = spark.createDataFrame(asked, "org_id string, text string"), spark.createDataFrame(docs, "id string, org_id string, content string")
+    found, pairs = similarity.sentence_sources(*both, sources=100), similarity.pair_scores(*both)
+    want = plain_scores(asked, docs)
+    assert {(r["org_id"], r["text"], r["doc_id"]): r["score"] for r in found.collect()} == pytest.approx(want, abs=2e-6)
+    assert {(r["text"], r["doc_id"], r["sent_idx"]) for r in pairs.collect()} >= {(t, d, i) for _, t, d in want for i in range(3)}
+    # Pairs are made inside tasks: no join of queries with documents, whose rows would grow with their product.
+    for df in (found, pairs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "doc_id#" not in "".join(x for x in plan.splitlines() if "Join" in x) and "MapInArrow" in plan
+
+
 def test_long_chains_and_cycles(spark):
     links = [("n000", None)] + [(f"n{i:03d}", f"n{i - 1:03d}") for i in range(1, 201)] + [("p", "q"), ("q", "p"), ("r", "p")]
     got = {r["id"]: (r["root"], r["depth"]) for r in store.chains(spark.createDataFrame(links, "c string, p string"), "c", "p").collect()}
