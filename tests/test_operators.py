@@ -295,6 +295,12 @@ def test_sources_and_pairs_over_groups_and_blocks(spark, monkeypatch):
         assert "doc_id#" not in "".join(x for x in plan.splitlines() if "Join" in x) and "MapInArrow" in plan
 
 
+def test_candidate_pairs_are_made_inside_tasks(spark, tmp_path):
+    _scanned(spark, tmp_path)
+    plan = queries.QUERIES["candidate_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "doc_id#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
 def test_long_chains_and_cycles(spark):
     links = [("n000", None)] + [(f"n{i:03d}", f"n{i - 1:03d}") for i in range(1, 201)] + [("p", "q"), ("q", "p"), ("r", "p")]
     got = {r["id"]: (r["root"], r["depth"]) for r in store.chains(spark.createDataFrame(links, "c string, p string"), "c", "p").collect()}
