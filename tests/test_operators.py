@@ -301,6 +301,18 @@ def test_candidate_pairs_are_made_inside_tasks(spark, tmp_path):
     assert "MapInArrow" in plan and "doc_id#" not in "".join(x for x in plan.splitlines() if "Join" in x)
 
 
+def test_document_similarity_scores_inside_tasks(spark, tmp_path):
+    docs, asked = _scanned(spark, tmp_path)
+    other = str(tmp_path / "jobs")
+    rows = [(f"s{i}", "j", org, i, t) for i, (org, t) in enumerate(asked)]
+    spark.createDataFrame(rows, "sent_id string, job_id string, org_id string, sent_idx int, text string").write.parquet(f"{other}/sentences.parquet")
+    spark.createDataFrame(docs, "id string, org_id string, content string").write.parquet(f"{other}/corpus_docs.parquet")
+    df = queries.QUERIES["document_similarity"](spark, other)
+    assert [r["job_id"] for r in df.collect()] == ["j"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "doc_id#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
 def test_long_chains_and_cycles(spark):
     links = [("n000", None)] + [(f"n{i:03d}", f"n{i - 1:03d}") for i in range(1, 201)] + [("p", "q"), ("q", "p"), ("r", "p")]
     got = {r["id"]: (r["root"], r["depth"]) for r in store.chains(spark.createDataFrame(links, "c string, p string"), "c", "p").collect()}
